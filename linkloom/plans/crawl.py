@@ -2,8 +2,10 @@
 
 One round per depth (at most 20), each round a fixed set of joins over written
 tables.  Page order inside a site is the queue order: depth, then discovery
-(rank of the linking page, position of the link).  All order-dependent guards
-use that order, so the result is the one a single worker would produce.
+(place of the linking page, position of the link).  A page's place is written
+as a sortable key: its depth, then the link positions that lead to it.  So no
+page is ever numbered by a window over a whole site.  All order-dependent
+guards use that order; the result is the one a single worker would produce.
 """
 
 from __future__ import annotations
@@ -18,12 +20,10 @@ from ..functions.urls import display_label, first_segment, in_scope, is_asset_ur
 from ..operators.guards import _nth, limit_pagination
 from ..options import CrawlOptions
 from ..sources.robots import robots_allowed
-from .ordered import with_row_number
 from .pin import pinned
 from .stage import is_empty, staged
 
-# page order over all rounds: depth * _ROUND + rank within the depth
-_ROUND = 1 << 40
+_STEP = 7  # hex digits of one link position in a place key
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -137,7 +137,7 @@ def crawl_graph(
             F.col("n.url").alias("url"),
             F.lit(None).cast("string").alias("parent_id"),
             F.lit(0).alias("depth"),
-            F.lit(0).cast("long").alias("seq"),
+            F.lit("00").alias("seq"),
         ),
         "frontier",
     )
@@ -146,18 +146,21 @@ def crawl_graph(
     edges: list[DataFrame] = []
     spent: list[DataFrame] = []
     moved: list[DataFrame] = []
+    has_series = not is_empty(links.filter(F.col("series_key").isNotNull()))
+    total = frontier.count()
 
     for depth in range(opts.max_depth + 1):
-        level = _handle(frontier, index, handled, robots, visits, opts)
+        level = _handle(frontier, index, handled, robots, visits, opts, total >= opts.max_pages)
         handled.append(level)
         if depth == opts.max_depth:
             break
-        passed = _expand(level, handled, links, rules, spent, opts)
-        spent.append(
-            passed.filter(F.col("series_key").isNotNull())
-            .groupBy("site_id", "series_key")
-            .agg(F.count("*").alias("used"))
-        )
+        passed = _expand(level, handled, links, rules, spent, opts, has_series)
+        if has_series:
+            spent.append(
+                passed.filter(F.col("series_key").isNotNull())
+                .groupBy("site_id", "series_key")
+                .agg(F.count("*").alias("used"))
+            )
         # who claims an unowned identity first: a link, or a redirect of a handled page
         claims = passed.select(
             "site_id", "identity_key", "from_seq", "order_in_page", "from_id", "url"
@@ -191,20 +194,21 @@ def crawl_graph(
         )
         moved.append(taken)
         owners = _union(moved)
-        found = with_row_number(
-            firsts.filter(F.col("order_in_page") >= 0), ["site_id"], ["from_seq", "order_in_page"], "rank"
+        place_key = F.concat(
+            F.lpad(F.lit(depth + 1).cast("string"), 2, "0"),
+            F.substring("from_seq", 3, 1 << 30),
+            F.lpad(F.hex("order_in_page"), _STEP, "0"),
         )
-        frontier = staged(
-            found.select(
-                "site_id",
-                "identity_key",
-                "url",
-                F.col("from_id").alias("parent_id"),
-                F.lit(depth + 1).alias("depth"),
-                (F.lit((depth + 1) * _ROUND) + F.col("rank")).alias("seq"),
-            ),
-            "frontier",
+        frontier = firsts.filter(F.col("order_in_page") >= 0).select(
+            "site_id",
+            "identity_key",
+            "url",
+            F.col("from_id").alias("parent_id"),
+            F.lit(depth + 1).alias("depth"),
+            place_key.alias("seq"),
         )
+        found = frontier.count()
+        total += found
         seen.append(firsts.select("site_id", "identity_key"))
         edges.append(
             passed.join(owners, ["site_id", "identity_key"], "left").select(
@@ -220,13 +224,13 @@ def crawl_graph(
                 "is_nofollow",
             )
         )
-        if is_empty(frontier):
+        if not found:
             break
 
-    return _finish(handled, edges, moved, frontier)
+    return _finish(handled, edges, moved)
 
 
-def _handle(frontier, index, handled, robots, visits, opts) -> DataFrame:
+def _handle(frontier, index, handled, robots, visits, opts, may_be_full) -> DataFrame:
     """Outcome of each page of one depth, in queue order."""
     df = frontier.join(index, "identity_key", "left").withColumn(
         "id", node_id(F.col("site_id"), F.col("identity_key"))
@@ -254,9 +258,10 @@ def _handle(frontier, index, handled, robots, visits, opts) -> DataFrame:
         "site_id", "identity_key", "url", "parent_id", "depth", "seq", "id", "final_url", "final_key", "final_prefix",
         "http_status", "content_type", "title", "content_hash", "out_link_count", "outcome", "counted",
     ]
-    level = staged(df.select(*columns), "level")
+    level = df.select(*columns)
     if opts.guards:
-        level = _stop_at_max_pages(level, handled, opts)
+        if may_be_full:
+            level = staged(_stop_at_max_pages(staged(level, "level"), handled, opts), "level")
         level = _drop_copies(level, handled)
     else:
         level = level.withColumn("status", F.col("outcome")).withColumn("is_copy", F.lit(False))
@@ -314,7 +319,7 @@ def _drop_copies(level: DataFrame, handled: list[DataFrame]) -> DataFrame:
     )
 
 
-def _expand(level, handled, links, rules, spent, opts) -> DataFrame:
+def _expand(level, handled, links, rules, spent, opts, has_series) -> DataFrame:
     """Links of the ok pages that pass scope, pruning and pagination, in order."""
     ok = level.filter(F.col("status") == "ok").select(
         "site_id", F.col("identity_key").alias("from_key"), F.col("id").alias("from_id"), F.col("seq").alias("from_seq")
@@ -339,6 +344,8 @@ def _expand(level, handled, links, rules, spent, opts) -> DataFrame:
         .filter(F.col("crossed_at").isNull() | (F.col("crossed_at") >= F.col("from_seq")))
         .drop("crossed_at")
     )
+    if not has_series:
+        return staged(found, "passed")
     carried = None
     if spent:
         carried = _union(spent).groupBy("site_id", "series_key").agg(F.sum("used").alias("used"))
@@ -348,7 +355,7 @@ def _expand(level, handled, links, rules, spent, opts) -> DataFrame:
     return staged(passed, "passed")
 
 
-def _finish(handled, edges, moved, frontier) -> tuple[DataFrame, DataFrame]:
+def _finish(handled, edges, moved) -> tuple[DataFrame, DataFrame]:
     empty_edges = not edges
     nodes = _union(handled)
     if empty_edges:
@@ -387,7 +394,7 @@ def _finish(handled, edges, moved, frontier) -> tuple[DataFrame, DataFrame]:
             F.when(shown, F.col("content_hash")).alias("content_hash"),
             F.coalesce("in_link_count", F.lit(0)).alias("in_link_count"),
             F.when(F.col("status") == "ok", F.col("out_link_count")).otherwise(F.lit(0)).alias("out_link_count"),
-            F.col("seq").alias("fetch_seq"),
+            F.col("seq").alias("place"),
         ),
         all_edges,
     )

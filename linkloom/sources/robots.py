@@ -90,7 +90,7 @@ def rule_matches(target: Column, rule: Column) -> Column:
     """Does a rule match path+query?  Plain prefixes avoid the regex engine."""
     plain = ~F.contains(rule, F.lit("*")) & ~rule.endswith("$")
     return F.when((rule == "/") | (plain & target.startswith(rule)), True).when(plain, False).otherwise(
-        target.rlike(rule_regex(rule))
+        F.rlike(target, rule_regex(rule))
     )
 
 
@@ -107,7 +107,7 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> Data
     with_target = pages.withColumn("_origin", F.regexp_extract(url, "^([^:]+://[^/?#]+)", 1)).withColumn("_target", target)
     plain = lambda r: ~F.contains(r["path"], F.lit("*")) & ~r["path"].endswith("$")
     hit = lambda r: F.when(plain(r), F.col("_target").startswith(r["path"])).otherwise(
-        F.col("_target").rlike(r["regex"])
+        F.rlike(F.col("_target"), r["regex"])
     )
     best = F.array_max(
         F.transform(F.filter("_rules", hit), lambda r: F.struct(r["weight"].alias("w"), r["allow"].alias("a")))
