@@ -40,6 +40,9 @@ class SparkDialect:
     def arr(self, *items: str) -> str:
         return f"array({', '.join(items)})"
 
+    def q(self, name: str) -> str:
+        return f"`{name}`"
+
     empty = "cast(array() as array<bigint>)"
 
 
@@ -52,6 +55,9 @@ class DuckDialect:
     def arr(self, *items: str) -> str:
         return f"[{', '.join(items)}]"
 
+    def q(self, name: str) -> str:
+        return f'"{name}"'
+
     empty = "cast([] as bigint[])"
 
 
@@ -146,7 +152,7 @@ def fetch_logs(d) -> str:
         when 'view' then case when {e} % 9 = 0 then 429 else 200 end else 200 end as http_status,
       cast({e} % 4 + 1 as int) as attempt, {e} % 3000 as duration_ms,
       case when event_type = 'error' then 'HTTP 500' when event_type = 'click' then 'timeout' end as error,
-      {d.arr("'a' || cast(event_id as string)", "'b'")} as redirect_chain, 1704067200 + {e} as at
+      {d.arr("'a' || cast(event_id as string)", "'b'")} as redirect_chain, 1704067200 + {e} as {d.q('at')}
     from {d.t('events')}"""
 
 

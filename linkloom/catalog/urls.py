@@ -12,7 +12,7 @@ from ..operators import stats as S
 from ..sources import robots as R
 from ..sources.tables import append_fetch_logs, fetch_log_rows, scan_pages
 from ..plans.stage import new_path
-from .base import query, site
+from .base import query
 
 # ---- SQL building blocks for the comparison statements -------------------
 
@@ -229,7 +229,7 @@ HREF_KIND = "(page_id + order_in_page) % 4"
    when 2 then sch || '//cdn.example.com' || enc else origin || bp || '?q=1&r=' || cast(order_in_page as varchar) end as resolved from r""",
 )
 def _(t):
-    links = page_links(t, "url_page") if False else H.number_links(
+    links = H.number_links(
         H.extract_links(t.pages.withColumn("page_url", F.col("url")), keep=("page_id", "page_url")), "page_id"
     )
     kind = F.expr(HREF_KIND)
@@ -406,7 +406,7 @@ def _(t):
 
 @query(
     "append_fetch_log",
-    "select id, task_id, node_id, http_status, duration_ms, error, cast(to_json(redirect_chain) as varchar) as redirect_chain, at from fetch_logs",
+    'select id, task_id, node_id, http_status, duration_ms, error, cast(to_json(redirect_chain) as varchar) as redirect_chain, "at" from fetch_logs',
     "fetch_logs",
 )
 def _(t):
