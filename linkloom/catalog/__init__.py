@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .base import ORACLES, QUERIES
 
-for _part in ("urls", "tree", "graph", "exports"):
+for _part in ("urls", "tree", "graph", "exports", "live"):
     import_module(f".{_part}", __name__)
 
 __all__ = ["ORACLES", "QUERIES"]

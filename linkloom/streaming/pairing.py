@@ -84,19 +84,16 @@ class WaitingClicks:
             yield self._lost(self.items.popleft(), "no navigation")
 
 
-def _walk(queue: WaitingClicks, pdf: pd.DataFrame) -> list:
-    out = []
-    for row in pdf[list(EVENT_COLUMNS)].itertuples(index=False):
-        if row.is_click:
-            depth = None if pd.isna(row.from_depth) else int(row.from_depth)
-            out += queue.click((int(row.at_ms), int(row.event_id), bool(row.nonnav), bool(row.has_href), row.from_node, depth))
-        else:
-            out += queue.navigate(int(row.at_ms), int(row.event_id), row.url)
-    return out
+def _step(queue: WaitingClicks, row):
+    """Outcomes caused by one event."""
+    if not row.is_click:
+        return queue.navigate(int(row.at_ms), int(row.event_id), row.url)
+    depth = None if pd.isna(row.from_depth) else int(row.from_depth)
+    return queue.click((int(row.at_ms), int(row.event_id), bool(row.nonnav), bool(row.has_href), row.from_node, depth))
 
 
-def _frame(session: str, rows: list) -> pd.DataFrame:
-    pdf = pd.DataFrame([(session, *r) for r in rows], columns=_NAMES)
+def _frame(rows: list) -> pd.DataFrame:
+    pdf = pd.DataFrame(rows, columns=_NAMES)
     return pdf.astype({"click_id": "int64", "at_ms": "int64", "nav_id": "Int64", "from_depth": "Int32"})
 
 
@@ -112,23 +109,30 @@ def bursts(events: DataFrame, window_ms: int, **ordering) -> DataFrame:
 
 
 def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, **ordering) -> DataFrame:
-    """Outcome of every click; ``events`` has EVENT_COLUMNS (clicks and navigations)."""
+    """Outcome of every click; ``events`` has EVENT_COLUMNS (clicks and navigations).
+
+    Each partition is walked once in (session, burst, time) order, so many
+    short bursts cost no more than one long one.
+    """
     cut = bursts(events.select(*EVENT_COLUMNS), window_ms, **ordering)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queue, session = WaitingClicks(window_ms), None
+        queue, current = None, None
         for pdf in batches:
-            if len(pdf):
-                session = pdf["session_id"].iloc[0]
-                rows = _walk(queue, pdf)
-                if rows:
-                    yield _frame(session, rows)
-        if session is not None:
-            yield _frame(session, list(queue.close()))
-
-    walk.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+            rows = []
+            for row in pdf.itertuples(index=False):
+                key = (row.session_id, row.burst)
+                if key != current:
+                    if queue is not None:
+                        rows += [(current[0], *r) for r in queue.close()]
+                    queue, current = WaitingClicks(window_ms), key
+                rows += [(row.session_id, *r) for r in _step(queue, row)]
+            yield _frame(rows)
+        if queue is not None:
+            yield _frame([(current[0], *r) for r in queue.close()])
+
     ordered = cut.repartition("session_id", "burst").sortWithinPartitions("session_id", "burst", "at_ms", "event_id")
-    return ordered.groupBy("session_id", "burst").applyInPandas(walk, RESULT)
+    return ordered.mapInPandas(walk, RESULT)
 
 
 def pair_clicks_stream(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, delay: str = "10 seconds") -> DataFrame:
@@ -139,14 +143,15 @@ def pair_clicks_stream(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, de
         if state.hasTimedOut:
             rows = list(queue.expire(state.getCurrentWatermarkMs()))
         else:
-            rows = _walk(queue, pd.concat(list(batches)).sort_values(["at_ms", "event_id"]))
+            pdf = pd.concat(list(batches)).sort_values(["at_ms", "event_id"])
+            rows = [r for row in pdf.itertuples(index=False) for r in _step(queue, row)]
         if queue.items:
             state.update((json.dumps(list(queue.items)),))
             state.setTimeoutTimestamp(max(queue.items[0][0] + window_ms, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if rows:
-            yield _frame(key[0], rows)
+            yield _frame([(key[0], *r) for r in rows])
 
     shaped = events.withWatermark("ts", delay).select("ts", *EVENT_COLUMNS)
     return shaped.groupBy("session_id").applyInPandasWithState(

@@ -121,17 +121,19 @@ def replay(commands: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log, site = CorrectionLog(), None
         for pdf in batches:
-            if len(pdf):
-                site = pdf["site_id"].iloc[0]
-                _feed(log, pdf)
+            for name, part in pdf.groupby("site_id", sort=False):
+                if name != site:
+                    if site is not None:
+                        yield log.results(site)
+                    log, site = CorrectionLog(), name
+                _feed(log, part)
         if site is not None:
             yield log.results(site)
 
     ordered = (
         commands.select(*COMMAND_COLUMNS).repartition("site_id").sortWithinPartitions("site_id", "seq")
     )
-    walk.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return ordered.groupBy("site_id").applyInPandas(walk, RESULT)
+    return ordered.mapInPandas(walk, RESULT)
 
 
 def replay_stream(commands: DataFrame) -> DataFrame:
