@@ -32,6 +32,9 @@ NAMED_ENTITIES = {
 }
 # -------------------------------------------------------------------------
 
+_ENTITY_TABLE = "array(" + ", ".join(
+    "struct('&{};' as k, '{}' as v)".format(name, char.replace("'", "\\'")) for name, char in NAMED_ENTITIES.items()
+) + ")"
 _ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _SPACE = r"[\s\x{a0}\x{feff}]+"
 
@@ -67,9 +70,7 @@ def decode_entities(text: Column) -> Column:
         return F.when(F.contains(t, F.lit("&#")), done).otherwise(t)
 
     def named(t: Column) -> Column:
-        out = t
-        for name, char in NAMED_ENTITIES.items():
-            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+        out = F.aggregate(F.expr(_ENTITY_TABLE), t, lambda acc, e: F.replace(acc, e["k"], e["v"]))
         return F.when(F.contains(t, F.lit("&")), F.replace(let(out, numbered), F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
     return let(text, named)

@@ -44,13 +44,21 @@ _QUERY_KEEP = "/:@!$&()+,;=~[]|?`{}^\\"
 _FRAGMENT_KEEP = "/:@!$&'()+,;=~[]|?{}^\\#"
 
 
-def _percent_encode(c: Column, keep: str) -> Column:
-    """Percent-encode all but ``keep``; existing ``%XX`` escapes are left alone."""
-    encoded = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _percent_encode(name: str, keep: str) -> Column:
+    """Percent-encode all of column ``name`` but ``keep``; existing ``%XX`` escapes are left alone.
+
+    One SQL text instead of a call per character keeps plan building quick.
+    """
+    encoded = f"replace(url_encode(`{name}`), '+', '%20')"
     for ch in keep:
-        encoded = F.replace(encoded, F.lit(f"%{ord(ch):02X}"), F.lit(ch))
-    encoded = F.replace(encoded, F.lit("%25"), F.lit("%"))
-    return F.when(c.rlike(r"[^\x21-\x7e]|[\"<>`{}^']"), encoded).otherwise(c)
+        encoded = f"replace({encoded}, '%{ord(ch):02X}', {_literal(ch)})"
+    return F.when(F.col(name).rlike(r"[^\x21-\x7e]|[\"<>`{}^']"), F.expr(f"replace({encoded}, '%25', '%')")).otherwise(
+        F.col(name)
+    )
 
 
 def _form_decode(c: Column) -> Column:
@@ -100,7 +108,7 @@ def split_url(df: DataFrame, url: str, prefix: str) -> DataFrame:
     ok = F.col(f"{p}ok")
     slashed = F.replace(F.get(parts, 4), F.lit("\\"), F.lit("/"))
     df = df.withColumn(f"{p}rooted", F.when(F.get(parts, 4) == "", F.lit("/")).otherwise(slashed))
-    df = df.withColumn(f"{p}dotless", _resolve_dots(F.col(f"{p}rooted")))
+    df = df.select("*", _resolve_dots(F.col(f"{p}rooted")).alias(f"{p}dotless"), F.get(parts, 6).alias(f"{p}rawfrag"))
     proto = F.lower(F.get(parts, 0))
     default = F.when(proto == "http", F.lit("80")).otherwise(F.lit("443"))
     auth = F.get(parts, 1)
@@ -110,9 +118,9 @@ def split_url(df: DataFrame, url: str, prefix: str) -> DataFrame:
         F.when(ok, F.when(auth.startswith(":"), "").otherwise(F.regexp_replace(auth, ":$", ""))).alias(f"{p}auth"),
         F.when(ok, host).alias(f"{p}host"),
         F.when(ok, F.when(port == default, "").otherwise(port)).alias(f"{p}port"),
-        F.when(ok, _percent_encode(F.col(f"{p}dotless"), _PATH_KEEP)).alias(f"{p}path"),
+        F.when(ok, _percent_encode(f"{p}dotless", _PATH_KEEP)).alias(f"{p}path"),
         F.when(ok, F.get(parts, 5)).alias(f"{p}query"),
-        F.when(ok, _percent_encode(F.get(parts, 6), _FRAGMENT_KEEP)).alias(f"{p}frag"),
+        F.when(ok, _percent_encode(f"{p}rawfrag", _FRAGMENT_KEEP)).alias(f"{p}frag"),
     )
 
 
@@ -249,7 +257,7 @@ def absolute_url(df: DataFrame, base: str, href: str, out: str = "url") -> DataF
         c("host"),
         F.when(c("port") != "", F.concat(F.lit(":"), c("port"))).otherwise(""),
         c("path"),
-        _percent_encode(c("query"), _QUERY_KEEP),
+        _percent_encode(f"{p}query", _QUERY_KEEP),
         c("frag"),
     )
     df = df.select(*[n for n in df.columns if not n.startswith(p) and n != out], url.alias(out))
