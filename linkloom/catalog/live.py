@@ -119,9 +119,35 @@ def _(t):
     return P.bursts(click_events(t), WINDOW_MS * 10).select("event_id", "burst")
 
 
-@query("click_pairing")
+def pair_sql(source: str, window_ms: int) -> str:
+    """Step through each session's events with the waiting clicks as a list."""
+    item = "{'at': at_ms, 'id': event_id, 'nonnav': nonnav}"
+    live = f"list_filter(w.q, lambda x: x.at + {window_ms} >= c.at_ms)"
+    return f"""pe as materialized (select *, row_number() over (partition by session_id order by at_ms, event_id) as rn from {source}),
+ w as (select session_id, rn, event_id, case when is_click then [{item}] else cast([] as struct("at" bigint, id bigint, nonnav boolean)[]) end as q, cast(null as bigint) as hit from pe where rn = 1
+   union all select c.session_id, c.rn, c.event_id,
+     case when c.is_click then (case when len(w.q) >= 200 then list_append(w.q[2:], {item.replace('at_ms', 'c.at_ms').replace('event_id', 'c.event_id').replace(': nonnav', ': c.nonnav')})
+            else list_append(w.q, {item.replace('at_ms', 'c.at_ms').replace('event_id', 'c.event_id').replace(': nonnav', ': c.nonnav')}) end)
+          when len({live}) > 0 and {live}[1].nonnav then {live}[3:] else {live}[2:] end,
+     case when c.is_click then null when len({live}) = 0 then null when {live}[1].nonnav then {live}[2].id else {live}[1].id end
+   from w join pe c on c.session_id = w.session_id and c.rn = w.rn + 1),
+ paired as materialized (select hit as click_id, event_id as nav_id from w where hit is not null)"""
+
+
+CLICKS = "(select *, event_id % 11 = 0 or event_id % 13 = 0 or event_id % 8 = 0 as nonnav from clicks)"
+PAIRS = ", " + pair_sql(CLICKS, WINDOW_MS * 10)
+MANUAL = PAIRS + """, hits as (select c.event_id as click_id, c.session_id, c.from_node, c.from_depth, regexp_replace(n.url, '#.*$', '') as identity_key,
+   nullif(regexp_extract(n.url, '#(.+)$', 1), '') as fragment from paired p join clicks c on c.event_id = p.click_id join clicks n on n.event_id = p.nav_id),
+ firsts as (select from_node, identity_key, fragment, min(click_id) as click_id from hits group by all)"""
+
+
+@query(
+    "click_pairing",
+    PAIRS + " select c.session_id, c.event_id as click_id, case when p.nav_id is null then 'unpaired' else 'paired' end as outcome, p.nav_id from clicks c left join paired p on p.click_id = c.event_id where c.is_click",
+    "clicks",
+)
 def _(t):
-    return P.pair_clicks(click_events(t), WINDOW_MS * 10).select("session_id", "click_id", "outcome", "reason", "nav_id")
+    return P.pair_clicks(click_events(t), WINDOW_MS * 10).select("session_id", "click_id", "outcome", "nav_id")
 
 
 @query(
@@ -134,7 +160,13 @@ def _(t):
     return P.pair_clicks(click_events(t), WINDOW_MS * 10).groupBy("session_id").agg(F.count_distinct("click_id").alias("clicks"))
 
 
-@query("click_stats")
+@query(
+    "click_stats",
+    MANUAL + """ select c.session_id, count(*) as total, count(p.nav_id) as paired, count(*) - count(p.nav_id) as unpaired,
+   count(*) filter (where p.nav_id is not null and c.event_id not in (select click_id from firsts)) as skipped_duplicate
+ from clicks c left join paired p on p.click_id = c.event_id where c.is_click group by 1""",
+    "clicks",
+)
 def _(t):
     paired = P.pair_clicks(click_events(t), WINDOW_MS * 10)
     edges, _ = P.manual_graph(paired, F.lit("s0"))
@@ -143,16 +175,27 @@ def _(t):
     return S.click_stats(flagged)
 
 
-@query("manual_edges")
+@query(
+    "manual_edges",
+    MANUAL + """, d as (select identity_key, least(50, arg_min(from_depth, click_id) + 1) as depth from hits group by 1)
+ select from_node, f.identity_key, fragment, click_id, depth, 'manual' as source from firsts f join d on d.identity_key = f.identity_key""",
+    "clicks",
+)
 def _(t):
     edges, nodes = P.manual_graph(P.pair_clicks(click_events(t), WINDOW_MS * 10), F.lit("s0"))
     depths = nodes.select("identity_key", "depth")
     return edges.join(depths, "identity_key").select("from_node", "identity_key", "fragment", "click_id", "depth", "source")
 
 
-@query("pairing_stream")
+STREAMED = "(select *, event_id % 11 = 0 or event_id % 13 = 0 or event_id % 8 = 0 as nonnav from (select cast(user_id as string) as session_id, event_id * 60000 as at_ms, event_id, event_type = 'click' as is_click from events where event_type in ('click', 'view')))"
+
+
+@query(
+    "pairing_stream",
+    ", " + pair_sql(STREAMED, 4 * 3600 * 1000) + " select c.session_id, p.click_id, p.nav_id from paired p join pe c on c.event_id = p.click_id",
+)
 def _(t):
-    """Streaming form over the raw events; what is still waiting at the end is not emitted."""
+    """Streaming form over the raw events: the pairs found."""
     stream = event_stream(t).filter("event_type in ('click', 'view')")
     e = F.col("event_id")
     shaped = stream.select(
@@ -168,7 +211,7 @@ def _(t):
         F.concat(F.lit("https://s0.example.com/n/"), (e % 40).cast("string")).alias("url"),
     )
     out = run_available(P.pair_clicks_stream(shaped, 4 * 3600 * 1000), "append")
-    return out.select("session_id", "click_id", "outcome", "reason", "nav_id")
+    return out.filter("outcome = 'paired'").select("session_id", "click_id", "nav_id")
 
 
 CAPTURE = """case when event_id % 7 = 0 then 'no json' when event_id % 7 = 1 then '{"kind":"hover"}'

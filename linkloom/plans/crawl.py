@@ -21,7 +21,7 @@ from ..operators.guards import _nth, limit_pagination
 from ..options import CrawlOptions
 from ..sources.robots import robots_allowed
 from .pin import pinned
-from .stage import is_empty, staged
+from .stage import buckets, is_empty, staged, staged_by
 
 _STEP = 7  # hex digits of one link position in a place key
 
@@ -31,52 +31,31 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFrame]:
-    """Pages by identity, and their links: each page text is read and parsed once.
+    """(index, links): stored pages by identity, and the links of each page.
 
-    Columns besides url and html are optional: page_id, final_url, http_status,
-    content_type.
+    ``page_id`` must be unique; final_url, http_status and content_type are
+    optional.  Page texts are parsed where they are read: only slim rows are
+    shuffled, never html.  Both tables are bucketed by their join key, so the
+    rounds of the crawl do not shuffle them again.
     """
-    defaults = {
-        "page_id": F.monotonically_increasing_id(),
-        "final_url": F.col("url"),
-        "http_status": F.lit(200),
-        "content_type": F.lit("text/html"),
-    }
+    if "page_id" not in pages.columns:
+        raise ValueError("pages need a unique page_id")
+    defaults = {"final_url": F.col("url"), "http_status": F.lit(200), "content_type": F.lit("text/html")}
     for name, value in defaults.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, value)
     norm = dict(drop_www=opts.drop_www, force_https=opts.force_https, blacklist=opts.tracking_blacklist)
-    keyed = normalize_url(pages.select("page_id", "url"), "url", "n", **norm).filter(F.col("n").isNotNull())
-    # a page stored twice under one identity: the first copy counts
-    chosen = (
-        keyed.groupBy(F.col("n.identity_key").alias("identity_key")).agg(F.min("page_id").alias("page_id"))
+    pages = pages.select(
+        "page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "http_status", "content_type", "html"
     )
-    chosen = staged(chosen, "chosen")
-    picked = pages.join(chosen, "page_id").withColumn("final_url", F.coalesce("final_url", "url"))
+    n_buckets = buckets(pages.sparkSession)
 
-    content = extract_content(picked.select("identity_key", "final_url", "http_status", "content_type", "html"))
-    body = F.when(F.col("text") != "", F.col("text")).otherwise(page_text(F.col("html"), NON_CONTENT_TAGS))
-    content = pinned(content.withColumn("content_hash", content_fingerprint(body)), "content_hash")
-    content = normalize_url(
-        content.select(
-            "identity_key", "final_url", "http_status", "content_type", "title", "content_hash",
-            F.col("html").isNotNull().alias("has_html"),
-        ),
-        "final_url",
-        "fin",
-        **norm,
-    )
-    links = extract_links(
-        picked.filter(F.col("html").isNotNull()), "html", "final_url", keep=("identity_key",)
-    ).withColumnRenamed("identity_key", "from_key")
-    links = number_links(links, "from_key")
-    links = normalize_url(links, "url", "n", **norm)
+    links = extract_links(pages, "html", "final_url", keep=("page_id",))
+    links = number_links(links.repartition(n_buckets, "page_id"), "page_id")
+    links = normalize_url(links, "url", "n", **norm).filter(F.col("n").isNotNull())
+    links = pagination(links.withColumn("identity_key", F.col("n.identity_key")), "identity_key", "pg")
     links = links.select(
-        "from_key", "order_in_page", "anchor_text", "rel", "target", "is_nofollow", "fragment", "n"
-    )
-    links = links.withColumn("identity_key", F.col("n.identity_key"))
-    links = pagination(links, "identity_key", "pg").select(
-        "from_key",
+        "page_id",
         "order_in_page",
         "anchor_text",
         "rel",
@@ -89,12 +68,21 @@ def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFra
         F.col("pg.series_key").alias("series_key"),
         first_segment(F.col("n.pathname")).alias("prefix"),
     )
-    links = staged(links, "links")
-    outs = links.groupBy("from_key").agg(F.count("*").alias("out_link_count"))
-    index = content.join(outs, content["identity_key"] == outs["from_key"], "left").select(
-        "identity_key",
+    links = staged_by(links, "page_id", "links")
+
+    content = extract_content(pages)
+    body = F.when(F.col("text") != "", F.col("text")).otherwise(page_text(F.col("html"), NON_CONTENT_TAGS))
+    content = pinned(content.withColumn("content_hash", content_fingerprint(body)), "content_hash")
+    content = content.select(
+        "page_id", "url", "final_url", "http_status", "content_type", "title", "content_hash",
+        F.col("html").isNotNull().alias("has_html"),
+    )
+    content = normalize_url(normalize_url(content, "url", "n", **norm), "final_url", "fin", **norm)
+    slim = content.filter(F.col("n").isNotNull()).select(
+        F.col("n.identity_key").alias("identity_key"),
+        "page_id",
         F.col("fin.url").alias("final_url"),
-        F.coalesce("fin.identity_key", "identity_key").alias("final_key"),
+        F.coalesce("fin.identity_key", "n.identity_key").alias("final_key"),
         first_segment(F.col("fin.pathname")).alias("final_prefix"),
         "http_status",
         "content_type",
@@ -102,9 +90,20 @@ def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFra
         "has_html",
         "title",
         "content_hash",
+    )
+    # a page stored twice under one identity: the first copy counts
+    rest = [c for c in slim.columns if c not in ("identity_key", "page_id")]
+    chosen = slim.groupBy("identity_key").agg(
+        F.min("page_id").alias("page_id"), F.min_by(F.struct(*rest), "page_id").alias("r")
+    )
+    outs = links.groupBy(F.col("page_id").alias("_p")).agg(F.count("*").alias("out_link_count"))
+    index = chosen.join(outs, chosen["page_id"] == outs["_p"], "left").select(
+        "identity_key",
+        "page_id",
+        *[F.col(f"r.{c}").alias(c) for c in rest],
         F.coalesce("out_link_count", F.lit(0)).alias("out_link_count"),
     )
-    return staged(index, "index"), links.filter(F.col("identity_key").isNotNull())
+    return staged_by(index.repartition(n_buckets, "identity_key"), "identity_key", "index"), links
 
 
 def crawl_graph(
@@ -116,7 +115,7 @@ def crawl_graph(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of every site, breadth-first from its root.
 
-    ``sites``: id, root_url, scope, allowlist.  ``robots``: rules per origin.
+    ``pages``: see ``page_index``.  ``sites``: id, root_url, scope, allowlist.  ``robots``: rules per origin.
     ``visits``: earlier visit counts (site_id, identity_key, visits).  Linked
     pages that are not stored stay ``queued``.  A redirected page keeps its
     node; links to its old address keep leading to it.
@@ -256,7 +255,7 @@ def _handle(frontier, index, handled, robots, visits, opts, may_be_full) -> Data
     df = df.withColumn("outcome", outcome).withColumn("counted", F.col("outcome").isin("counted-skip", "error", "ok"))
     columns = [
         "site_id", "identity_key", "url", "parent_id", "depth", "seq", "id", "final_url", "final_key", "final_prefix",
-        "http_status", "content_type", "title", "content_hash", "out_link_count", "outcome", "counted",
+        "page_id", "http_status", "content_type", "title", "content_hash", "out_link_count", "outcome", "counted",
     ]
     level = df.select(*columns)
     if opts.guards:
@@ -322,11 +321,11 @@ def _drop_copies(level: DataFrame, handled: list[DataFrame]) -> DataFrame:
 def _expand(level, handled, links, rules, spent, opts, has_series) -> DataFrame:
     """Links of the ok pages that pass scope, pruning and pagination, in order."""
     ok = level.filter(F.col("status") == "ok").select(
-        "site_id", F.col("identity_key").alias("from_key"), F.col("id").alias("from_id"), F.col("seq").alias("from_seq")
+        "site_id", "page_id", F.col("id").alias("from_id"), F.col("seq").alias("from_seq")
     )
-    found = ok.join(links, "from_key").join(rules, "site_id")
+    found = ok.join(links, "page_id").join(rules, "site_id")
     found = found.filter(in_scope(F.col("host"), F.col("root_host"), F.col("scope"), F.col("allowlist"))).drop(
-        "from_key", "host", "root_host", "scope", "allowlist"
+        "page_id", "host", "root_host", "scope", "allowlist"
     )
     if not opts.guards:
         return staged(found, "passed")

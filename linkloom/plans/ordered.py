@@ -20,6 +20,7 @@ HOT_ROWS = 2_000_000
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
 PUSHED_LIMIT = 1000
 SALTS = 256
+MAX_BINS = 1024
 
 
 def _desc_flags(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -55,34 +56,36 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, all rows) from one map-side combined count."""
+    row = df.groupBy(*keys).count().agg(F.max("count").alias("m"), F.sum("count").alias("t")).first()
+    return int(row["m"] or 0), int(row["t"] or 0)
 
 
-def _bin_column(df: DataFrame, order: Sequence[str], bins: int) -> Column:
+def _bin_column(df: DataFrame, order: Sequence[str], bins: int, total: int) -> Column:
     """Order-preserving bin number from boundaries sampled over the order columns.
 
     The boundaries become literals, so a recomputed task sees the same bins.
-    At most ``bins`` short rows reach the driver.
+    At most ``bins`` short rows reach the driver.  Each row descends a balanced
+    tree of comparisons.
     """
     flags = _desc_flags(order)
     names = [name for name, _ in flags]
-    ordering = sort_columns(order)
-    total = df.count()
     fraction = min(1.0, bins * 50.0 / max(total, 1))
-    sample = df.select(*names).sample(fraction, seed=7)
     edges = (
-        sample.withColumn("_tile", F.ntile(bins).over(Window.orderBy(*ordering)))
+        df.select(*names)
+        .sample(fraction, seed=7)
+        .withColumn("_tile", F.ntile(bins).over(Window.orderBy(*sort_columns(order))))
         .groupBy("_tile")
-        .agg(F.min_by(F.struct(*names), F.col("_tile")).alias("_edge"), F.count("*").alias("_c"))
+        .agg(F.min_by(F.struct(*names), F.col("_tile")).alias("_edge"))
         .orderBy("_tile")
         .limit(bins)
         .collect()
     )
+    # the tile's member is any one of it; sorting makes the boundaries ascend
     bounds = [e["_edge"] for e in edges[1:]]
 
-    def at_or_after(bound) -> Column:
+    def beyond(bound) -> Column:
         # lexicographic comparison, nulls last for both directions
         cond: Column = F.lit(True)
         for name, desc in reversed(flags):
@@ -97,8 +100,14 @@ def _bin_column(df: DataFrame, order: Sequence[str], bins: int) -> Column:
             cond = F.coalesce(after, F.lit(False)) | (F.coalesce(equal, F.lit(False)) & cond)
         return cond
 
-    parts = [at_or_after(b).cast("int") for b in bounds]
-    return reduce(lambda a, b: a + b, parts, F.lit(0))
+    def descend(low: int, high: int) -> Column:
+        # bins low..high are still possible; bounds[k] opens bin k + 1
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(beyond(bounds[middle]), descend(middle + 1, high)).otherwise(descend(low, middle))
+
+    return descend(0, len(bounds))
 
 
 _COMBINE = {
@@ -116,7 +125,7 @@ def running(
     *,
     exclusive: bool = False,
     hot_rows: int = HOT_ROWS,
-    bins: int = 64,
+    bins: int | None = None,
 ) -> DataFrame:
     """Running sum / max / min within each group in the given total order.
 
@@ -126,7 +135,8 @@ def running(
     """
     ordering = sort_columns(order)
     upper = -1 if exclusive else Window.currentRow
-    if largest_group(df, keys) <= hot_rows:
+    largest, total = group_sizes(df, keys)
+    if largest <= hot_rows:
         w = (
             Window.partitionBy(*keys)
             .orderBy(*ordering)
@@ -134,7 +144,8 @@ def running(
         )
         return df.select("*", *[_COMBINE[k][0](c).over(w).alias(a) for a, (k, c) in aggs.items()])
 
-    binned = df.withColumn("_bin", _bin_column(df, order, bins))
+    bins = bins or min(MAX_BINS, max(8, 2 * total // hot_rows))
+    binned = df.withColumn("_bin", _bin_column(df, order, bins, total))
     totals = binned.groupBy(*keys, "_bin").agg(
         *[_COMBINE[k][0](c).alias(f"_t_{a}") for a, (k, c) in aggs.items()]
     )
@@ -166,7 +177,7 @@ def with_row_number(
     name: str = "rn",
     *,
     hot_rows: int = HOT_ROWS,
-    bins: int = 64,
+    bins: int | None = None,
 ) -> DataFrame:
     """``row_number`` (from 1) for all rows of every group."""
     out = running(df, keys, order, {name: ("sum", F.lit(1))}, hot_rows=hot_rows, bins=bins)

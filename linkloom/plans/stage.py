@@ -38,5 +38,26 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
+    """Like ``staged``, bucketed by ``key``: later joins on it do not shuffle this side.
+
+    ``df`` should already be partitioned by ``key`` into as many parts as there
+    are buckets (``buckets``), so that every task writes one bucket.  The table
+    is external; its catalog entry is needed only for the lookup here.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(buckets(spark), key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
