@@ -24,7 +24,7 @@ EFF_COLUMNS = (
 # ---- sources and the effective view ---------------------------------------
 
 
-@query("scan_tables", "select site_id, count(*) as n, sum(depth) as depths, count(last_fetch_at) as fetched from nodes group by 1", "nodes")
+@query("scan_tables", "select site_id, count(*) as n, cast(sum(depth) as bigint) as depths, count(last_fetch_at) as fetched from nodes group by 1", "nodes")
 def _(t):
     path = new_path(t.spark, "tables")
     write_table(t.nodes, path, "nodes")

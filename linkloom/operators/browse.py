@@ -15,9 +15,8 @@ def children_page(effective: DataFrame, site_id: str, parent: str | None, offset
     """One page of live effective children, with the total."""
     owner = F.col("effective_parent_id").isNull() if parent is None else F.col("effective_parent_id") == parent
     rows = effective.filter((F.col("site_id") == site_id) & owner & ~F.col("is_deleted"))
-    total = rows.agg(F.count("*").alias("total"))
-    page = rows.orderBy("depth", "id").offset(offset).limit(min(limit, 500))
-    return page.crossJoin(total)  # one row of totals
+    total = rows.groupBy("site_id").agg(F.count("*").alias("total"))
+    return rows.orderBy("depth", "id").offset(offset).limit(min(limit, 500)).join(total, "site_id")
 
 
 def children_pages(effective: DataFrame, page_size: int = 100, **ordering) -> DataFrame:

@@ -3,10 +3,6 @@
 import random
 import re
 
-import pytest
-from pyspark.sql import functions as F
-
-from linkloom.operators import stats
 from linkloom.options import CrawlOptions
 from linkloom.plans.crawl import crawl_graph
 from linkloom.sources.robots import robots_rules
@@ -23,35 +19,34 @@ def anchors(*hrefs):
     return "".join(f'<a href="{h}">{h}</a>' for h in hrefs)
 
 
-def crawl(spark, rows, opts, robots=None):
+def crawl(spark, rows, origins, opts, robots):
     pages = spark.createDataFrame(
         [(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string, http_status int, content_type string"
     )
     sites = spark.createDataFrame(
-        [("s", ORIGIN + "/", "same_site", None)], "id string, root_url string, scope string, allowlist array<string>"
+        [(o, o + "/", "same_site", None) for o in origins], "id string, root_url string, scope string, allowlist array<string>"
     )
-    rules = None
-    if robots is not None:
-        rules = robots_rules(spark.createDataFrame([(ORIGIN, robots)], "origin string, text string"), "bot")
-    return crawl_graph(pages, sites, rules, opts)
+    rules = robots_rules(spark.createDataFrame([(o, robots) for o in origins], "origin string, text string"), "bot")
+    nodes, edges = crawl_graph(pages, sites, rules, opts)
+    return nodes.collect(), edges.collect()
 
 
-def strip(url):
+def strip(url, origin):
     url = url.split("#")[0]
     path, _, query = url.partition("?")
     path = path.rstrip("/")
-    if path == ORIGIN:
+    if path == origin:
         path += "/"
     return path + ("?" + query if query else "")
 
 
-def model(rows, opts, blocked=()):
+def model(rows, origin, opts, blocked=()):
     """One worker, one queue."""
     store = {}
     for url, html, status, ctype in rows:
-        store.setdefault(strip(url), (html, status, ctype))
-    nodes = {ORIGIN + "/": dict(depth=0, parent=None, status="queued")}
-    queue, edges, texts, hits, pruned, series = [ORIGIN + "/"], set(), set(), {}, set(), {}
+        store.setdefault(strip(url, origin), (html, status, ctype))
+    nodes = {origin + "/": dict(depth=0, parent=None, status="queued")}
+    queue, edges, texts, hits, pruned, series = [origin + "/"], set(), set(), {}, set(), {}
     fetched = 0
     while queue:
         queue.sort(key=lambda k: nodes[k]["depth"])  # stable: shallow first, then first queued
@@ -60,11 +55,11 @@ def model(rows, opts, blocked=()):
         if fetched >= opts.max_pages:
             node["status"] = "skipped"
             break
-        path = key[len(ORIGIN):].split("?")[0]
+        path = key[len(origin):].split("?")[0]
         if re.search(r"\.(png|pdf)$", path):
             node["status"] = "skipped"
             continue
-        if any(key[len(ORIGIN):].startswith(b) for b in blocked):
+        if any(key[len(origin):].startswith(b) for b in blocked):
             node["status"] = "blocked"
             continue
         if key not in store:
@@ -84,13 +79,13 @@ def model(rows, opts, blocked=()):
                 continue
             texts.add(text)
         for href in re.findall('<a href="([^"]*)"', html):
-            url = href if href.startswith("http") else ORIGIN + href
-            if not url.startswith(ORIGIN):
+            url = href if href.startswith("http") else origin + href
+            if not url.startswith(origin):
                 continue
-            target, frag = strip(url), (url.split("#") + [None])[1]
+            target, frag = strip(url, origin), (url.split("#") + [None])[1]
             if node["depth"] + 1 > opts.max_depth:
                 continue
-            seg = re.match(r"/[^/?]+", target[len(ORIGIN):])
+            seg = re.match(r"/[^/?]+", target[len(origin):])
             if seg and seg.group(0) in pruned:
                 continue
             if (m := re.match(r"(.*)\?page=\d+$", target)) is not None:
@@ -102,7 +97,7 @@ def model(rows, opts, blocked=()):
                 queue.append(target)
             edges.add((key, target, frag))
         node["status"] = "ok"
-        seg = re.match(r"/[^/?]+", key[len(ORIGIN):])
+        seg = re.match(r"/[^/?]+", key[len(origin):])
         if seg:
             hits[seg.group(0)] = hits.get(seg.group(0), 0) + 1
             if hits[seg.group(0)] > opts.prefix_prune_threshold:
@@ -110,20 +105,29 @@ def model(rows, opts, blocked=()):
     return nodes, edges
 
 
-def compare(spark, rows, opts, robots=None, blocked=()):
-    nodes, edges = crawl(spark, rows, opts, robots)
-    keys = {r.id: r.identity_key for r in nodes.collect()}
-    got = {r.identity_key: dict(depth=r.depth, parent=keys.get(r.auto_parent_id), status=r.status) for r in nodes.collect()}
-    want_nodes, want_edges = model(rows, opts, blocked)
-    assert got == want_nodes
-    assert {(keys[r.from_id], keys[r.to_id], r.fragment) for r in edges.collect()} == want_edges
-    assert stats.identity_duplicates(nodes).count() == 0
-    return got
-
-
-def test_fixture_site(spark):
+def compare(spark, by_origin, opts, robots, blocked):
+    """Several sites in one crawl, each against its own model."""
+    rows = [r for site in by_origin.values() for r in site]
+    nodes, edges = crawl(spark, rows, list(by_origin), opts, robots)
+    keys = {n.id: n.identity_key for n in nodes}
+    assert len({(n.site_id, n.identity_key) for n in nodes}) == len(nodes) == len(keys)
+    results = {}
+    for origin, site in by_origin.items():
+        got = {
+            n.identity_key: dict(depth=n.depth, parent=keys.get(n.auto_parent_id), status=n.status)
+            for n in nodes
+            if n.site_id == origin
+        }
+        want_nodes, want_edges = model(site, origin, opts, blocked)
+        assert got == want_nodes
+        assert {(keys[e.from_id], keys[e.to_id], e.fragment) for e in edges if e.site_id == origin} == want_edges
+        results[origin] = got
+    return results
+
+
+def fixture_site(o):
     rows = [
-        ("/", page("Home", anchors("/about", "/docs", "/team", "/spa", "http://localhost:1/out", "/missing", "/blocked/secret", "/assets/logo.png", "/paged?page=1"))),
+        ("/", page("Home", anchors("/about", "/docs", "/team", "/spa", "http://localhost:1/out", "/missing", "/no/secret", "/assets/logo.png", "/paged?page=1"))),
         ("/about", page("About", "about" + anchors("/", "/team", "/docs", "/assets/logo.png", "/assets/report.pdf"))),
         ("/docs", page("Docs", "docs" + anchors("/docs/guide", "/docs/api/", "/docs/guide#step-2", "/docs/guide/", "/docs/guide#step-3", "/docs/guide?a=1"))),
         ("/docs/guide", page("Guide", "guide" + anchors("/docs/guide/install", "/docs"))),
@@ -133,32 +137,41 @@ def test_fixture_site(spark):
         ("/spa", page("Spa", "spa" + anchors("/spa/child"))),
         *[(f"/paged?page={i}", page("P", f"list {i}" + anchors(f"/paged?page={i + 1}"))) for i in range(1, 9)],
     ]
-    rows = [(ORIGIN + u, h, 200, "text/html") for u, h in rows] + [(ORIGIN + "/missing", page("404", "none"), 404, "text/html")]
-    opts = CrawlOptions(max_depth=4, max_pages=100, pagination_page_limit=3)
-    got = compare(spark, rows, opts, "User-agent: *\nDisallow: /blocked/\n", ("/blocked/",))
-    assert got[ORIGIN + "/docs/guide"]["depth"] == 2 and got[ORIGIN + "/docs/guide"]["parent"] == ORIGIN + "/docs"
-    assert got[ORIGIN + "/docs/guide/install"]["depth"] == 3
-    assert got[ORIGIN + "/missing"]["status"] == "error" and got[ORIGIN + "/blocked/secret"]["status"] == "blocked"
-    assert sum("/paged" in k for k in got) == 3
+    return [(o + u, h, 200, "text/html") for u, h in rows] + [(o + "/missing", page("404", "none"), 404, "text/html")]
 
 
-@pytest.mark.parametrize("seed, max_pages", [(1, 100000), (2, 60)])
-def test_random_sites(spark, seed, max_pages):
+def random_site(o, seed):
     rnd = random.Random(seed)
     names = [f"/sec{rnd.randint(0, 3)}/p{i}" for i in range(90)] + [f"/list{k}?page={i}" for k in range(3) for i in range(12)]
     names += [f"/img{i}.png" for i in range(5)] + [f"/no/{i}" for i in range(6)]
     rows = [("/", page("root", anchors(*rnd.sample(names, 12))), 200, "text/html")]
     for n in names:
-        links = [rnd.choice(names) + rnd.choice(["", "", "#a", "#b", "/" if rnd.random() < 0.1 else ""]) for _ in range(rnd.randint(0, 7))]
-        links = [x if not ("?" in x and x.endswith("/")) else x[:-1] for x in links]
+        links = [rnd.choice(names) + rnd.choice(["", "", "#a", "#b"]) for _ in range(rnd.randint(0, 7))]
         body = "same words" if rnd.random() < 0.15 else n.replace("/", " ").replace("?", " ")
         kind = rnd.random()
         status, ctype = (404, "text/html") if kind < 0.08 else (200, "image/png") if kind < 0.12 else (200, "text/html")
         # anchors hold no text, so copies differ only in links
         rows.append((n, page(n, body + "".join(f'<a href="{x}"></a>' for x in links)), status, ctype))
-    rows = [(ORIGIN + u, *rest) for u, *rest in rows]
-    opts = CrawlOptions(max_depth=5, max_pages=max_pages, prefix_prune_threshold=6, pagination_page_limit=4)
-    compare(spark, rows, opts, "User-agent: *\nDisallow: /no/\n", ("/no/",))
+    return [(o + u, *rest) for u, *rest in rows]
+
+
+ROBOTS = "User-agent: *\nDisallow: /no/\n"
+
+
+def test_sites_match_one_worker(spark):
+    other = "https://other.example.net"
+    opts = CrawlOptions(max_depth=4, prefix_prune_threshold=6, pagination_page_limit=3)
+    got = compare(spark, {ORIGIN: fixture_site(ORIGIN), other: random_site(other, 1)}, opts, ROBOTS, ("/no/",))[ORIGIN]
+    assert got[ORIGIN + "/docs/guide"]["depth"] == 2 and got[ORIGIN + "/docs/guide"]["parent"] == ORIGIN + "/docs"
+    assert got[ORIGIN + "/docs/guide/install"]["depth"] == 3
+    assert got[ORIGIN + "/missing"]["status"] == "error" and got[ORIGIN + "/no/secret"]["status"] == "blocked"
+    assert sum("/paged" in k for k in got) == 3
+
+
+def test_page_limit_matches_one_worker(spark):
+    other = "https://other.example.net"
+    opts = CrawlOptions(max_depth=3, max_pages=40, prefix_prune_threshold=6, pagination_page_limit=4)
+    compare(spark, {ORIGIN: random_site(ORIGIN, 2), other: random_site(other, 3)[:30]}, opts, ROBOTS, ("/no/",))
 
 
 def test_redirect_takes_free_identity(spark):
