@@ -92,18 +92,37 @@ def attribute(tag_text: Column, name: str) -> Column:
     return F.when(tag_text.rlike(bare), decode_entities(value))
 
 
+def page_anchors(pages: DataFrame, html: str = "html", page_url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns plus the anchors of each page as raw text, and what resolves them.
+
+    Slim compared with the page, so it can be stored and read again instead of
+    the page text.
+    """
+    body = _drop_elements(drop_comments(F.col(html)), NON_CONTENT_TAGS)
+    anchor_re = rf"(?is)<a\s{_ATTRS}>.*?(?:</a\s*>|(?=<a[\s>])|\z)"
+    base_tag = F.regexp_extract(F.col("_b"), rf"(?is)<base\s({_ATTRS})>", 1)
+    df = pages.select(*keep, F.col(page_url).alias("_page"), body.alias("_b"))
+    return df.select(
+        *keep,
+        "_page",
+        attribute(F.nullif(base_tag, F.lit("")), "href").alias("_base_href"),
+        F.regexp_extract_all(F.col("_b"), F.lit(anchor_re), F.lit(0)).alias("_anchors"),
+    )
+
+
 def extract_links(
     pages: DataFrame, html: str = "html", page_url: str = "url", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per kept ``<a href>`` in document order.
+    """One row per kept ``<a href>`` (see ``links_of``)."""
+    return links_of(page_anchors(pages, html, page_url, keep), keep)
+
+
+def links_of(anchors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Links of ``page_anchors`` rows: one row per kept anchor.
 
     Output: ``keep`` columns plus href, url, anchor_text, rel, target,
-    is_nofollow, fragment, order_in_page.  All anchors of one page stay one
-    array until the final explode, so the numbering needs no shuffle.
+    is_nofollow, fragment, anchor_pos (document order; see ``number_links``).
     """
-    body = _drop_elements(drop_comments(F.col(html)), NON_CONTENT_TAGS)
-    anchor_re = rf"(?is)<a\s{_ATTRS}>.*?(?:</a\s*>|(?=<a[\s>])|\z)"
-    base_tag = F.regexp_extract(F.col("_b"), rf"(?is)<base\s({_ATTRS})>", 1)
     skipped = r"(?i)^(#|" + "|".join(SKIPPED_SCHEMES) + ")"
 
     def anchor_parts(anchor: Column, pos: Column) -> Column:
@@ -115,13 +134,7 @@ def extract_links(
             ),
         )
 
-    df = pages.select(*keep, F.col(page_url).alias("_page"), body.alias("_b"))
-    df = df.select(
-        *keep,
-        "_page",
-        attribute(F.nullif(base_tag, F.lit("")), "href").alias("_base_href"),
-        F.regexp_extract_all(F.col("_b"), F.lit(anchor_re), F.lit(0)).alias("_anchors"),
-    )
+    df = anchors.select(*keep, "_page", "_base_href", "_anchors")
     df = absolute_url(df, "_page", "_base_href", "_based")
     kept = F.filter(
         F.transform("_anchors", anchor_parts),

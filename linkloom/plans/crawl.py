@@ -15,7 +15,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import content_class, content_fingerprint, extract_content, extract_links, number_links, page_text, NON_CONTENT_TAGS
+from ..functions.html import (
+    NON_CONTENT_TAGS,
+    content_class,
+    content_fingerprint,
+    extract_content,
+    links_of,
+    number_links,
+    page_anchors,
+    page_text,
+)
 from ..functions.urls import display_label, first_segment, in_scope, is_asset_url, node_id, normalize_url, pagination
 from ..operators.guards import _nth, limit_pagination
 from ..options import CrawlOptions
@@ -34,9 +43,9 @@ def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFra
     """(index, links): stored pages by identity, and the links of each page.
 
     ``page_id`` must be unique; final_url, http_status and content_type are
-    optional.  Page texts are parsed where they are read: only slim rows are
-    shuffled, never html.  Both tables are bucketed by their join key, so the
-    rounds of the crawl do not shuffle them again.
+    optional.  Page texts are read once and parsed where they are read: only
+    slim rows are stored and shuffled, never html.  Both tables are bucketed by
+    their join key, so the rounds of the crawl do not shuffle them again.
     """
     if "page_id" not in pages.columns:
         raise ValueError("pages need a unique page_id")
@@ -50,7 +59,15 @@ def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFra
     )
     n_buckets = buckets(pages.sparkSession)
 
-    links = extract_links(pages, "html", "final_url", keep=("page_id",))
+    content = extract_content(pages)
+    body = F.when(F.col("text") != "", F.col("text")).otherwise(page_text(F.col("html"), NON_CONTENT_TAGS))
+    content = pinned(content.withColumn("content_hash", content_fingerprint(body)), "content_hash")
+    facts = ("page_id", "url", "final_url", "http_status", "content_type", "title", "content_hash", "has_html")
+    content = content.withColumn("has_html", F.col("html").isNotNull())
+    # the only pass over page texts
+    parsed = staged(page_anchors(content, "html", "final_url", keep=facts), "parsed")
+
+    links = links_of(parsed.select("page_id", "_page", "_base_href", "_anchors"), keep=("page_id",))
     links = number_links(links.repartition(n_buckets, "page_id"), "page_id")
     links = normalize_url(links, "url", "n", **norm).filter(F.col("n").isNotNull())
     links = pagination(links.withColumn("identity_key", F.col("n.identity_key")), "identity_key", "pg")
@@ -70,13 +87,7 @@ def page_index(pages: DataFrame, opts: CrawlOptions) -> tuple[DataFrame, DataFra
     )
     links = staged_by(links, "page_id", "links")
 
-    content = extract_content(pages)
-    body = F.when(F.col("text") != "", F.col("text")).otherwise(page_text(F.col("html"), NON_CONTENT_TAGS))
-    content = pinned(content.withColumn("content_hash", content_fingerprint(body)), "content_hash")
-    content = content.select(
-        "page_id", "url", "final_url", "http_status", "content_type", "title", "content_hash",
-        F.col("html").isNotNull().alias("has_html"),
-    )
+    content = parsed.select(*facts)
     content = normalize_url(normalize_url(content, "url", "n", **norm), "final_url", "fin", **norm)
     slim = content.filter(F.col("n").isNotNull()).select(
         F.col("n.identity_key").alias("identity_key"),
