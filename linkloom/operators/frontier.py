@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..options import QUEUE_STATES
-from ..plans.ordered import first_n, with_row_number
+from ..plans.ordered import first_n, running, with_row_number
 
 
 def queue_due(queue: DataFrame, now: int) -> DataFrame:
@@ -59,19 +59,26 @@ def apply_retries(queue: DataFrame, plan: DataFrame, now: int) -> DataFrame:
     )
 
 
-def schedule(queue: DataFrame, min_delay_ms: int = 1000, per_host: int = 2, **ordering) -> DataFrame:
+def schedule(
+    queue: DataFrame, min_delay_ms: int = 1000, per_host: int = 2, jitter_ms: int = 0, seed: int = 0, **ordering
+) -> DataFrame:
     """Earliest start and slot per host, in queue order.
 
-    Every host's requests are spaced by ``min_delay_ms`` and dealt to
-    ``per_host`` slots.  One host may hold a third of the queue: the numbering
-    is split by ``with_row_number``.
+    Every host's requests are spaced by ``min_delay_ms`` (plus a random part up
+    to ``jitter_ms``, drawn from the item's id) and dealt to ``per_host`` slots.
+    One host may hold a third of the queue: numbering and running sums are
+    split by ``plans.ordered``.
     """
-    ranked = with_row_number(queue, ["host"], ["-priority", "id"], "_rn", **ordering)
+    order = ["-priority", "id"]
+    # hashing the id instead of rand() keeps the plan the same on recomputation
+    extra = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(jitter_ms, 0) + 1))
+    gaps = {"_rn": ("sum", F.lit(1)), "_wait": ("sum", F.col("_extra"))}
+    ranked = running(queue.withColumn("_extra", extra), ["host"], order, gaps, **ordering)
     place = F.col("_rn") - 1
     return ranked.select(
         *queue.columns,
-        (place.cast("long") * min_delay_ms).alias("start_ms"),
-        (place % per_host).alias("slot"),
+        (place.cast("long") * min_delay_ms + F.when(place > 0, F.col("_wait")).otherwise(0)).alias("start_ms"),
+        (place % per_host).cast("int").alias("slot"),
     )
 
 
