@@ -15,12 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder; a private one is set only when none is named."""
+    """The shared scratch folder of the session.
+
+    Only a session whose tasks run inside the driver (``local`` masters) gets a
+    private folder when none is named; on a cluster that is an error, because
+    executors would not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-linkloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -38,6 +46,15 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of staged tables that no later plan reads."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/linkloom-" in f}:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged_by(df: DataFrame, key: str, label: str = "stage") -> DataFrame:
     """Like ``staged``, bucketed by ``key``: later joins on it do not shuffle this side.
 
