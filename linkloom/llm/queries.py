@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .records import op5_token_records
 from .simhash import op10_simhash_near_dedup
+from .winnowing import OP8_SQL, op8_winnowing_decontamination
 
-QUERIES = {f.__name__: f for f in (op10_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_token_records, op8_winnowing_decontamination, op10_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op8_winnowing_decontamination": OP8_SQL}
