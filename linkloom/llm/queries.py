@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .quality import op2_quality_discriminant
 from .records import op5_token_records
 from .simhash import op10_simhash_near_dedup
 from .winnowing import OP8_SQL, op8_winnowing_decontamination
 
-QUERIES = {f.__name__: f for f in (op5_token_records, op8_winnowing_decontamination, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op5_token_records, op8_winnowing_decontamination, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op8_winnowing_decontamination": OP8_SQL}
