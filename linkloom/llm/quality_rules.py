@@ -30,7 +30,7 @@ STATISTICS = {
     "word_length": ("word_chars / n_words", 2.0, True),
     "symbols": ("n_symbols / n_words", 0.2, False),
     "dup_lines": ("n_dup_lines / n_lines", 0.5, False),
-    "repeats": ("n_repeat_words / n_words", 0.2, False),
+    "repeats": ("n_repeat_words / n_words", 0.3, False),
 }
 
 _WHITE = " \t\n\x0b\x0c\r"
