@@ -79,7 +79,7 @@ class Encoder:
         missing: set[str] = set()
         for pieces in cut:
             if pieces is not None:
-                missing.update(set(pieces) - self.cache.keys())
+                missing.update(set(pieces).difference(self.cache))
         if missing:
             self._learn(list(missing))
         out, whole = [b""] * len(texts), []
