@@ -310,10 +310,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The row whose id is the component's smallest stays; of rows that repeat an
     id, one.  A row without an id can't be named and is passed on.
     """
-    firsts = staged(
-        near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept"
-    )
-    stays = docs.join(firsts, docs[id_col].cast("bigint") == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id")
+    firsts = staged(found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
+    same = docs[id_col].cast("bigint") == F.col("_kept_id")
+    stays = docs.join(firsts.filter("_rows = 1"), same, "left_semi")
+    again = firsts.filter("_rows > 1")
+    if again.take(1):
+        stays = stays.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col]))
     return stays.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
