@@ -9,7 +9,8 @@ from .quality import op2_quality_discriminant
 from .quality_rules import OP1_SQL, op1_adaptive_quality_rules
 from .records import op5_token_records
 from .simhash import op10_simhash_near_dedup
+from .toxicity import op6_toxicity_chain
 from .winnowing import OP8_SQL, op8_winnowing_decontamination
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_quality_rules, op2_quality_discriminant, op3_weak_supervision_pii, op4_marginal_unigram_language, op5_token_records, op7_sampled_pieces, op8_winnowing_decontamination, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_quality_rules, op2_quality_discriminant, op3_weak_supervision_pii, op4_marginal_unigram_language, op5_token_records, op6_toxicity_chain, op7_sampled_pieces, op8_winnowing_decontamination, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_adaptive_quality_rules": OP1_SQL, "op8_winnowing_decontamination": OP8_SQL}

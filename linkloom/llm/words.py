@@ -55,6 +55,10 @@ class Words:
         place = np.arange(sizes.sum()) - np.repeat(at, sizes)
         return mix64(np.add.reduceat(_BYTES[self._raw[self._inside]] * powers(int(sizes.max()))[place], at))
 
+    def byte_hashes(self, at: np.ndarray) -> np.ndarray:
+        """Random values of the bytes at these places."""
+        return _BYTES[self._raw[at]]
+
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].decode("utf-8", "replace")
 
