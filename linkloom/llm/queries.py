@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language import op4_marginal_unigram_language
+from .passages import op9_chained_passages
 from .pieces import op7_sampled_pieces
 from .pii import op3_weak_supervision_pii
 from .quality import op2_quality_discriminant
@@ -12,5 +13,5 @@ from .simhash import op10_simhash_near_dedup
 from .toxicity import op6_toxicity_chain
 from .winnowing import OP8_SQL, op8_winnowing_decontamination
 
-QUERIES = {f.__name__: f for f in (op1_adaptive_quality_rules, op2_quality_discriminant, op3_weak_supervision_pii, op4_marginal_unigram_language, op5_token_records, op6_toxicity_chain, op7_sampled_pieces, op8_winnowing_decontamination, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_adaptive_quality_rules, op2_quality_discriminant, op3_weak_supervision_pii, op4_marginal_unigram_language, op5_token_records, op6_toxicity_chain, op7_sampled_pieces, op8_winnowing_decontamination, op9_chained_passages, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op1_adaptive_quality_rules": OP1_SQL, "op8_winnowing_decontamination": OP8_SQL}
