@@ -9,7 +9,9 @@ positions smaller) less the cost of the gap, which is linear in the words
 skipped on both sides; a Fenwick tree over the positions in the first document
 gives that maximum in logarithmic time.  Chains are then extended over equal
 words at their ends and aligned in their gaps; a passage is a chain of at least
-``MIN_WORDS`` words of which ``SIMILARITY`` or more are aligned.
+``MIN_WORDS`` words of which ``SIMILARITY`` or more are aligned.  Texts with the
+same words are found by one hash besides, so copies of monotonous texts, whose
+seeds all look alike, are whole passages too.
 
 Words travel as 32-bit hashes, and only those of documents that have a chain: a
 bitmap of fixed size tells the second pass over the texts which they are.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, discard, mix64, partitions_of, per_batch, run_starts, runs, staged, table
-from .words import Words, chunks, winnow
+from .words import Words, chunks, powers, winnow
 
 K = 5
 WINDOW = 16
@@ -48,14 +50,25 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(marked.select(F.when(known, F.col("doc_id")).otherwise(-1 - F.col("n")).alias("key"), "doc_id", "text"), "keyed")
 
 
+def _whole(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text, in order."""
+    out, full = np.zeros(len(words.counts), np.uint64), words.counts > 0
+    if full.any():
+        place = np.arange(len(hashes)) - np.repeat(words.first[:-1], words.counts)
+        out[full] = np.add.reduceat(hashes * powers(int(words.counts.max()))[place], words.first[:-1][full])
+    return mix64(out).view(np.int64)
+
+
 def seeds(rows: DataFrame, k: int, window: int) -> DataFrame:
-    """(key, doc_id, n_words, at): at has (h, pos, first) of the winnowed k-mers; first marks the first place of h in the text."""
+    """(key, doc_id, n_words, whole, at): whole is a hash of all words; at has (h, pos, first) of the winnowed k-mers, first marking the first place of h."""
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts, counts, offsets, columns = bytes_of(part.column(2)), [], [], ([], [], [])
+        texts, counts, wholes, offsets, columns = bytes_of(part.column(2)), [], [], [], ([], [], [])
         for some in chunks(texts):
             words = Words(texts[some])
-            grams, valid = words.grams(words.hashes(), k)
+            hashes = words.hashes()
+            wholes.append(_whole(words, hashes))
+            grams, valid = words.grams(hashes, k)
             at = winnow(grams, valid, window)
             text, h = words.text[at], grams[at].view(np.int64)
             order = np.lexsort((at, h, text))
@@ -68,9 +81,9 @@ def seeds(rows: DataFrame, k: int, window: int) -> DataFrame:
             offsets.append(np.bincount(text, minlength=len(words.counts)))
         ends = np.concatenate([[0], np.cumsum(np.concatenate(offsets))]).astype(np.int32)
         flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "pos", "first"])
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.concatenate(counts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["key", "doc_id", "n_words", "at"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(wholes)), pa.ListArray.from_arrays(pa.array(ends), flat)], ["key", "doc_id", "n_words", "whole", "at"])
 
-    return per_batch(rows, batch, "key bigint, doc_id bigint, n_words bigint, at array<struct<h:bigint,pos:int,first:boolean>>")
+    return per_batch(rows, batch, "key bigint, doc_id bigint, n_words bigint, whole bigint, at array<struct<h:bigint,pos:int,first:boolean>>")
 
 
 # ---------------------------------------------------------------- chaining
@@ -263,8 +276,15 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
         columns = [pa.array(np.array(c), pa.int32()) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns], ["key", "head", "x0", "x1", "y0", "y1", "equal"])
 
-    result = staged(per_batch(two, batch, "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int"), "passages")
-    discard(shared, found, words)
+    heads = staged(seeded.filter(f"n_words >= {min_words}").groupBy("whole").agg(F.min("key").alias("head")).withColumnRenamed("whole", "of"), "heads")
+    n = F.col("n_words").cast("int")
+    zero = F.lit(0)
+    copies = seeded.join(heads, F.col("whole") == F.col("of")).filter("key <> head").select(
+        "key", "head", zero.alias("x0"), n.alias("x1"), zero.alias("y0"), n.alias("y1"), n.alias("equal")
+    )
+    aligned = per_batch(two, batch, "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int")
+    result = staged(aligned.unionByName(copies).dropDuplicates(["key", "head", "x0", "x1", "y0", "y1"]), "passages")
+    discard(shared, words, heads)
     return result
 
 

@@ -249,10 +249,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     islands = spans.withColumn("opens", F.expr("start >= coalesce(max(end) over (partition by row_id order by start, end, kind rows between unbounded preceding and 1 preceding), 0)"))
     islands = islands.withColumn("island", F.expr("sum(if(opens, 1, 0)) over (partition by row_id order by start, end, kind rows between unbounded preceding and current row)"))
     merged = islands.groupBy("row_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-    cuts = staged(merged.groupBy(F.col("row_id").alias("cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")), "cuts")
-    met = keyed.join(cuts, F.col("_row_id") == F.col("cut_id"), "left")
+    cuts = staged(merged.groupBy(F.col("row_id").alias("_cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")), "cuts")
+    met = keyed.join(cuts, F.col("_row_id") == F.col("_cut_id"), "left")
     mark = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
-    text, list_ = F.col(text_col), F.col("cuts")
+    text, list_ = F.col(text_col), F.col("_cuts")
     last = lambda i: F.when(i == 0, 0).otherwise(F.get(list_, i - 1)["end"])
     pieces = F.transform(list_, lambda c, i: F.concat(F.substring(text, last(i) + 1, c["start"] - last(i)), mark(c["kind"])))
     whole = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(list_, -1)["end"] + 1, F.length(text)))

@@ -186,19 +186,21 @@ def categorised(docs: DataFrame, labels: DataFrame, test_fold: int = 0) -> DataF
 
     Labels of rows whose crc32(doc_id) mod ``FOLDS`` is ``test_fold`` are not
     learned from; NULL labels are ignored, an id labelled twice takes the larger
-    one.  NULL and empty texts have no features and get the base rate.  Without
-    labels every probability is one half and nothing is toxic.
+    one.  Texts without a known feature, NULL and empty ones among them, get the
+    base rates and are not toxic.  Without labels every probability is one half
+    and nothing is toxic.
     """
     hashes, models = train(docs, labels, test_fold)
     blank = not any(np.abs(m).sum() for m in models)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts, out = bytes_of(rows.column(1)), []
+        texts, out, some = bytes_of(rows.column(1)), [], []
         for part in chunks(texts):
-            n = len(texts[part])
-            out.append(predict_chain(models, _matrix(_hits(texts[part], hashes), n, len(hashes))))
+            x = _matrix(_hits(texts[part], hashes), len(texts[part]), len(hashes))
+            out.append(predict_chain(models, x))
+            some.append(x.any(axis=1))
         p = np.concatenate(out)
-        toxic = (p[:, -1] >= THRESHOLD) & (not blank)
+        toxic = (p[:, -1] >= THRESHOLD) & np.concatenate(some) & (not blank)
         return pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(p[:, c]) for c in range(p.shape[1])), pa.array(toxic)], ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
