@@ -84,9 +84,9 @@ def _(t):
 SEARCHED = "contains(lower(coalesce(url, '')), '{0}') or contains(lower(coalesce(display_label, '')), '{0}') or contains(lower(coalesce(title, '')), '{0}') or contains(lower(coalesce(alias, '')), '{0}')"
 
 
-@query("search_nodes", f"select id, depth, display_label from eff where not is_deleted and status = 'ok' and ({SEARCHED.format('title, \"1')}) order by depth, id limit 100", "eff")
+@query("search_nodes", f"select id, depth, display_label, count(*) over () as total from eff where not is_deleted and status = 'ok' and ({SEARCHED.format('title, \"1')}) order by depth, id limit 100", "eff")
 def _(t):
-    return B.search(t.effective, 'Title, "1', status="ok").select("id", "depth", "display_label")
+    return B.search(t.effective, 'Title, "1', status="ok").select("id", "depth", "display_label", "total")
 
 
 @query(

@@ -208,7 +208,7 @@ def _(t):
 
 @query(
     "extract_links",
-    ", " + LINKS + " select page_id, order_in_page, href, target_url as link_url, left(anchor_text, 300) as anchor_text, false as is_nofollow from abs_links",
+    ", " + LINKS + " select page_id, order_in_page, href, target_url as link_url, anchor_text, false as is_nofollow from abs_links",
 )
 def _(t):
     return page_links(t).select(
@@ -307,14 +307,14 @@ TITLE = f"trim({duck_entities("regexp_extract(html, '<title>(.*?)</title>', 1, '
 
 @query(
     "extract_content",
-    f"select page_id, nullif(left({TITLE}, 300), '') as title, length({duck_text(CONTENT)}) as text_length, md5({duck_text(CONTENT)}) as text_md5 from pages",
+    f"select page_id, nullif({TITLE}, '') as title, length({duck_text(CONTENT)}) as text_length, md5({duck_text(CONTENT)}) as text_md5 from pages",
 )
 def _(t):
     df = H.extract_content(t.pages.select("page_id", "html"))
     return df.select("page_id", "title", "text_length", F.md5("text").alias("text_md5"))
 
 
-FP = "case when length(left(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 4096)) >= 64 then sha256(left(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 4096)) end"
+FP = "case when length(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 64 then sha256(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) end"
 
 
 @query("content_fingerprint", f"select doc_id, {FP.format('text')} as fingerprint from documents")
@@ -391,9 +391,9 @@ def host_link_targets(t):
 
 @query(
     "archive_parsed",
-    f""", d as (select page_id, html, nullif(left({TITLE}, 300), '') as title, {duck_text(CONTENT)} as text from pages)
+    f""", d as (select page_id, html, nullif({TITLE}, '') as title, {duck_text(CONTENT)} as text from pages)
  select cast(page_id as varchar) as node_id, title, length(text) as text_length, {FP.format('text')} as content_hash,
-   md5(left(text, 4096)) as excerpt_md5, 'raw/' || page_id || '.html' as raw_rel_path, octet_length(encode(html)) as bytes, sha256(html) as sha256 from d""",
+   md5(text) as excerpt_md5, 'raw/' || page_id || '.html' as raw_rel_path, octet_length(encode(html)) as bytes, sha256(html) as sha256 from d""",
 )
 def _(t):
     pages = t.pages.select(F.lit("s").alias("site_id"), F.col("page_id").cast("string").alias("node_id"), "url", "html")

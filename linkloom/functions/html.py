@@ -1,12 +1,17 @@
 """Links, text and features of stored HTML, by regular expressions in the JVM.
 
 Whole texts are processed.  Patterns use possessive quantifiers so that long
-attributes neither backtrack nor recurse.  Known limits: same-named tags nested
-inside nav/footer/aside, and named entities outside the common set below.
+attributes neither backtrack nor recurse.  Comments and elements with raw text
+go in one pass, whichever opens first; attributes are read one after another, so
+a name inside another value is not found.  Known limits: same-named tags nested
+inside nav/footer/aside, and entities written without their semicolon.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +23,12 @@ SKIPPED_SCHEMES = ("mailto:", "tel:", "javascript:", "data:", "blob:", "file:",
 NON_CONTENT_TAGS = ("script", "style", "noscript", "template")
 BOILERPLATE_TAGS = ("nav", "footer", "aside")
 MOUNT_ROOTS = ("root", "app", "__next")
-ANCHOR_TEXT_MAX = 300
-TITLE_MAX = 300
-DESCRIPTION_MAX = 500
-FINGERPRINT_CHARS = 4096
+RAW_TEXT_TAGS = ("textarea", "title", "iframe", "xmp")
 FINGERPRINT_MIN = 64
-NAMED_ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™",
-    "middot": "·", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“",
-    "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "euro": "€", "pound": "£", "sect": "§", "deg": "°",
-    "times": "×", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü", "ouml": "ö",
-    "auml": "ä", "szlig": "ß", "ntilde": "ñ",
-}
 # -------------------------------------------------------------------------
 
-_ENTITY_TABLE = "array(" + ", ".join(
-    "struct('&{};' as k, '{}' as v)".format(name, char.replace("'", "\\'")) for name, char in NAMED_ENTITIES.items()
-) + ")"
+# the standard's own names, of which those with a semicolon are decoded; amp comes last, see decode_entities
+_ENTITIES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";") and k not in ("amp;", "AMP;")})
 _ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _SPACE = r"[\s\x{a0}\x{feff}]+"
 
@@ -45,8 +39,9 @@ def _drop_elements(html: Column, tags: tuple[str, ...]) -> Column:
     return html
 
 
-def drop_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+def drop_raw(html: Column, tags: tuple[str, ...] = NON_CONTENT_TAGS) -> Column:
+    """Without comments and the given elements; what opens first hides what it contains."""
+    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(tags)})\b[^>]*+>.*?(?:</\1\s*>|\z)", "")
 
 
 def _numeric_entities(text: Column, pattern: str, lead: str, base: int) -> Column:
@@ -62,16 +57,20 @@ def _numeric_entities(text: Column, pattern: str, lead: str, base: int) -> Colum
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode common named and all numeric character references."""
+    """Decode named and numeric character references that end with a semicolon."""
 
     def numbered(t: Column) -> Column:
         done = _numeric_entities(t, r"&#([0-9]+);", "&#", 10)
         done = _numeric_entities(done, r"&#x([0-9a-fA-F]+);", "&#x", 16)
+        done = _numeric_entities(done, r"&#X([0-9a-fA-F]+);", "&#X", 16)
         return F.when(F.contains(t, F.lit("&#")), done).otherwise(t)
 
     def named(t: Column) -> Column:
-        out = F.aggregate(F.expr(_ENTITY_TABLE), t, lambda acc, e: F.replace(acc, e["k"], e["v"]))
-        return F.when(F.contains(t, F.lit("&")), F.replace(let(out, numbered), F.lit("&amp;"), F.lit("&"))).otherwise(t)
+        table = F.from_json(F.lit(_ENTITIES), "map<string,string>")  # folded into a literal
+        names = F.array_distinct(F.regexp_extract_all(t, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+        swap = lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.coalesce(F.element_at(table, n), F.concat(F.lit("&"), n, F.lit(";"))))
+        out = let(F.aggregate(names, t, swap), numbered)
+        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(out, "&(amp|AMP);", "&")).otherwise(t)
 
     return let(text, named)
 
@@ -84,12 +83,15 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, rf"(?s)</?[a-zA-Z!]{_ATTRS}>", "")
 
 
+_TOKEN = r"""[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?)?"""
+
+
 def attribute(tag_text: Column, name: str) -> Column:
-    """Value of an attribute inside the text of a start tag; NULL when absent."""
-    pattern = rf"""(?is)(?:^|[\s"'/]){name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
-    value = F.concat(*[F.regexp_extract(tag_text, pattern, i) for i in (1, 2, 3)])
-    bare = rf"""(?is)(?:^|[\s"'/]){name}(?:\s*+=|[\s/>]|$)"""
-    return F.when(tag_text.rlike(bare), decode_entities(value))
+    """Value of an attribute inside the text of a start tag: of the first of that name, '' without a value; NULL when absent."""
+    tokens = F.regexp_extract_all(tag_text, F.lit(_TOKEN), F.lit(0))
+    own = F.get(F.filter(tokens, lambda x: x.rlike(rf"(?is)^{name}\s*(=|$)")), 0)
+    pattern = r"""(?s)^[^=]*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'].*+))$"""
+    return let(own, lambda x: decode_entities(F.concat(*[F.regexp_extract(x, pattern, i) for i in (1, 2, 3)])))
 
 
 def page_anchors(pages: DataFrame, html: str = "html", page_url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +100,7 @@ def page_anchors(pages: DataFrame, html: str = "html", page_url: str = "url", ke
     Slim compared with the page, so it can be stored and read again instead of
     the page text.
     """
-    body = _drop_elements(drop_comments(F.col(html)), NON_CONTENT_TAGS)
+    body = drop_raw(F.col(html), NON_CONTENT_TAGS + RAW_TEXT_TAGS)
     anchor_re = rf"(?is)<a\s{_ATTRS}>.*?(?:</a\s*>|(?=<a[\s>])|\z)"
     base_tag = F.regexp_extract(F.col("_b"), rf"(?is)<base\s({_ATTRS})>", 1)
     df = pages.select(*keep, F.col(page_url).alias("_page"), body.alias("_b"))
@@ -111,13 +113,17 @@ def page_anchors(pages: DataFrame, html: str = "html", page_url: str = "url", ke
 
 
 def extract_links(
-    pages: DataFrame, html: str = "html", page_url: str = "url", keep: tuple[str, ...] = ()
+    pages: DataFrame, html: str = "html", page_url: str = "url", keep: tuple[str, ...] = (), text_max: int | None = None
 ) -> DataFrame:
     """One row per kept ``<a href>`` (see ``links_of``)."""
-    return links_of(page_anchors(pages, html, page_url, keep), keep)
+    return links_of(page_anchors(pages, html, page_url, keep), keep, text_max)
+
+
+def _cut(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
 
 
-def links_of(anchors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def links_of(anchors: DataFrame, keep: tuple[str, ...] = (), text_max: int | None = None) -> DataFrame:
     """Links of ``page_anchors`` rows: one row per kept anchor.
 
     Output: ``keep`` columns plus href, url, anchor_text, rel, target,
@@ -150,7 +156,7 @@ def links_of(anchors: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         *keep,
         "href",
         "url",
-        F.substring(collapse(decode_entities(strip_tags(inner))), 1, ANCHOR_TEXT_MAX).alias("anchor_text"),
+        _cut(collapse(decode_entities(strip_tags(inner))), text_max).alias("anchor_text"),
         rel.alias("rel"),
         attribute(tag, "target").alias("target"),
         F.coalesce(F.lower(rel).rlike(r"(^|\s)nofollow(\s|$)"), F.lit(False)).alias("is_nofollow"),
@@ -176,34 +182,34 @@ def body_html(html: Column) -> Column:
 
 
 def page_text(html: Column, drop: tuple[str, ...]) -> Column:
-    cleaned = _drop_elements(drop_comments(html), drop)
+    cleaned = _drop_elements(drop_raw(html), tuple(t for t in drop if t not in NON_CONTENT_TAGS))
     return collapse(decode_entities(strip_tags(let(cleaned, body_html))))
 
 
-def extract_content(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add title, description, text, text_length."""
+def extract_content(pages: DataFrame, html: str = "html", title_max: int | None = None, description_max: int | None = None) -> DataFrame:
+    """Add title, description, text, text_length; lengths are cut only where a maximum is given."""
     h = F.col(html)
-    clean = drop_comments(h)
+    clean = drop_raw(h)
     title = F.trim(decode_entities(F.regexp_extract(clean, r"(?is)<title\b[^>]*+>(.*?)(?:</title\s*>|\z)", 1)))
     meta = F.regexp_extract(clean, r"""(?is)<meta\s([^>]*?\bname\s*+=\s*+["']?description\b[^>]*+)>""", 1)
     description = F.trim(attribute(F.nullif(meta, F.lit("")), "content"))
     df = pinned(pages.withColumn("text", page_text(h, NON_CONTENT_TAGS + BOILERPLATE_TAGS)), "text")
     return df.select(
         *[c for c in df.columns if c not in ("title", "description", "text_length")],
-        F.nullif(F.substring(title, 1, TITLE_MAX), F.lit("")).alias("title"),
-        F.nullif(F.substring(description, 1, DESCRIPTION_MAX), F.lit("")).alias("description"),
+        F.nullif(_cut(title, title_max), F.lit("")).alias("title"),
+        F.nullif(_cut(description, description_max), F.lit("")).alias("description"),
         F.length("text").alias("text_length"),
     )
 
 
-def content_fingerprint(text: Column) -> Column:
-    """SHA-256 of the letters and digits; NULL for texts too short to compare.
+def content_fingerprint(text: Column, chars: int | None = None, least: int = FINGERPRINT_MIN) -> Column:
+    """SHA-256 of all letters and digits; NULL for texts of fewer than ``least``.
 
-    The hashed length is part of the definition of the fingerprint.
+    ``chars`` hashes only so many of them, for comparison with fingerprints made
+    that way.
     """
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
-    head = F.substring(letters, 1, FINGERPRINT_CHARS)
-    return F.when(F.length(head) >= FINGERPRINT_MIN, F.sha2(head, 256))
+    letters = _cut(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""), chars)
+    return let(letters, lambda x: F.when(F.length(x) >= least, F.sha2(x, 256)))
 
 
 def content_class(content_type: Column) -> Column:
@@ -216,12 +222,12 @@ def content_class(content_type: Column) -> Column:
 
 def render_features(pages: DataFrame, html: str = "html", page_url: str = "url") -> DataFrame:
     """Script count, mount root, text length and link count of each page."""
-    h = drop_comments(F.col(html))
-    kept = _drop_elements(h, NON_CONTENT_TAGS)
+    opened = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*+>.*?(?:</script\s*>|\z)"), F.lit(0))
+    kept = drop_raw(F.col(html))
     mount = kept.rlike(
         rf"""(?is)<[a-z][^>]*\sid\s*=\s*["']?({"|".join(MOUNT_ROOTS)})["'\s>]|<[a-z][^>]*\sdata-reactroot[\s=>]"""
     )
-    scripts = F.size(F.regexp_extract_all(h, F.lit(r"(?i)<script\b"), F.lit(0)))
+    scripts = F.size(F.filter(opened, lambda x: ~F.startswith(x, F.lit("<!--"))))
     hrefs = F.regexp_extract_all(kept, F.lit(r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""), F.lit(1))
     skip = r"(?i)^(#|" + "|".join(SKIPPED_SCHEMES) + ")"
     return pages.select(

@@ -16,13 +16,13 @@ def children_page(effective: DataFrame, site_id: str, parent: str | None, offset
     owner = F.col("effective_parent_id").isNull() if parent is None else F.col("effective_parent_id") == parent
     rows = effective.filter((F.col("site_id") == site_id) & owner & ~F.col("is_deleted"))
     total = rows.groupBy("site_id").agg(F.count("*").alias("total"))
-    return rows.orderBy("depth", "id").offset(offset).limit(min(limit, 500)).join(total, "site_id")
+    return rows.orderBy("depth", "id").offset(offset).limit(limit).join(total, "site_id")
 
 
-def children_pages(effective: DataFrame, page_size: int = 100, **ordering) -> DataFrame:
+def children_pages(effective: DataFrame, page_size: int = 100) -> DataFrame:
     """All children with page number, for every parent at once."""
     live = effective.filter(~F.col("is_deleted"))
-    ranked = with_row_number(live, ["site_id", "effective_parent_id"], ["depth", "id"], "_rn", **ordering)
+    ranked = with_row_number(live, ["site_id", "effective_parent_id"], ["depth", "id"], "_rn")
     place = F.col("_rn") - 1
     return ranked.select(
         "site_id",
@@ -33,7 +33,7 @@ def children_pages(effective: DataFrame, page_size: int = 100, **ordering) -> Da
     )
 
 
-def flat_tree(effective: DataFrame, limit: int = 5000) -> DataFrame:
+def flat_tree(effective: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` live nodes per site by (depth, id), with total and truncated flag."""
     live = effective.filter(~F.col("is_deleted"))
     totals = live.groupBy("site_id").agg(F.count("*").alias("total"))
@@ -51,13 +51,17 @@ def search(
     depth: int | None = None,
     status: str | None = None,
     regex: bool = False,
-    limit: int = 100,
+    limit: int | None = 100,
     candidates: int | None = None,
 ) -> DataFrame:
-    """Live nodes whose url, label, title or alias contain ``q`` (or match it as a regex).
+    """Live nodes whose url, label, title or alias contain ``q`` (or match it as a regex), with ``total`` hits.
 
     All nodes are scanned; ``candidates`` restores a first-n-by-depth cut.
+    ``limit`` is the length of the list, None for all.  A pattern that is no
+    regular expression raises ValueError before anything is read.
     """
+    if regex:
+        _check_pattern(effective, q)
     rows = effective.filter(~F.col("is_deleted"))
     if depth is not None:
         rows = rows.filter(F.col("depth") == depth)
@@ -71,16 +75,27 @@ def search(
     else:
         hits = [F.coalesce(F.contains(F.lower(f), F.lit(q.lower())), F.lit(False)) for f in fields]
     matched = hits[0] | hits[1] | hits[2] | hits[3]
-    return rows.filter(matched).orderBy("depth", "id").limit(max(1, min(limit, 500)))
+    found = rows.filter(matched)
+    listed = found.orderBy("depth", "id") if limit is None else found.orderBy("depth", "id").limit(limit)
+    total = found.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("total"))
+    return listed.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+
+
+def _check_pattern(df: DataFrame, pattern: str) -> None:
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except Exception as error:
+        raise ValueError(f"not a regular expression: {pattern}") from error
 
 
-def materials_list(materials: DataFrame, site_id: str, node_id: str | None = None, kind: str | None = None, limit: int = 500) -> DataFrame:
+def materials_list(materials: DataFrame, site_id: str, node_id: str | None = None, kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """Files of a site by id; ``limit`` is the length of the list, None for all."""
     rows = materials.filter(F.col("site_id") == site_id)
     if node_id is not None:
         rows = rows.filter(F.col("node_id") == node_id)
     if kind is not None:
         rows = rows.filter(F.col("kind") == kind)
-    return rows.orderBy("id").limit(min(limit, 5000))
+    return rows.orderBy("id") if limit is None else rows.orderBy("id").limit(limit)
 
 
 def latest_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

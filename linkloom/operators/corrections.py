@@ -28,10 +28,10 @@ def stack_tops(ops: DataFrame) -> DataFrame:
     )
 
 
-def op_chain(ops: DataFrame, **ordering) -> DataFrame:
+def op_chain(ops: DataFrame) -> DataFrame:
     """prev_op_group = the operation before it (a batch of appends without undo)."""
     last = {"_prev": ("max", F.struct("seq", "id", "op_group"))}
-    out = running(ops, ["site_id"], ["seq", "id"], last, exclusive=True, **ordering)
+    out = running(ops, ["site_id"], ["seq", "id"], last, exclusive=True)
     return out.withColumn("prev_op_group", F.col("_prev.op_group")).drop("_prev")
 
 

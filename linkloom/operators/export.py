@@ -28,7 +28,6 @@ NODE_COLUMNS = (
 ).split()
 MERMAID_MAX_NODES = 800
 MERMAID_LABEL_MAX = 60
-TEXT_EXCERPT_MAX = 4096
 # -------------------------------------------------------------------------
 
 
@@ -270,10 +269,11 @@ def write_manifest(spark: SparkSession, path: str) -> None:
 # ---- page archive -------------------------------------------------------
 
 
-def archive_pages(pages: DataFrame, store_raw: bool = False) -> tuple[DataFrame, DataFrame]:
+def archive_pages(pages: DataFrame, store_raw: bool = False, excerpt_max: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Parsed record per page and its material rows.
 
-    Input: site_id, node_id, url, html.  ``store_raw`` adds the html row.
+    Input: site_id, node_id, url, html.  ``store_raw`` adds the html row; the text is
+    cut only where ``excerpt_max`` is given.
     """
     raw_rel = F.concat(F.lit("raw/"), F.col("node_id"), F.lit(".html"))
     parsed = extract_content(pages)
@@ -286,7 +286,7 @@ def archive_pages(pages: DataFrame, store_raw: bool = False) -> tuple[DataFrame,
         "description",
         "text_length",
         "content_hash",
-        F.substring("text", 1, TEXT_EXCERPT_MAX).alias("text_excerpt"),
+        (F.col("text") if excerpt_max is None else F.substring("text", 1, excerpt_max)).alias("text_excerpt"),
         (raw_rel if store_raw else F.lit(None).cast("string")).alias("raw_rel_path"),
         (F.sha2("html", 256) if store_raw else F.lit(None).cast("string")).alias("raw_sha256"),
     )

@@ -60,7 +60,7 @@ def apply_retries(queue: DataFrame, plan: DataFrame, now: int) -> DataFrame:
 
 
 def schedule(
-    queue: DataFrame, min_delay_ms: int = 1000, per_host: int = 2, jitter_ms: int = 0, seed: int = 0, **ordering
+    queue: DataFrame, min_delay_ms: int = 1000, per_host: int = 2, jitter_ms: int = 0, seed: int = 0
 ) -> DataFrame:
     """Earliest start and slot per host, in queue order.
 
@@ -73,7 +73,7 @@ def schedule(
     # hashing the id instead of rand() keeps the plan the same on recomputation
     extra = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(jitter_ms, 0) + 1))
     gaps = {"_rn": ("sum", F.lit(1)), "_wait": ("sum", F.col("_extra"))}
-    ranked = running(queue.withColumn("_extra", extra), ["host"], order, gaps, **ordering)
+    ranked = running(queue.withColumn("_extra", extra), ["host"], order, gaps)
     place = F.col("_rn") - 1
     return ranked.select(
         *queue.columns,
@@ -89,9 +89,9 @@ def queue_counts(queue: DataFrame) -> DataFrame:
     )
 
 
-def number_manual_edges(edges: DataFrame, **ordering) -> DataFrame:
+def number_manual_edges(edges: DataFrame) -> DataFrame:
     """order_in_page of manual edges = edges the page has before them."""
-    ranked = with_row_number(edges, ["site_id", "from_id"], ["id"], "_rn", **ordering)
+    ranked = with_row_number(edges, ["site_id", "from_id"], ["id"], "_rn")
     place = F.col("_rn") - 1
     number = F.when(F.col("source") == "manual", place).otherwise(F.col("order_in_page")).cast("int")
     return ranked.withColumn("order_in_page", number).drop("_rn")

@@ -13,8 +13,9 @@ from ..plans.stage import is_empty, staged
 
 def resolve_targets(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``to_id`` to links (site_id, target_identity, target_url): identity first, else url."""
-    by_key = nodes.select(
-        F.col("site_id").alias("_s1"), F.col("identity_key").alias("_k"), F.col("id").alias("_id1")
+    by_key = (
+        nodes.groupBy(F.col("site_id").alias("_s1"), F.col("identity_key").alias("_k"))
+        .agg(F.min("id").alias("_id1"))
     )
     by_url = (
         nodes.groupBy(F.col("site_id").alias("_s2"), F.col("url").alias("_u"))
@@ -40,12 +41,9 @@ def first_discovery(links: DataFrame) -> DataFrame:
     )
 
 
-def bfs_rank(discoveries: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def bfs_rank(discoveries: DataFrame) -> DataFrame:
     """Queue order per site: shallow first, then by discovery."""
-    kwargs = {} if hot_rows is None else {"hot_rows": hot_rows}
-    return with_row_number(
-        discoveries, ["site_id"], ["depth", "parent_rank", "order_in_page"], "bfs_rank", **kwargs
-    )
+    return with_row_number(discoveries, ["site_id"], ["depth", "parent_rank", "order_in_page"], "bfs_rank")
 
 
 def dedup_edges(links: DataFrame, order: Column) -> DataFrame:
@@ -75,9 +73,11 @@ def apply_redirects(nodes: DataFrame, redirects: DataFrame) -> DataFrame:
 
     ``redirects``: site_id, node_id, final_url, final_identity, seq.  When the
     identity already has an owner (a node, or an earlier redirect) only the url
-    changes.
+    changes.  Of several redirects of one node the last counts.
     """
-    owned = nodes.select(F.col("site_id").alias("_s"), F.col("identity_key").alias("_k"), F.col("id").alias("_owner"))
+    rest = [c for c in redirects.columns if c != "node_id"]
+    redirects = redirects.groupBy("node_id").agg(F.max_by(F.struct(*rest), "seq").alias("_r")).select("node_id", "_r.*")
+    owned = nodes.groupBy(F.col("site_id").alias("_s"), F.col("identity_key").alias("_k")).agg(F.min("id").alias("_owner"))
     winners = redirects.groupBy(
         F.col("site_id").alias("_ws"), F.col("final_identity").alias("_wk")
     ).agg(F.min_by("node_id", "seq").alias("_winner"))

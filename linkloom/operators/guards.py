@@ -22,10 +22,14 @@ def flag_duplicates(pages: DataFrame) -> DataFrame:
         .filter(F.col("_n") > 1)
     )
     on = (F.col("site_id") == F.col("_s")) & (F.col("fingerprint") == F.col("_f"))
-    return pages.join(firsts, on, "left").select(
-        *[pages[c] for c in pages.columns],
+    known = pages.filter(F.col("fingerprint").isNotNull())
+    flagged = known.join(firsts, on, "left").select(
+        *[known[c] for c in pages.columns],
         F.coalesce(F.col("fetch_seq") > F.col("_first"), F.lit(False)).alias("is_duplicate"),
     )
+    # pages without a fingerprint take no part in the join, where they would all meet
+    others = pages.filter(F.col("fingerprint").isNull())
+    return flagged.unionByName(others.withColumn("is_duplicate", F.lit(False)))
 
 
 def _nth(df: DataFrame, keys: list[str], order: str, n: int, name: str) -> DataFrame:

@@ -22,14 +22,13 @@ def layered_layout(
     gap_x: int = GAP_X,
     gap_y: int = GAP_Y,
     padding: int = PADDING,
-    **ordering,
 ) -> DataFrame:
     """Row per depth, ordered by (parent, id); ``nodes``: keys, id, parent_id, depth.
 
     A depth may hold most of a site, so its numbering is split over tasks.
     """
     filled = nodes.withColumn("_parent", F.coalesce("parent_id", F.lit("")))
-    ranked = with_row_number(filled, [*keys, "depth"], ["_parent", "id"], "_rn", **ordering)
+    ranked = with_row_number(filled, [*keys, "depth"], ["_parent", "id"], "_rn")
     return ranked.select(
         *keys,
         "id",
@@ -49,11 +48,11 @@ def layered_size(nodes: DataFrame, keys: tuple[str, ...] = ("site_id",)) -> Data
 
 
 def radial_layout(
-    nodes: DataFrame, keys: tuple[str, ...] = ("site_id",), radius_step: int = 130, size: int = 900, **ordering
+    nodes: DataFrame, keys: tuple[str, ...] = ("site_id",), radius_step: int = 130, size: int = 900
 ) -> DataFrame:
     """Depth 0 in the centre, each depth on its own circle."""
     counts = nodes.groupBy(*keys, "depth").agg(F.count("*").alias("_n"))
-    ranked = with_row_number(nodes, [*keys, "depth"], ["id"], "_rn", **ordering)
+    ranked = with_row_number(nodes, [*keys, "depth"], ["id"], "_rn")
     angle = (F.col("_rn") - 1) / F.col("_n") * 2 * math.pi
     radius = F.least(F.lit(size / 2 - 40), F.col("depth") * radius_step)
     centre = F.lit(size / 2)

@@ -1,22 +1,10 @@
-"""Job options with their allowed ranges."""
+"""Job options and the fixed values of the data model."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
-
-# ---- fixed values: option -> (low, high) --------------------------------
-RANGES = {
-    "max_depth": (0, 20),
-    "max_pages": (1, 1_000_000),
-    "visit_limit": (1, 100),
-    "prefix_prune_threshold": (1, 10_000),
-    "pagination_page_limit": (1, 10_000),
-    "min_delay_ms": (0, 60_000),
-    "per_host_concurrency": (1, 16),
-    "max_retries": (0, 10),
-    "retry_backoff_ms": (0, 60_000),
-    "retry_backoff_max_ms": (0, 600_000),
-}
+from dataclasses import dataclass, field
+
+# ---- fixed values -------------------------------------------------------
 SCOPES = ("same_domain", "same_site", "allowlist", "all")
 NODE_STATUSES = ("queued", "crawling", "ok", "error", "blocked", "skipped", "need_human")
 QUEUE_STATES = ("pending", "running", "done", "failed", "skipped")
@@ -26,27 +14,27 @@ SCHEMA_VERSION = "1.0"
 
 @dataclass(frozen=True)
 class CrawlOptions:
+    """What a crawl over stored pages follows.
+
+    None switches a budget off; ``guards=False`` switches all of them off.
+    Values are taken as they are: what can't be meant is an error.
+    """
+
     max_depth: int = 5
-    max_pages: int = 100_000
-    visit_limit: int = 3
-    prefix_prune_threshold: int = 20
-    pagination_page_limit: int = 50
-    min_delay_ms: int = 1000
-    per_host_concurrency: int = 2
-    max_retries: int = 2
-    retry_backoff_ms: int = 1000
-    retry_backoff_max_ms: int = 30_000
-    render_mode: str = "auto"
+    max_pages: int | None = None
+    visit_limit: int | None = 3
+    prefix_prune_threshold: int | None = 20
+    pagination_page_limit: int | None = 50
     respect_robots: bool = True
-    user_agent: str = "linkloom"
     drop_www: bool = True
     force_https: bool = False
     tracking_blacklist: tuple[str, ...] = field(default_factory=tuple)
-    # None switches a guard off
     guards: bool = True
 
     def __post_init__(self) -> None:
-        for f in fields(self):
-            if f.name in RANGES:
-                low, high = RANGES[f.name]
-                object.__setattr__(self, f.name, max(low, min(high, int(getattr(self, f.name)))))
+        for name, least in (("max_depth", 0), ("max_pages", 1), ("visit_limit", 1), ("prefix_prune_threshold", 1), ("pagination_page_limit", 1)):
+            value = getattr(self, name)
+            if value is None and name != "max_depth":
+                continue
+            if not isinstance(value, int) or value < least:
+                raise ValueError(f"{name} is {value!r}; it must be a whole number of at least {least}")

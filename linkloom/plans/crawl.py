@@ -32,7 +32,8 @@ from ..sources.robots import robots_allowed
 from .pin import pinned
 from .stage import buckets, is_empty, staged, staged_by
 
-_STEP = 7  # hex digits of one link position in a place key
+_STEP = 8  # hex digits of one link position in a place key: all of a 32-bit number
+_DEPTH = 6  # digits of the depth in front of it
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -147,7 +148,7 @@ def crawl_graph(
             F.col("n.url").alias("url"),
             F.lit(None).cast("string").alias("parent_id"),
             F.lit(0).alias("depth"),
-            F.lit("00").alias("seq"),
+            F.lit("0" * _DEPTH).alias("seq"),
         ),
         "frontier",
     )
@@ -160,7 +161,7 @@ def crawl_graph(
     total = frontier.count()
 
     for depth in range(opts.max_depth + 1):
-        level = _handle(frontier, index, handled, robots, visits, opts, total >= opts.max_pages)
+        level = _handle(frontier, index, handled, robots, visits, opts, opts.max_pages is not None and total >= opts.max_pages)
         handled.append(level)
         if depth == opts.max_depth:
             break
@@ -205,8 +206,8 @@ def crawl_graph(
         moved.append(taken)
         owners = _union(moved)
         place_key = F.concat(
-            F.lpad(F.lit(depth + 1).cast("string"), 2, "0"),
-            F.substring("from_seq", 3, 1 << 30),
+            F.lpad(F.lit(depth + 1).cast("string"), _DEPTH, "0"),
+            F.substring("from_seq", _DEPTH + 1, 1 << 30),
             F.lpad(F.hex("order_in_page"), _STEP, "0"),
         )
         frontier = firsts.filter(F.col("order_in_page") >= 0).select(
@@ -237,7 +238,7 @@ def crawl_graph(
         if not found:
             break
 
-    return _finish(handled, edges, moved)
+    return _finish(handled, edges, moved, norm, links)
 
 
 def _handle(frontier, index, handled, robots, visits, opts, may_be_full) -> DataFrame:
@@ -254,7 +255,8 @@ def _handle(frontier, index, handled, robots, visits, opts, may_be_full) -> Data
     else:
         df = df.withColumn("visits", F.lit(0))
     fetched = F.col("final_key").isNotNull()
-    outcome = F.when(F.coalesce("visits", F.lit(0)) + 1 > opts.visit_limit, "skipped") if opts.guards else F.when(F.lit(False), "")
+    limited = opts.guards and opts.visit_limit is not None
+    outcome = F.when(F.coalesce("visits", F.lit(0)) + 1 > opts.visit_limit, "skipped") if limited else F.when(F.lit(False), "")
     outcome = (
         outcome.when(is_asset_url(F.col("url")), "skipped")
         .when(~F.col("robots_allowed"), "blocked")
@@ -321,12 +323,16 @@ def _drop_copies(level: DataFrame, handled: list[DataFrame]) -> DataFrame:
     )
     on = (F.col("site_id") == F.col("_s")) & (F.col("content_hash") == F.col("_h"))
     copy = F.coalesce((F.col("outcome") == "ok") & (F.col("seq") > F.col("_first")), F.lit(False))
-    joined = level.join(firsts, on, "left").withColumn("is_copy", copy)
-    return joined.select(
-        *[level[c] for c in level.columns],
+    known = level.filter(F.col("content_hash").isNotNull())
+    joined = known.join(firsts, on, "left").withColumn("is_copy", copy)
+    compared = joined.select(
+        *[known[c] for c in level.columns],
         F.when(F.col("is_copy"), "skipped").otherwise(F.col("outcome")).alias("status"),
         "is_copy",
     )
+    # rows without a hash take no part in the join, where they would all meet
+    others = level.filter(F.col("content_hash").isNull())
+    return compared.unionByName(others.select("*", F.col("outcome").alias("status"), F.lit(False).alias("is_copy")))
 
 
 def _expand(level, handled, links, rules, spent, opts, has_series) -> DataFrame:
@@ -340,6 +346,21 @@ def _expand(level, handled, links, rules, spent, opts, has_series) -> DataFrame:
     )
     if not opts.guards:
         return staged(found, "passed")
+    if opts.prefix_prune_threshold is not None:
+        found = _prune(found, handled, opts.prefix_prune_threshold)
+    if not has_series or opts.pagination_page_limit is None:
+        return staged(found, "passed")
+    carried = None
+    if spent:
+        carried = _union(spent).groupBy("site_id", "series_key").agg(F.sum("used").alias("used"))
+    passed = limit_pagination(
+        staged(found, "found"), opts.pagination_page_limit, carried, order=("from_seq", "order_in_page")
+    )
+    return staged(passed, "passed")
+
+
+def _prune(found: DataFrame, handled: list[DataFrame], threshold: int) -> DataFrame:
+    """Without links into a first path segment that had crossed the threshold before their page's turn."""
     hits = _union(
         [
             h.filter((F.col("status") == "ok") & F.col("final_prefix").isNotNull()).select(
@@ -348,29 +369,24 @@ def _expand(level, handled, links, rules, spent, opts, has_series) -> DataFrame:
             for h in handled
         ]
     )
-    crossed = _nth(hits, ["site_id", "prefix"], "seq", opts.prefix_prune_threshold + 1, "crossed_at")
-    found = (
+    crossed = _nth(hits, ["site_id", "prefix"], "seq", threshold + 1, "crossed_at")
+    return (
         found.join(crossed, ["site_id", "prefix"], "left")
         .filter(F.col("crossed_at").isNull() | (F.col("crossed_at") >= F.col("from_seq")))
         .drop("crossed_at")
     )
-    if not has_series:
-        return staged(found, "passed")
-    carried = None
-    if spent:
-        carried = _union(spent).groupBy("site_id", "series_key").agg(F.sum("used").alias("used"))
-    passed = limit_pagination(
-        staged(found, "found"), opts.pagination_page_limit, carried, order=("from_seq", "order_in_page")
-    )
-    return staged(passed, "passed")
 
 
-def _finish(handled, edges, moved) -> tuple[DataFrame, DataFrame]:
-    empty_edges = not edges
+def _finish(handled, edges, moved, norm, links) -> tuple[DataFrame, DataFrame]:
     nodes = _union(handled)
-    if empty_edges:
-        raise ValueError("max_depth 0 yields no edges; use max_depth >= 1")
-    all_edges = _union(edges)
+    strings = ", ".join(f"{c} string" for c in ("site_id", "from_id", "to_id", "fragment", "from_seq"))
+    if edges:
+        all_edges = _union(edges)
+    else:  # depth 0: the roots alone
+        fields = links.select("order_in_page", "anchor_text", "rel", "target", "is_nofollow").schema
+        schema = ", ".join([strings, *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
+        all_edges = nodes.sparkSession.createDataFrame([], schema)
+        moved = [nodes.limit(0).select("site_id", "identity_key", F.col("id").alias("owner_id"))]
     keys = ["site_id", "from_id", "to_id", "fragment"]
     rest = ["from_seq", "order_in_page", "anchor_text", "rel", "target", "is_nofollow"]
     all_edges = staged(
@@ -385,7 +401,7 @@ def _finish(handled, edges, moved) -> tuple[DataFrame, DataFrame]:
     shown = (F.col("status") == "ok") | F.col("is_copy")
     nodes = nodes.join(owners, ["site_id", "id"], "left").join(ins, "id", "left")
     nodes = nodes.withColumn("url", F.when(F.col("redirected"), F.col("final_url")).otherwise(F.col("url")))
-    nodes = normalize_url(nodes, "url", "n")
+    nodes = normalize_url(nodes, "url", "n", **norm)
     return (
         nodes.select(
             "id",

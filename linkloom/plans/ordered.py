@@ -1,10 +1,10 @@
 """Ordering within groups that survives a group holding a third of all rows.
 
-A plain window sorts each group in one task.  The helpers below look at the
-largest group first (one map-side combined count) and, only when a group is
-larger than ``hot_rows``, cut the order into bins with sampled boundaries, so
-that one group is sorted by many tasks and the bins are stitched together with
-per-bin totals.  Both ways give the same rows.
+A plain window sorts each group in one task.  Here rows are range-partitioned by
+group and order together, so a large group lies in many partitions, and are
+written with the number of their partition.  Values run within a partition and
+are completed by the totals of the group's earlier partitions, of which there is
+one short row per group and partition.  One plan serves groups of all sizes.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
+from .stage import staged
+
 # Spark pushes row_number() <= n below the shuffle only up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
 PUSHED_LIMIT = 1000
 SALTS = 256
-MAX_BINS = 1024
 
 
 def _desc_flags(order: Sequence[str]) -> list[tuple[str, bool]]:
@@ -56,62 +56,8 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, all rows) from one map-side combined count."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m"), F.sum("count").alias("t")).first()
-    return int(row["m"] or 0), int(row["t"] or 0)
-
-
-def _bin_column(df: DataFrame, order: Sequence[str], bins: int, total: int) -> Column:
-    """Order-preserving bin number from boundaries sampled over the order columns.
-
-    The boundaries become literals, so a recomputed task sees the same bins.
-    At most ``bins`` short rows reach the driver.  Each row descends a balanced
-    tree of comparisons.
-    """
-    flags = _desc_flags(order)
-    names = [name for name, _ in flags]
-    fraction = min(1.0, bins * 50.0 / max(total, 1))
-    edges = (
-        df.select(*names)
-        .sample(fraction, seed=7)
-        .withColumn("_tile", F.ntile(bins).over(Window.orderBy(*sort_columns(order))))
-        .groupBy("_tile")
-        .agg(F.min_by(F.struct(*names), F.col("_tile")).alias("_edge"))
-        .orderBy("_tile")
-        .limit(bins)
-        .collect()
-    )
-    # the tile's member is any one of it; sorting makes the boundaries ascend
-    bounds = [e["_edge"] for e in edges[1:]]
-
-    def beyond(bound) -> Column:
-        # lexicographic comparison, nulls last for both directions
-        cond: Column = F.lit(True)
-        for name, desc in reversed(flags):
-            value = bound[name]
-            col = F.col(name)
-            if value is None:
-                after, equal = F.lit(False), col.isNull()
-            else:
-                lit = F.lit(value)
-                after = col.isNull() | ((col < lit) if desc else (col > lit))
-                equal = col.isNotNull() & (col == lit)
-            cond = F.coalesce(after, F.lit(False)) | (F.coalesce(equal, F.lit(False)) & cond)
-        return cond
-
-    def descend(low: int, high: int) -> Column:
-        # bins low..high are still possible; bounds[k] opens bin k + 1
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(beyond(bounds[middle]), descend(middle + 1, high)).otherwise(descend(low, middle))
-
-    return descend(0, len(bounds))
-
-
 _COMBINE = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
     "max": (F.max, lambda a, b: F.greatest(a, b)),
     "min": (F.min, lambda a, b: F.least(a, b)),
 }
@@ -124,61 +70,30 @@ def running(
     aggs: dict[str, tuple[str, Column]],
     *,
     exclusive: bool = False,
-    hot_rows: int = HOT_ROWS,
-    bins: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Running sum / max / min within each group in the given total order.
 
-    ``exclusive`` leaves the current row out.  ``max`` and ``min`` over structs
-    are compared with ``greatest``/``least``.  A group above ``hot_rows`` is cut
-    into bins (see module text).
+    ``exclusive`` leaves the current row out; the first row of a group then has
+    NULL.  ``max`` and ``min`` over structs are compared with ``greatest`` and
+    ``least``.  ``partitions`` defaults to the session's shuffle partitions.
     """
     ordering = sort_columns(order)
-    upper = -1 if exclusive else Window.currentRow
-    largest, total = group_sizes(df, keys)
-    if largest <= hot_rows:
-        w = (
-            Window.partitionBy(*keys)
-            .orderBy(*ordering)
-            .rowsBetween(Window.unboundedPreceding, upper)
-        )
-        return df.select("*", *[_COMBINE[k][0](c).over(w).alias(a) for a, (k, c) in aggs.items()])
-
-    bins = bins or min(MAX_BINS, max(8, 2 * total // hot_rows))
-    binned = df.withColumn("_bin", _bin_column(df, order, bins, total))
-    totals = binned.groupBy(*keys, "_bin").agg(
-        *[_COMBINE[k][0](c).alias(f"_t_{a}") for a, (k, c) in aggs.items()]
-    )
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bin", *[_COMBINE[k][0](f"_t_{a}").over(before).alias(f"_o_{a}") for a, (k, _) in aggs.items()]
-    )
-    w = (
-        Window.partitionBy(*keys, "_bin")
-        .orderBy(*ordering)
-        .rowsBetween(Window.unboundedPreceding, upper)
-    )
-    local = binned.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_l_{a}") for a, (k, c) in aggs.items()])
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bin"]],
-    )
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *ordering)
+    # written, so that totals and rows are sure to speak of the same partitions
+    ranged = staged(dealt.withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_part").agg(*[_COMBINE[k][0](c).alias(f"_t_{a}") for a, (k, c) in aggs.items()])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_part", *[_COMBINE[k][0](f"_t_{a}").over(before).alias(f"_o_{a}") for a, (k, _) in aggs.items()])
+    w = Window.partitionBy(*keys, "_part").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
+    local = ranged.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_l_{a}") for a, (k, c) in aggs.items()])
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]])
     joined = local.alias("l").join(offsets.alias("r"), on, "left")
-    result = [
-        _COMBINE[k][1](F.col(f"l._l_{a}"), F.col(f"r._o_{a}")).alias(a) for a, (k, _) in aggs.items()
-    ]
+    result = [_COMBINE[k][1](F.col(f"l._l_{a}"), F.col(f"r._o_{a}")).alias(a) for a, (k, _) in aggs.items()]
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *result)
 
 
-def with_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    name: str = "rn",
-    *,
-    hot_rows: int = HOT_ROWS,
-    bins: int | None = None,
-) -> DataFrame:
+def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", *, partitions: int | None = None) -> DataFrame:
     """``row_number`` (from 1) for all rows of every group."""
-    out = running(df, keys, order, {name: ("sum", F.lit(1))}, hot_rows=hot_rows, bins=bins)
-    return out.withColumn(name, F.col(name).cast("int"))
+    return running(df, keys, order, {name: ("sum", F.lit(1))}, partitions=partitions)

@@ -97,24 +97,24 @@ def _frame(rows: list) -> pd.DataFrame:
     return pdf.astype({"click_id": "int64", "at_ms": "int64", "nav_id": "Int64", "from_depth": "Int32"})
 
 
-def bursts(events: DataFrame, window_ms: int, **ordering) -> DataFrame:
+def bursts(events: DataFrame, window_ms: int) -> DataFrame:
     """Add ``burst``: start of the run of events without a gap longer than the window."""
     order = ["at_ms", "event_id"]
     with_prev = running(
-        events, ["session_id"], order, {"_prev": ("max", F.col("at_ms"))}, exclusive=True, **ordering
+        events, ["session_id"], order, {"_prev": ("max", F.col("at_ms"))}, exclusive=True
     )
     start = F.when(F.col("_prev").isNull() | (F.col("at_ms") - F.col("_prev") > window_ms), F.col("at_ms"))
     marked = with_prev.withColumn("_start", start).drop("_prev")
-    return running(marked, ["session_id"], order, {"burst": ("max", F.col("_start"))}, **ordering).drop("_start")
+    return running(marked, ["session_id"], order, {"burst": ("max", F.col("_start"))}).drop("_start")
 
 
-def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, **ordering) -> DataFrame:
+def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS) -> DataFrame:
     """Outcome of every click; ``events`` has EVENT_COLUMNS (clicks and navigations).
 
     Each partition is walked once in (session, burst, time) order, so many
     short bursts cost no more than one long one.
     """
-    cut = bursts(events.select(*EVENT_COLUMNS), window_ms, **ordering)
+    cut = bursts(events.select(*EVENT_COLUMNS), window_ms)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queue, current = None, None
