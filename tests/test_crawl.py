@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from linkloom.options import CrawlOptions
 from linkloom.plans.crawl import crawl_graph
 from linkloom.sources.robots import robots_rules
@@ -52,7 +54,7 @@ def model(rows, origin, opts, blocked=()):
         queue.sort(key=lambda k: nodes[k]["depth"])  # stable: shallow first, then first queued
         key = queue.pop(0)
         node = nodes[key]
-        if fetched >= opts.max_pages:
+        if opts.max_pages is not None and fetched >= opts.max_pages:
             node["status"] = "skipped"
             break
         path = key[len(origin):].split("?")[0]
@@ -125,19 +127,14 @@ def compare(spark, by_origin, opts, robots, blocked):
     return results
 
 
-def fixture_site(o):
-    rows = [
-        ("/", page("Home", anchors("/about", "/docs", "/team", "/spa", "http://localhost:1/out", "/missing", "/no/secret", "/assets/logo.png", "/paged?page=1"))),
-        ("/about", page("About", "about" + anchors("/", "/team", "/docs", "/assets/logo.png", "/assets/report.pdf"))),
-        ("/docs", page("Docs", "docs" + anchors("/docs/guide", "/docs/api/", "/docs/guide#step-2", "/docs/guide/", "/docs/guide#step-3", "/docs/guide?a=1"))),
-        ("/docs/guide", page("Guide", "guide" + anchors("/docs/guide/install", "/docs"))),
-        ("/docs/guide/install", page("Inst", "inst" + anchors("/docs/guide"))),
-        ("/docs/api", page("Api", "api" + anchors("/docs"))),
-        ("/team", page("Team", "team" + anchors("/about"))),
-        ("/spa", page("Spa", "spa" + anchors("/spa/child"))),
-        *[(f"/paged?page={i}", page("P", f"list {i}" + anchors(f"/paged?page={i + 1}"))) for i in range(1, 9)],
-    ]
-    return [(o + u, h, 200, "text/html") for u, h in rows] + [(o + "/missing", page("404", "none"), 404, "text/html")]
+def orchard(o):
+    """A chain of pages, a hub that is reached twice, a copy, a long series and dead ends."""
+    rows = [("/", page("Gate", "gate" + anchors("/rows/1", "/barn", "/no/well", "/press.pdf", "/gone", "/crop?page=1")))]
+    rows += [(f"/rows/{i}", page(f"Row {i}", f"row {i}" + anchors(f"/rows/{i + 1}", "/barn#door"))) for i in range(1, 7)]
+    rows += [("/barn", page("Barn", "barn" + anchors("/loft/", "/loft#hay", "/copy", "/"))), ("/loft", page("Loft", "loft" + anchors("/rows/3")))]
+    rows += [("/copy", page("Other title", "barn" + anchors("/loft/", "/loft#hay", "/copy", "/")))]
+    rows += [(f"/crop?page={i}", page("Crop", f"crop {i}" + anchors(f"/crop?page={i + 1}"))) for i in range(1, 7)]
+    return [(o + u, h, 200, "text/html") for u, h in rows] + [(o + "/gone", page("x", "x"), 410, "text/html")]
 
 
 def random_site(o, seed):
@@ -160,12 +157,31 @@ ROBOTS = "User-agent: *\nDisallow: /no/\n"
 
 def test_sites_match_one_worker(spark):
     other = "https://other.example.net"
-    opts = CrawlOptions(max_depth=4, prefix_prune_threshold=6, pagination_page_limit=3)
-    got = compare(spark, {ORIGIN: fixture_site(ORIGIN), other: random_site(other, 1)}, opts, ROBOTS, ("/no/",))[ORIGIN]
-    assert got[ORIGIN + "/docs/guide"]["depth"] == 2 and got[ORIGIN + "/docs/guide"]["parent"] == ORIGIN + "/docs"
-    assert got[ORIGIN + "/docs/guide/install"]["depth"] == 3
-    assert got[ORIGIN + "/missing"]["status"] == "error" and got[ORIGIN + "/no/secret"]["status"] == "blocked"
-    assert sum("/paged" in k for k in got) == 3
+    opts = CrawlOptions(max_depth=4, prefix_prune_threshold=6, pagination_page_limit=2)
+    got = compare(spark, {ORIGIN: orchard(ORIGIN), other: random_site(other, 1)}, opts, ROBOTS, ("/no/",))[ORIGIN]
+    at = lambda path: (got[ORIGIN + path]["depth"], got[ORIGIN + path]["status"])
+    assert at("/barn") == (1, "ok") and at("/rows/4") == (4, "ok") and ORIGIN + "/rows/5" not in got
+    assert at("/copy") == (2, "skipped") and at("/gone") == (1, "error") and at("/no/well") == (1, "blocked")
+    assert got[ORIGIN + "/rows/3"]["parent"] == ORIGIN + "/rows/2" and sum("/crop" in k for k in got) == 2
+
+
+def test_budgets_that_are_off(spark):
+    opts = CrawlOptions(max_depth=130, max_pages=None, visit_limit=None, prefix_prune_threshold=None, pagination_page_limit=None)
+    deep = [(ORIGIN + ("/" if i == 0 else f"/d/{i}"), page(f"{i}", f"depth {i}" + anchors(f"/d/{i + 1}")), 200, "text/html") for i in range(5)]
+    nodes, _ = crawl(spark, deep, [ORIGIN], opts, "")
+    assert sorted((n.depth, n.status) for n in nodes) == [(i, "ok") for i in range(5)] + [(5, "queued")]
+
+
+def test_depth_zero_is_the_roots(spark):
+    nodes, edges = crawl(spark, orchard(ORIGIN), [ORIGIN], CrawlOptions(max_depth=0), "")
+    assert [(n.identity_key, n.status) for n in nodes] == [(ORIGIN + "/", "ok")] and edges == []
+
+
+def test_options_are_not_bent():
+    assert CrawlOptions(max_depth=500, max_pages=50_000_000).max_pages == 50_000_000
+    for bad in (dict(max_depth=-1), dict(max_pages=0), dict(visit_limit=0), dict(max_depth=None)):
+        with pytest.raises(ValueError):
+            CrawlOptions(**bad)
 
 
 def test_page_limit_matches_one_worker(spark):
