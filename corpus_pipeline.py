@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, lossless) of the documents that all stages keep."""
+    """(doc_id, ids, lossless, n_pieces, ids_crc32) of the documents that all stages keep."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)

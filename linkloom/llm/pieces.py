@@ -21,6 +21,7 @@ arrays; all chunks of a batch take each backward step together.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, mix64, per_batch, table
+from .lattice import PieceTable, forward
 from .words import _BYTES, chunks, powers
 
 THETA = 1.0
 SEED = 20240
 MARK = "▁".encode()
-ARCS = 6_000_000
-PREFIX_BITS = 22
-_PREFIX_SHIFT = np.uint64(64 - PREFIX_BITS)
+#: Arcs that a worker remembers, and bytes of text that it handles at once.
+ARCS = 4_000_000
+PART = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,15 +61,9 @@ class Pieces:
                 plain.append(i)
         pieces = [self.bytes[i] for i in plain]
         assert all(p.strip(b" ") == b"" or b" " not in p[1:] for p in pieces) and not any(b"\n" in p for p in pieces)
-        hashes = np.array([_hash(p) for p in pieces], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(plain, np.int32)[order]
+        self.table = PieceTable(pieces, plain)
         self.log_weight = -theta * np.log(np.arange(size) + 2.0)
         self.log_weight[self.byte] = -theta * np.log(size + 2.0)
-        #: Whether any piece begins with bytes of this hash (its top bits); hits are looked up exactly.
-        self.opens = np.zeros(1 << PREFIX_BITS, bool)
-        self.opens[(np.array([_hash(p[:n]) for p in pieces for n in range(1, len(p) + 1)], np.uint64) >> _PREFIX_SHIFT).astype(np.int64)] = True
-        self.longest = max(map(len, pieces))
         self.starts = np.cumsum([0, *map(len, self.bytes)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
@@ -78,38 +74,6 @@ class Pieces:
         at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.starts[ids], sizes)
         return self.flat[at].tobytes()[1:]
 
-    def arcs(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, id) of all arcs in the chunks of these lengths that stand one behind another in ``raw``."""
-        stops = np.repeat(np.cumsum(lengths), lengths)
-        lead = (raw < 128) | (raw >= 192)
-        char = np.cumsum(lead) - 1
-        width = np.diff(np.append(np.flatnonzero(lead), len(raw)))
-        spelled = np.ones(len(width), bool)
-        at, h = np.flatnonzero(lead), np.zeros(lead.sum(), np.uint64)
-        out = []
-        for n in range(1, self.longest + 1):
-            fits = at + n <= stops[at]
-            at, h = at[fits], h[fits]
-            h = h + _BYTES[raw[at + n - 1]] * powers(n)[n - 1]
-            mixed = mix64(h)
-            some = self.opens[(mixed >> _PREFIX_SHIFT).astype(np.int64)]
-            at, h, mixed = at[some], h[some], mixed[some]
-            if not len(at):
-                break
-            found = np.minimum(np.searchsorted(self.hashes, mixed), len(self.hashes) - 1)
-            hit = self.hashes[found] == mixed
-            start = at[hit]
-            out.append((start, start + n, self.ids[found[hit]]))
-            spelled[char[start[width[char[start]] == n]]] = False
-        alone = np.flatnonzero(spelled[char])
-        out.append((alone, alone + 1, self.byte[raw[alone]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _hash(p: bytes) -> int:
-    raw = np.frombuffer(p, np.uint8)
-    return int(mix64((_BYTES[raw] * powers(len(raw))).sum(keepdims=True))[0])
-
 
 class Lattices:
     """Arcs of all chunks seen so far, by the node (byte position of some chunk) they lead into.
@@ -136,22 +100,11 @@ class Lattices:
         array[at : at + len(values)] = values
 
     def _build(self, raw: np.ndarray, lengths: np.ndarray) -> None:
-        """Forward filtering of all chunks at once, byte position by byte position; sums are kept as logarithms."""
-        start, end, ids = self.pieces.arcs(raw, lengths)
-        offsets = np.cumsum(lengths) - lengths
-        depth = end - np.repeat(offsets, lengths)[end - 1]
-        order = np.lexsort((end, depth))
-        start, end, ids, depth = start[order], end[order], ids[order], depth[order]
-        total = np.full(len(raw) + 1, -np.inf)  # by end position; chunks open with certainty
-        opening = start == np.repeat(offsets, lengths)[start]
-        weight, inflow = self.pieces.log_weight[ids], np.empty(len(ids))
-        cuts = np.searchsorted(depth, np.arange(1, depth.max() + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            inflow[a:b] = weight[a:b] + np.where(opening[a:b], 0.0, total[start[a:b]])
-            heads = np.flatnonzero(np.append(True, end[a + 1 : b] != end[a : b - 1]))
-            total[end[a:b][heads]] = np.logaddexp.reduceat(inflow[a:b], heads)
+        start, end, ids, alone = self.pieces.table.arcs(raw, lengths)
+        start, end = np.append(start, alone), np.append(end, alone + 1)
+        ids = np.append(ids, self.pieces.byte[raw[alone]])
+        order, inflow, total = forward(start, end, self.pieces.log_weight[ids][None, :], lengths)
+        start, end, ids, inflow, total = start[order], end[order], ids[order], inflow[0], total[0]
         live = np.flatnonzero(np.isfinite(inflow))
         live = live[np.argsort(end[live], kind="stable")]
         start, end, ids = start[live], end[live], ids[live]
@@ -250,28 +203,33 @@ def lattices(path: str, theta: float = THETA) -> Lattices:
 
 
 def sampled_pieces(docs: DataFrame, model: str, seed: int = SEED, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, lossless) per row of ``docs``; lossless says that decoding gave the text back, byte for byte.
+    """(doc_id, ids, lossless, n_pieces, ids_crc32) per row of ``docs``.
+
+    lossless says that decoding gave the text back, byte for byte; ids_crc32 is
+    the crc32 of the ids as little-endian unsigned 32-bit integers.
 
     NULL and empty texts have no pieces.  Rows that repeat an id and a text get
     the same pieces; rows without an id share the key 0.
     """
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        store, texts = lattices(model, theta), bytes_of(rows.column(1))
-        keys = rows.column(0).fill_null(0).to_numpy()
-        all_ids, all_counts, same = [], [], []
-        for part in chunks(texts):
-            ids, counts = encode(texts[part], keys[part], store, seed)
-            all_ids.append(ids)
-            all_counts.append(counts)
-            ends = np.cumsum(counts)
-            same += [store.pieces.decode(ids[e - n : e]) == (t or b"") for t, n, e in zip(texts[part], counts, ends, strict=True)]
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(all_counts))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids)))
-        return pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(same)], ["doc_id", "ids", "lossless"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = lattices(model, theta)
+        for rows in batches:
+            texts, keys = bytes_of(rows.column(1)), rows.column(0).fill_null(0).to_numpy()
+            for part in chunks(texts, PART):  # a part at a time, so that memory does not follow the size of batches
+                ids, counts = encode(texts[part], keys[part], store, seed)
+                ends = np.cumsum(counts)
+                own = [ids[e - n : e] for n, e in zip(counts, ends, strict=True)]
+                same = [store.pieces.decode(x) == (t or b"") for x, t in zip(own, texts[part], strict=True)]
+                crc = [zlib.crc32(x.astype("<u4", copy=False).tobytes()) for x in own]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).slice(part.start, len(own)), lists, pa.array(same), pa.array(counts), pa.array(crc, pa.int64())],
+                    ["doc_id", "ids", "lossless", "n_pieces", "ids_crc32"],
+                )
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return per_batch(slim, batch, "doc_id bigint, ids array<int>, lossless boolean")
+    return slim.mapInArrow(run, "doc_id bigint, ids array<int>, lossless boolean, n_pieces bigint, ids_crc32 bigint")
 
 
 def decoded(encoded: DataFrame, model: str) -> DataFrame:
@@ -285,19 +243,8 @@ def decoded(encoded: DataFrame, model: str) -> DataFrame:
     return per_batch(encoded.select("doc_id", "ids"), batch, "doc_id bigint, text string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, lossless): crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        ids = rows.column("ids")
-        offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), rows.column("lossless")], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
-
-    return per_batch(encoded, batch, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, lossless boolean")
-
-
 def op7_sampled_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    encoded = sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_pieces", "ids_crc32", "lossless")
