@@ -1,4 +1,4 @@
-"""Correction layer on the small tree root → a → {a1, a2}; root → b → b1."""
+"""Corrections on a museum: hall → {egypt → {masks, boats → model}, shop, maps}."""
 
 import random
 
@@ -12,7 +12,7 @@ from linkloom.operators import graph as G
 from linkloom.schemas import schema
 from linkloom.streaming.replay import CorrectionLog, replay
 
-TREE = {"root": None, "a": "root", "a1": "a", "a2": "a", "b": "root", "b1": "b"}
+TREE = {"hall": None, "egypt": "hall", "masks": "egypt", "boats": "egypt", "model": "boats", "shop": "hall", "maps": "hall"}
 
 
 @pytest.fixture(scope="module")
@@ -29,54 +29,54 @@ def overrides(spark, rows):
 
 def test_effective_values(spark, nodes):
     ov = overrides(spark, [
-        ("a1", "parent", "b", "g1", False), ("a1", "parent", "root", "g2", True), ("a2", "alias", "", "g3", False),
-        ("a2", "title", "T", "g4", False), ("b", "parent", None, "g5", False), ("b1", "deleted", "1", "g6", False),
+        ("model", "parent", "shop", "o1", False), ("model", "parent", "maps", "o2", True), ("maps", "title", "Old maps", "o3", False), ("maps", "alias", "", "o4", False),
+        ("boats", "url", "https://x/ships", "o5", False), ("shop", "parent", None, "o6", False), ("masks", "deleted", "1", "o7", False), ("masks", "deleted", "0", "o8", True),
     ])
     eff = {r.id: r for r in E.effective_nodes(nodes, ov).collect()}
-    assert eff["a1"].effective_parent_id == "b"
-    assert (eff["a2"].alias, eff["a2"].display_label, eff["a2"].title) == ("", "T", "T")
-    assert eff["b"].effective_parent_id == "root"  # moving to the root has no effect
-    assert eff["b1"].is_deleted and not eff["b1"].base_deleted
-    assert {k for k, r in eff.items() if r.has_override} == {"a1", "a2", "b", "b1"}
-    strict = {r.id: r for r in E.effective_nodes(nodes, ov, null_is_value=True).collect()}
-    assert strict["b"].effective_parent_id is None
+    assert (eff["model"].effective_parent_id, eff["model"].auto_parent_id) == ("shop", "boats")
+    assert (eff["maps"].alias, eff["maps"].title, eff["maps"].display_label) == ("", "Old maps", "Old maps")
+    assert eff["boats"].url == "https://x/ships" and eff["shop"].effective_parent_id == "hall"
+    assert eff["masks"].is_deleted and not eff["masks"].base_deleted and not eff["egypt"].is_deleted
+    assert {k for k in eff if eff[k].has_override} == {"model", "maps", "boats", "shop", "masks"}
+    moved_out = {r.id: r.effective_parent_id for r in E.effective_nodes(nodes, ov, null_is_value=True).collect()}
+    assert moved_out["shop"] is None and moved_out["model"] == "shop"
 
 
 def test_moves(spark, nodes):
     eff = E.effective_nodes(nodes, overrides(spark, []))
-    asked = [("a", "a1", "descendant"), ("a", "a", "self"), ("a1", "b", "ok"), ("a1", "a", "no_change"), ("zz", "a", "not_found"), ("a1", "zz", "parent_not_found"), ("root", None, "no_change")]
-    moves = spark.createDataFrame([("s", n, p) for n, p, _ in asked], "site_id string, node_id string, new_parent_id string")
-    got = {(r.node_id, r.new_parent_id): r.verdict for r in C.validate_moves(eff, moves).collect()}
-    assert got == {(n, p): v for n, p, v in asked}
+    asked = {
+        ("egypt", "model"): "descendant", ("egypt", "egypt"): "self", ("hall", "maps"): "descendant", ("model", "shop"): "ok", ("boats", "hall"): "ok",
+        ("masks", "egypt"): "no_change", ("hall", None): "no_change", ("lost", "hall"): "not_found", ("maps", "lost"): "parent_not_found",
+    }
+    moves = spark.createDataFrame([("s", n, p) for n, p in asked], "site_id string, node_id string, new_parent_id string")
+    assert {(r.node_id, r.new_parent_id): r.verdict for r in C.validate_moves(eff, moves).collect()} == asked
 
 
 def test_delete_and_trash(spark, nodes):
-    none = overrides(spark, [])
-    eff = E.effective_nodes(nodes, none)
-    ids = spark.createDataFrame([("a", 0), ("a1", 1), ("b1", 2)], "id string, pos int")
+    eff = E.effective_nodes(nodes, overrides(spark, []))
+    ids = spark.createDataFrame([("model", 0), ("boats", 1), ("maps", 2)], "id string, pos int")
     rows = C.delete_subtrees(eff, ids, "g", 1)
-    assert {r.node_id for r in rows.collect()} == {"a", "a1", "a2", "b1"}
+    assert sorted(r.node_id for r in rows.collect()) == ["boats", "maps", "model"]
     ov = rows.select(
         F.monotonically_increasing_id().alias("id"), "site_id", "node_id", "field", "value", "prev_value", "op_group", "seq", "undone", F.lit(0).cast("long").alias("created_at")
     )
     eff = E.effective_nodes(nodes, ov)
-    assert {(r.node_id, r.affected_nodes) for r in C.trash_view(eff, ov).collect()} == {("a", 3), ("b1", 1)}
-    assert {r.id: r.child_count for r in E.with_child_count(eff).collect()} == {"root": 1, "a": 0, "a1": 0, "a2": 0, "b": 0, "b1": 0}
+    assert {r.node_id: r.affected_nodes for r in C.trash_view(eff, ov).collect()} == {"boats": 2, "maps": 1}
+    left = {r.id: r.child_count for r in E.with_child_count(eff).collect()}
+    assert left["hall"] == 2 and left["egypt"] == 1 and left["boats"] == 0
 
 
 def test_cycles_stop(spark, nodes):
-    ov = overrides(spark, [("root", "parent", "a1", "g", False)])
-    eff = E.effective_nodes(nodes, ov)
-    got = {(r.node, r.ancestor) for r in G.ancestors(eff).filter("node = 'a'").collect()}
-    assert got == {("a", "root"), ("a", "a1")}
-    sub = {r.id for r in G.subtree(eff, eff.filter("id = 'a'").select("id")).collect()}
-    assert sub == set(TREE)
+    eff = E.effective_nodes(nodes, overrides(spark, [("egypt", "parent", "model", "g", False)]))
+    up = {r.ancestor for r in G.ancestors(eff).filter("node = 'boats'").collect()}
+    assert up == {"egypt", "model"}
+    assert {r.id for r in G.subtree(eff, eff.filter("id = 'model'").select("id")).collect()} == {"model", "egypt", "masks", "boats"}
 
 
 def test_indent(spark, nodes):
     topo = nodes.select("id", F.col("auto_parent_id").alias("parent_id"), F.col("display_label").alias("label"))
-    got = [(r.id, r.level, r.is_last) for r in B.indent_order(topo).collect()]
-    assert got == [("root", 0, True), ("a", 1, False), ("a1", 2, False), ("a2", 2, True), ("b", 1, True), ("b1", 2, True)]
+    got = [("  " * r.level + r.id, r.is_last) for r in B.indent_order(topo).collect()]
+    assert got == [("hall", True), ("  egypt", False), ("    boats", False), ("      model", True), ("    masks", True), ("  maps", False), ("  shop", True)]
 
 
 class Model:

@@ -56,10 +56,8 @@ def expected(rows):
 def test_pairing(spark, seed):
     rows = make(seed)
     df = spark.createDataFrame(rows, DDL)
-    want = expected(rows)
-    for options in ({}, {"hot_rows": 20, "bins": 6}):
-        got = {r.click_id: (r.outcome, r.nav_id) for r in P.pair_clicks(df, WINDOW, **options).collect()}
-        assert got == want
+    got = {r.click_id: (r.outcome, r.nav_id) for r in P.pair_clicks(df, WINDOW).collect()}
+    assert got == expected(rows)
 
 
 def test_pairing_cases(spark):
