@@ -102,11 +102,13 @@ def _(t):
 
 @query(
     "export_graph_json",
-    KEPT + f" select site_id, 'nodes' as part, {NODE_JSON} as line from kept union all select site_id, 'edges', {EDGE_JSON} from ke",
-    "eff", "edges", "materials",
+    KEPT + f""" select id as site_id, 'meta' as part, cast(to_json({{'siteId': id, 'siteName': name, 'rootUrl': root_url,
+     'meta': {{'projection': 'effective', 'schemaVersion': '1.0', 'generatedAt': {GENERATED}}}}}) as varchar) as line from sites
+   union all select site_id, 'nodes' as part, {NODE_JSON} as line from kept union all select site_id, 'edges', {EDGE_JSON} from ke""",
+    "eff", "edges", "materials", "sites",
 )
 def _(t):
-    return X.graph_json(dataset(t)).filter("part <> 'meta'")
+    return X.graph_json(dataset(t))
 
 
 @query("export_materials", KEPT + " select km.site_id, node_id, kept.url, kind, rel_path, bytes, sha256 from km join kept on kept.id = km.node_id", "eff", "edges", "materials")

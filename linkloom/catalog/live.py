@@ -126,8 +126,7 @@ def pair_sql(source: str, window_ms: int) -> str:
     return f"""pe as materialized (select *, row_number() over (partition by session_id order by at_ms, event_id) as rn from {source}),
  w as (select session_id, rn, event_id, case when is_click then [{item}] else cast([] as struct("at" bigint, id bigint, nonnav boolean)[]) end as q, cast(null as bigint) as hit from pe where rn = 1
    union all select c.session_id, c.rn, c.event_id,
-     case when c.is_click then (case when len(w.q) >= 200 then list_append(w.q[2:], {item.replace('at_ms', 'c.at_ms').replace('event_id', 'c.event_id').replace(': nonnav', ': c.nonnav')})
-            else list_append(w.q, {item.replace('at_ms', 'c.at_ms').replace('event_id', 'c.event_id').replace(': nonnav', ': c.nonnav')}) end)
+     case when c.is_click then list_append(w.q, {item.replace('at_ms', 'c.at_ms').replace('event_id', 'c.event_id').replace(': nonnav', ': c.nonnav')})
           when len({live}) > 0 and {live}[1].nonnav then {live}[3:] else {live}[2:] end,
      case when c.is_click then null when len({live}) = 0 then null when {live}[1].nonnav then {live}[2].id else {live}[1].id end
    from w join pe c on c.session_id = w.session_id and c.rn = w.rn + 1),
@@ -177,7 +176,7 @@ def _(t):
 
 @query(
     "manual_edges",
-    MANUAL + """, d as (select identity_key, least(50, arg_min(from_depth, click_id) + 1) as depth from hits group by 1)
+    MANUAL + """, d as (select identity_key, arg_min(from_depth, click_id) + 1 as depth from hits group by 1)
  select from_node, f.identity_key, fragment, click_id, depth, 'manual' as source from firsts f join d on d.identity_key = f.identity_key""",
     "clicks",
 )

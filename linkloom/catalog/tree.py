@@ -71,6 +71,17 @@ def _(t):
     return B.children_pages(t.effective, page_size=5)
 
 
+@query(
+    "children_one_page",
+    """, live as (select *, row_number() over (order by depth, id) as rn, count(*) over () as total from eff
+   where not is_deleted and site_id = 's1' and effective_parent_id = '000000000001')
+ select id, depth, total from live where rn between 2 and 4""",
+    "eff",
+)
+def _(t):
+    return B.children_page(t.effective, "s1", "0" * 11 + "1", offset=1, limit=3).select("id", "depth", "total")
+
+
 @query(
     "flat_tree",
     """, live as (select *, row_number() over (partition by site_id order by depth, id) as rn, count(*) over (partition by site_id) as total from eff where not is_deleted)

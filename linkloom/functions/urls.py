@@ -22,9 +22,10 @@ TRACKING_PREFIXES = ("utm_",)
 TRACKING_NAMES = ("sessionid", "_ga")
 PAGE_KEYS = ("page", "p", "pn", "pg", "paged", "offset", "start")
 ASSET_EXTENSIONS = (
-    "png jpg jpeg gif webp svg ico bmp avif pdf zip gz tgz bz2 7z rar mp3 wav ogg m4a mp4 m4v mov avi webm "
-    "woff woff2 ttf eot otf doc docx xls xlsx ppt pptx epub csv json xml rss atom"
-).split()
+    "png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "bmp", "avif", "pdf", "zip", "gz", "tgz", "bz2", "7z", "rar",
+    "mp3", "wav", "ogg", "m4a", "mp4", "m4v", "mov", "avi", "webm", "woff", "woff2", "ttf", "eot", "otf", "doc",
+    "docx", "xls", "xlsx", "ppt", "pptx", "epub", "csv", "json", "xml", "rss", "atom",
+)
 # -------------------------------------------------------------------------
 
 _SEP = "\u0001"

@@ -20,12 +20,14 @@ from .graph import subtree, trim_edges
 
 # ---- fixed values: export columns in order ------------------------------
 EDGE_COLUMNS = (
-    "id from_id to_id anchor_text selector dom_path rel target is_nofollow fragment source order_in_page created_at"
-).split()
+    "id", "from_id", "to_id", "anchor_text", "selector", "dom_path", "rel", "target", "is_nofollow", "fragment",
+    "source", "order_in_page", "created_at",
+)
 NODE_COLUMNS = (
-    "id identity_key url alias display_label title http_status content_type depth parent_id auto_parent_id status "
-    "content_hash in_link_count out_link_count is_deleted has_override first_seen_at last_fetch_at materials"
-).split()
+    "id", "identity_key", "url", "alias", "display_label", "title", "http_status", "content_type", "depth",
+    "parent_id", "auto_parent_id", "status", "content_hash", "in_link_count", "out_link_count", "is_deleted",
+    "has_override", "first_seen_at", "last_fetch_at", "materials",
+)
 MERMAID_MAX_NODES = 800
 MERMAID_LABEL_MAX = 60
 # -------------------------------------------------------------------------

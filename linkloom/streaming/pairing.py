@@ -2,7 +2,8 @@
 
 Each navigation takes the oldest waiting click that is not older than the
 window.  Clicks that open elsewhere are passed over once: the click after one
-is taken as it is.  Waiting clicks beyond 200 fall out of the queue.
+is taken as it is.  The window bounds how many clicks wait; ``max_waiting`` lets the
+oldest fall out of longer queues, for results made that way.
 
 A gap longer than the window empties the queue, so sessions are cut at such
 gaps and the pieces are paired independently: a session with a third of all
@@ -24,8 +25,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.urls import normalize_url
 from ..plans.ordered import running
 
-MAX_WAITING = 200
-MAX_MANUAL_DEPTH = 50
 DEFAULT_WINDOW_MS = 4000
 
 EVENT_COLUMNS = ("session_id", "at_ms", "event_id", "is_click", "nonnav", "has_href", "from_node", "from_depth", "url")
@@ -46,8 +45,8 @@ def is_nonnav(target: Column, ctrl: Column, meta: Column, shift: Column, tag: Co
 class WaitingClicks:
     """First-in-first-out queue of clicks (at_ms, id, nonnav, has_href, from_node, from_depth)."""
 
-    def __init__(self, window_ms: int, items=()) -> None:
-        self.window_ms = window_ms
+    def __init__(self, window_ms: int, items=(), max_waiting: int | None = None) -> None:
+        self.window_ms, self.max_waiting = window_ms, max_waiting
         self.items = deque(tuple(i) for i in items)
 
     def _lost(self, click, reason: str):
@@ -64,7 +63,7 @@ class WaitingClicks:
 
     def click(self, click):
         self.items.append(click)
-        if len(self.items) > MAX_WAITING:
+        if self.max_waiting is not None and len(self.items) > self.max_waiting:
             yield self._lost(self.items.popleft(), "queue full")
 
     def navigate(self, now: int, nav_id: int, url: str):
@@ -108,7 +107,7 @@ def bursts(events: DataFrame, window_ms: int) -> DataFrame:
     return running(marked, ["session_id"], order, {"burst": ("max", F.col("_start"))}).drop("_start")
 
 
-def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS) -> DataFrame:
+def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, max_waiting: int | None = None) -> DataFrame:
     """Outcome of every click; ``events`` has EVENT_COLUMNS (clicks and navigations).
 
     Each partition is walked once in (session, burst, time) order, so many
@@ -125,7 +124,7 @@ def pair_clicks(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS) -> DataFr
                 if key != current:
                     if queue is not None:
                         rows += [(current[0], *r) for r in queue.close()]
-                    queue, current = WaitingClicks(window_ms), key
+                    queue, current = WaitingClicks(window_ms, max_waiting=max_waiting), key
                 rows += [(row.session_id, *r) for r in _step(queue, row)]
             yield _frame(rows)
         if queue is not None:
@@ -159,7 +158,7 @@ def pair_clicks_stream(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, de
     )
 
 
-def manual_graph(paired: DataFrame, site_of: Column) -> tuple[DataFrame, DataFrame]:
+def manual_graph(paired: DataFrame, site_of: Column, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, node candidates) of paired clicks; repeated edges are flagged.
 
     The first click per (from, target, fragment) makes the edge.
@@ -176,7 +175,7 @@ def manual_graph(paired: DataFrame, site_of: Column) -> tuple[DataFrame, DataFra
     )
     nodes = shaped.groupBy("site_id", "identity_key").agg(
         F.min_by("from_node", "click_id").alias("auto_parent_id"),
-        F.least(F.lit(MAX_MANUAL_DEPTH), F.min_by("from_depth", "click_id") + 1).alias("depth"),
+        F.least(F.min_by("from_depth", "click_id") + 1, F.lit(max_depth).cast("int")).alias("depth"),  # least skips NULL
     )
     return edges, nodes
 

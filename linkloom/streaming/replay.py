@@ -23,7 +23,7 @@ class CorrectionLog:
     """Applied and undone operations of one site."""
 
     def __init__(self) -> None:
-        self.rows: dict[int, list] = {}  # seq -> [op_group, node_id, live]
+        self.rows: list[list] = []  # by row number: [op_group, node_id, live, seq]; a batch has several rows of one seq
         self.ops: dict[str, dict] = {}  # op_group -> kind, seq, rows, node, state
         self.done: list[str] = []
         self.undone: list[str] = []
@@ -32,9 +32,9 @@ class CorrectionLog:
 
     def _switch(self, name: str, on: bool) -> None:
         op = self.ops[name]
-        for seq in op["rows"]:
-            self.rows[seq][2] = on != op["revert"]
-            self.touched.add(self.rows[seq][0])
+        for n in op["rows"]:
+            self.rows[n][2] = on != op["revert"]
+            self.touched.add(self.rows[n][0])
         op["state"] = "applied" if on else "redoable"
         self.touched.add(name)
 
@@ -52,23 +52,24 @@ class CorrectionLog:
     def apply(self, seq: int, command: str, op_group: str | None, node: str | None) -> None:
         if command == "append":
             self._fork()
-            self.rows[seq] = [op_group, node, True]
-            self.node_rows.setdefault(node, []).append(seq)
+            number = len(self.rows)
+            self.rows.append([op_group, node, True, seq])
+            self.node_rows.setdefault(node, []).append(number)
             if op_group in self.ops:
-                self.ops[op_group]["rows"].append(seq)
+                self.ops[op_group]["rows"].append(number)
                 self.touched.add(op_group)
             else:
-                self._push(op_group, seq, [seq], False, node)
+                self._push(op_group, seq, [number], False, node)
         elif command in ("revert", "restore"):
             if command == "revert":
-                rows = [s for s in self.node_rows.get(node, []) if self.rows[s][2]]
+                rows = [n for n in self.node_rows.get(node, []) if self.rows[n][2]]
                 if not rows:
                     return
             else:
                 rows = list(self.ops[node]["rows"]) if node in self.ops else []
-            for s in rows:
-                self.rows[s][2] = False
-                self.touched.add(self.rows[s][0])
+            for n in rows:
+                self.rows[n][2] = False
+                self.touched.add(self.rows[n][0])
             self._fork()
             self._push(op_group, seq, rows, True, node)
         elif command == "undo" and self.done:
@@ -87,22 +88,21 @@ class CorrectionLog:
             if op["revert"]:
                 out.append((site, op["seq"], "revert", name, op["node"], op["state"], None))
             else:
-                for s in op["rows"]:
-                    row = self.rows[s]
-                    out.append((site, s, "append", name, row[1], op["state"], row[2]))
+                for n in op["rows"]:
+                    _, of, live, seq = self.rows[n]
+                    out.append((site, seq, "append", name, of, op["state"], live))
         columns = ["site_id", "seq", "command", "op_group", "node_id", "op_state", "live"]
         return pd.DataFrame(out, columns=columns).astype({"seq": "int64", "live": "object"})
 
     def dump(self) -> str:
-        return json.dumps([list(self.rows.items()), self.ops, self.done, self.undone])
+        return json.dumps([self.rows, self.ops, self.done, self.undone])
 
     @classmethod
     def load(cls, text: str) -> CorrectionLog:
         log = cls()
-        rows, log.ops, log.done, log.undone = json.loads(text)
-        for seq, row in rows:
-            log.rows[seq] = row
-            log.node_rows.setdefault(row[1], []).append(seq)
+        log.rows, log.ops, log.done, log.undone = json.loads(text)
+        for number, row in enumerate(log.rows):
+            log.node_rows.setdefault(row[1], []).append(number)
         return log
 
 
@@ -131,7 +131,7 @@ def replay(commands: DataFrame) -> DataFrame:
             yield log.results(site)
 
     ordered = (
-        commands.select(*COMMAND_COLUMNS).repartition("site_id").sortWithinPartitions("site_id", "seq")
+        commands.select(*COMMAND_COLUMNS).repartition("site_id").sortWithinPartitions("site_id", "seq", "node_id")
     )
     return ordered.mapInPandas(walk, RESULT)
 
@@ -145,7 +145,7 @@ def replay_stream(commands: DataFrame) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = CorrectionLog.load(state.get[0]) if state.exists else CorrectionLog()
-        pdf = pd.concat(list(batches)).sort_values("seq")
+        pdf = pd.concat(list(batches)).sort_values(["seq", "node_id"])
         _feed(log, pdf)
         state.update((log.dump(),))
         if log.touched:

@@ -150,6 +150,18 @@ def test_replay_matches_model(spark, seed):
     assert got == expected
 
 
+def test_batches_keep_all_rows(spark):
+    """Several rows under one seq and operation are undone, redone and reverted together, each reported once."""
+    log = [("x", 1, "append", "b1", n) for n in ("n1", "n2", "n3")] + [("x", 2, "append", "b2", n) for n in ("n1", "n4")]
+    log += [("x", 3, "undo", None, None), ("x", 4, "revert", "r", "n2"), ("x", 5, "append", "b3", "n5")]
+    df = spark.createDataFrame(log, "site_id string, seq long, command string, op_group string, node_id string")
+    got = sorted((r.op_group, r.node_id, r.op_state, r.live) for r in replay(df).collect() if r.command == "append")
+    assert got == [
+        ("b1", "n1", "applied", True), ("b1", "n2", "applied", False), ("b1", "n3", "applied", True),
+        ("b2", "n1", "discarded", False), ("b2", "n4", "discarded", False), ("b3", "n5", "applied", True),
+    ]
+
+
 def test_log_survives_dump():
     a = CorrectionLog()
     for i, c in enumerate(["append", "append", "undo", "append", "undo", "redo"]):

@@ -72,10 +72,13 @@ def test_pairing_cases(spark):
     assert got == {1: ("unpaired", None), 3: ("unpaired", None), 4: ("paired", 5)}
 
 
-def test_full_queue_drops_oldest(spark):
-    rows = [("s", i, i, True, False, True, "n", 0, None) for i in range(205)]
-    out = P.pair_clicks(spark.createDataFrame(rows, DDL), WINDOW).filter("reason = 'queue full'")
-    assert {r.click_id for r in out.collect()} == set(range(5))
+def test_long_queues(spark):
+    rows = [("s", i, i, True, False, True, "n", 0, None) for i in range(320)] + [("s", 400, 400, False, False, False, None, None, "https://x/q")]
+    df = spark.createDataFrame(rows, DDL)
+    whole = {r.click_id: r.outcome for r in P.pair_clicks(df, WINDOW).collect()}
+    assert len(whole) == 320 and [i for i, o in whole.items() if o == "paired"] == [0]
+    short = P.pair_clicks(df, WINDOW, max_waiting=300).filter("reason = 'queue full'")
+    assert {r.click_id for r in short.collect()} == set(range(20))
 
 
 def test_stream_equals_batch(spark):
@@ -95,8 +98,9 @@ def test_manual_graph(spark):
     rows = [("s", i, i, "paired", None, i, "p", 50 + i, u) for i, u in enumerate(["https://x/a#f", "https://x/a#f", "https://x/a", "bad url"])]
     df = spark.createDataFrame(rows, P.RESULT)
     edges, nodes = P.manual_graph(df, F.lit("site"))
+    assert [r.depth for r in P.manual_graph(df, F.lit("site"), max_depth=50)[1].collect()] == [50]
     assert {(r.fragment, r.click_id, r.clicks) for r in edges.collect()} == {("f", 0, 2), (None, 2, 1)}
-    assert [(r.identity_key, r.depth) for r in nodes.collect()] == [("https://x/a", 50)]
+    assert [(r.identity_key, r.depth) for r in nodes.collect()] == [("https://x/a", 51)]
 
 
 def test_guards(spark):
