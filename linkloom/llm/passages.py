@@ -295,8 +295,10 @@ def _covered(spans: DataFrame, name: str) -> DataFrame:
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_words, n_again, n_shared, n_links, passages).
+    """One row per row of ``docs``: (doc_id, class_id, repeats, n_words, n_again, n_shared, n_links, passages).
 
+    class_id: the smallest id among the earlier documents it shares passages
+    with, or its own; repeats: whether it shares any passage, earlier or later.
     n_again: words in passages that a document with a smaller id has too;
     n_shared: those, and words in passages that later documents have from this
     one; n_links: earlier documents it shares passages with; passages: their
@@ -314,12 +316,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = seeded.select(F.col("key").alias("head_key"), F.col("doc_id").alias("head_id"))
     entry = F.struct("x0", "x1", F.concat_ws(":", "x0", "x1", F.coalesce(F.col("head_id").cast("string"), F.lit("")), "y0", "y1").alias("text"))
     listed = found.join(names, F.col("head") == F.col("head_key")).groupBy(F.col("key").alias("owner")).agg(
-        F.countDistinct("head").alias("n_links"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["text"])).alias("passages")
+        F.countDistinct("head").alias("n_links"), F.min("head_id").alias("class_id"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["text"])).alias("passages")
     )
     per_row = staged(_covered(again, "n_again").join(_covered(again.unionByName(given), "n_shared"), "owner", "full").join(listed, "owner", "left"), "per_row")
     return seeded.select("key", "doc_id", "n_words").join(per_row, F.col("key") == F.col("owner"), "left").select(
-        "doc_id", "n_words", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_again", "n_shared", "n_links")], F.coalesce("passages", F.lit("")).alias("passages")
-    )
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("n_shared", F.lit(0)) > 0).alias("repeats"),
+        "n_words", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_again", "n_shared", "n_links")], F.coalesce("passages", F.lit("")).alias("passages"),
+    )
 
 
 def op9_chained_passages(spark, sf_dir: str) -> DataFrame:
