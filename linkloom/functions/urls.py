@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.pin import pinned
+from ..plans.pin import let, pinned
 
 # ---- fixed values -------------------------------------------------------
 TRACKING_PREFIXES = ("utm_",)
@@ -85,6 +85,36 @@ def _resolve_dots(path: Column) -> Column:
     return F.when(path.rlike(_DOT_SEGMENT), resolved).otherwise(path)
 
 
+_NUMBER_HOST = r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"
+
+
+def _ipv4(host: Column) -> Column:
+    """A host that ends in a number as four decimal bytes: hexadecimal and octal parts, and a last part that stands for several bytes; NULL if it is none."""
+
+    def number(x: Column) -> Column:
+        digits = (
+            F.when(x.rlike("^0x[0-9a-f]{0,12}$"), F.conv(F.concat(F.lit("0"), F.substring(x, 3, 12)), 16, 10))
+            .when(x.rlike("^0[0-7]{1,16}$"), F.conv(x, 8, 10))
+            .when(x.rlike("^(0|[1-9][0-9]{0,12})$"), x)
+        )
+        return digits.cast("bigint")
+
+    def joined(n: Column) -> Column:
+        heads, last = F.slice(n, 1, F.size(n) - 1), F.element_at(n, -1)
+        value = F.aggregate(F.transform(heads, lambda x, i: x * F.pow(F.lit(256), 3 - i).cast("bigint")), last, lambda a, x: a + x)
+        fits = (F.size(n) <= 4) & F.forall(heads, lambda x: F.coalesce(x <= 255, F.lit(False))) & (last < F.pow(F.lit(256), 5 - F.size(n)))
+        return F.when(fits, F.concat_ws(".", *[F.shiftright(value, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)]))
+
+    return let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number), joined)
+
+
+def _host(raw: Column) -> Column:
+    """Host in lower case, percent-decoded, in ASCII; NULL where it can't be."""
+    plain = F.lower(F.when(raw.contains("%"), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw))
+    ascii_ = F.when(plain.rlike(r"[^\x00-\x7f]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), plain))).otherwise(plain)
+    return let(ascii_, lambda h: F.when(h.rlike(_NUMBER_HOST), _ipv4(h)).otherwise(h))
+
+
 def split_url(df: DataFrame, url: str, prefix: str) -> DataFrame:
     """Add ``{prefix}proto, auth, host, port, path, query, frag`` (all NULL if invalid).
 
@@ -103,7 +133,8 @@ def split_url(df: DataFrame, url: str, prefix: str) -> DataFrame:
     df = df.withColumn(f"{p}parts", F.split(marked, _SEP, -1))
     parts = F.col(f"{p}parts")
     port = F.regexp_replace(F.get(parts, 3), "^0+(?=[0-9])", "")
-    host = F.lower(F.get(parts, 2))
+    df = df.withColumn(f"{p}hostname", _host(F.get(parts, 2)))
+    host = F.col(f"{p}hostname")
     valid = (F.size(parts) == 7) & ~host.rlike(_BAD_HOST) & ((F.length(port) < 5) | (port <= "65535") & (F.length(port) == 5))
     df = df.withColumn(f"{p}ok", F.coalesce(valid, F.lit(False)))
     ok = F.col(f"{p}ok")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import with_row_number
-from ..plans.stage import is_empty, staged
+from ..plans.stage import discard, is_empty, staged
 
 
 def resolve_targets(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -154,11 +154,12 @@ def reachable(seeds: DataFrame, relation: DataFrame, max_rounds: int | None = No
     """All (root, id, level) reachable from ``seeds`` (root, id) over (parent, child).
 
     Set semantics, safe on cycles: each round joins the newest level only and
-    drops what was seen.  Every round is one written table, so lineage stays
-    flat and lost executors cost a re-read.
+    drops what was seen.  Every round is one written table.  Four tables of one
+    size class are merged into one of the next, so a plan reads a number of
+    tables that is logarithmic in the depth, and a row is rewritten as often.
     """
     level = staged(seeds.select("root", "id").distinct().withColumn("level", F.lit(0)), "reach")
-    seen = [level]
+    seen: list[tuple[int, DataFrame]] = [(0, level)]
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
@@ -167,14 +168,24 @@ def reachable(seeds: DataFrame, relation: DataFrame, max_rounds: int | None = No
             .select("root", F.col("child").alias("id"))
             .distinct()
         )
-        known = reduce(DataFrame.unionByName, seen).select("root", "id")
+        known = _all(seen).select("root", "id")
         level = staged(
             step.join(known, ["root", "id"], "left_anti").withColumn("level", F.lit(rounds)), "reach"
         )
         if is_empty(level):
             break
-        seen.append(level)
-    return reduce(DataFrame.unionByName, seen)
+        seen.append((0, level))
+        while len(seen) >= 5 and len({rank for rank, _ in seen[-5:-1]}) == 1 and seen[-1][0] <= seen[-2][0]:
+            # the newest table stays apart: the next round reads it
+            parts = seen[-5:-1]
+            merged = staged(_all(parts), "reach")
+            seen[-5:-1] = [(parts[0][0] + 1, merged)]
+            discard(*[df for _, df in parts])
+    return _all(seen)
+
+
+def _all(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df for _, df in tables])
 
 
 def subtree(effective: DataFrame, roots: DataFrame, with_level: bool = False, live_only: bool = False) -> DataFrame:

@@ -73,6 +73,13 @@ def test_cycles_stop(spark, nodes):
     assert {r.id for r in G.subtree(eff, eff.filter("id = 'model'").select("id")).collect()} == {"model", "egypt", "masks", "boats"}
 
 
+def test_deep_walks_read_few_tables(spark):
+    chain = spark.range(40).selectExpr("cast(id as string) as parent", "cast(id + 1 as string) as child")
+    out = G.reachable(spark.createDataFrame([("0", "0")], "root string, id string"), chain)
+    assert sorted((int(r.id), r.level) for r in out.collect()) == [(i, i) for i in range(41)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 12
+
+
 def test_indent(spark, nodes):
     topo = nodes.select("id", F.col("auto_parent_id").alias("parent_id"), F.col("display_label").alias("label"))
     got = [("  " * r.level + r.id, r.is_last) for r in B.indent_order(topo).collect()]

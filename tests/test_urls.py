@@ -26,6 +26,17 @@ IDENTITIES = [
     ("https://lake.test/boats?utm_term=q&_ga=7&kind=row", "https://lake.test/boats?kind=row"),
     ("https://lake.test/find?w=%D0%B2%D0%B0%D0%BB", "https://lake.test/find?w=%D0%B2%D0%B0%D0%BB"),
     ("https://lake.test/boats#list", "https://lake.test/boats"),
+    ("https://S\u00e6.Test/", "https://xn--s-4fa.test/"),
+    ("https://xn--S-4fa.test", "https://xn--s-4fa.test/"),
+    ("https://la%6Be.test/x", "https://lake.test/x"),
+    ("https://s%C3%A6.test/", "https://xn--s-4fa.test/"),
+    ("https://lake%20.test/", None),
+    ("http://10.1", "http://10.0.0.1/"),
+    ("http://0x0A.0.01.7/a", "http://10.0.1.7/a"),
+    ("http://167772161", "http://10.0.0.1/"),
+    ("http://10.0.0.300/", None),
+    ("http://1.2.3.4.5/", None),
+    ("http://lake.7/", None),
 ]
 
 
