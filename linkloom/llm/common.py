@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import discard, new_path, shared_dir, staged
 
-__all__ = ["discard", "new_path", "shared_dir", "staged", "table", "bytes_of", "per_batch", "runs", "mix64", "mod_crc32", "partitions_of"]
+__all__ = ["key_bitmap", "in_bitmap", "without_ids", "discard", "new_path", "shared_dir", "staged", "table", "bytes_of", "per_batch", "runs", "mix64", "mod_crc32", "partitions_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,3 +86,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(keys.view(np.uint64)) >> np.uint64(64 - bits)
+
+
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits with a bit for each hashed key (one bigint column, no NULLs); at most 2**(bits - 6) rows reach the driver."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = np.zeros(1 << (bits - 6), np.uint64)
+        for part in batches:
+            bit = np.unique(_bits(part.column(0).to_numpy(), bits))
+            np.bitwise_or.at(masks, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        at = np.flatnonzero(masks)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks[at].view(np.int64))], ["word", "mask"])
+
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for r in keys.mapInArrow(mark, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
+        out[r.word] = r.mask
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set: true for all keys of the bitmap, and a few others."""
+    bit = _bits(keys, int(len(bitmap) * 64).bit_length() - 1)
+    return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 24) -> DataFrame:
+    """``docs`` without the rows whose id is in ``ids`` (one bigint column; NULL there takes out rows without an id).
+
+    A bitmap of fixed size tells most rows apart where they are read.  Only rows
+    whose bit is set are joined, so texts that stay are not shuffled; however
+    full the bitmap, the join decides.
+    """
+    gone = ids.select(F.col(ids.columns[0]).cast("bigint").alias("_gone_id"))
+    bitmap = key_bitmap(gone.filter("_gone_id is not null"), bits)
+
+    @F.arrow_udf("boolean")
+    def perhaps(keys: pa.Array) -> pa.Array:
+        known = in_bitmap(bitmap, keys.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(known | keys.is_null().to_numpy(zero_copy_only=False))
+
+    key = docs[id_col].cast("bigint")
+    sure = docs.filter(~perhaps(key))
+    rest = docs.filter(perhaps(key))
+    return sure.unionByName(rest.join(gone, rest[id_col].cast("bigint").eqNullSafe(F.col("_gone_id")), "left_anti"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.pin import let
+from ..plans.pin import let, pinned
 from .common import staged, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -79,16 +79,20 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add) % 10 == 0
 
 
-def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, doc_id, found) per row; found has the matches of each kind and pattern set."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _matches(text_col: str) -> Column:
+    """The matches of each kind and pattern set in a text; NULL where nothing can match."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hints = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
     more = {"email": r"[\[(]at[\])]", "card": "[0-9]{4}", "phone": r"\+[0-9]"}
     sets = [(k, True, BASE[k], hints[k]) for k in KINDS] + [(k, False, MORE[k], more[k]) for k in MORE]
     found = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("kind"), F.lit(b).alias("base"), _found(text, p, h).alias("at")) for k, b, p, h in sets])
-    some = F.filter(found, lambda s: F.size(s["at"]) > 0)
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.select("doc_id", F.when(text.rlike(r"[0-9@]|[\[(]at[\])]"), some).alias("found")).select(F.monotonically_increasing_id().alias("row_id"), "*")
+    return F.when(text.rlike(r"[0-9@]|[\[(]at[\])]"), F.filter(found, lambda s: F.size(s["at"]) > 0))
+
+
+def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_id, doc_id, found) per row."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _matches(text_col).alias("found"))
+    return slim.select(F.monotonically_increasing_id().alias("row_id"), "*")
 
 
 def candidates(marked: DataFrame) -> DataFrame:
@@ -241,10 +245,13 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
 
     Rows keep their order of columns, NULL texts stay NULL, and repeated rows stay.
+    Only rows in which something may be found are written and joined.
     """
     columns = docs.columns
-    keyed = staged(docs.withColumn("_row_id", F.monotonically_increasing_id()), "keyed")
-    marked = staged(proposals(keyed, "_row_id", text_col).drop("row_id").withColumnRenamed("doc_id", "row_id"), "proposals")
+    found = pinned(docs.withColumn("_found", _matches(text_col)), "_found")
+    clean = found.filter("coalesce(size(_found), 0) <= 0").select(*columns)  # passed on where it is read
+    keyed = staged(found.filter("size(_found) > 0").withColumn("_row_id", F.monotonically_increasing_id()), "keyed")
+    marked = keyed.select(F.col("_row_id").alias("row_id"), F.col("_found").alias("found"))
     spans = detected(marked.filter("size(found) > 0"))
     islands = spans.withColumn("opens", F.expr("start >= coalesce(max(end) over (partition by row_id order by start, end, kind rows between unbounded preceding and 1 preceding), 0)"))
     islands = islands.withColumn("island", F.expr("sum(if(opens, 1, 0)) over (partition by row_id order by start, end, kind rows between unbounded preceding and current row)"))
@@ -256,7 +263,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     last = lambda i: F.when(i == 0, 0).otherwise(F.get(list_, i - 1)["end"])
     pieces = F.transform(list_, lambda c, i: F.concat(F.substring(text, last(i) + 1, c["start"] - last(i)), mark(c["kind"])))
     whole = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(list_, -1)["end"] + 1, F.length(text)))
-    return met.withColumn(text_col, F.when(list_.isNull(), text).otherwise(whole)).select(*columns)
+    return clean.unionByName(met.withColumn(text_col, F.when(list_.isNull(), text).otherwise(whole)).select(*columns))
 
 
 def op3_weak_supervision_pii(spark, sf_dir: str) -> DataFrame:

@@ -151,6 +151,14 @@ def fit(examples: DataFrame, to_pooled: float = TO_POOLED, to_diagonal: float =
     return Discriminant(mean[::-1], np.stack(factors[::-1]), float(np.log(n[1] / n[0])))
 
 
+def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, test_fold: int = 0, id_col: str = "doc_id") -> tuple[DataFrame, Discriminant]:
+    """The written statistics of all rows, and the model learned from the labelled ones outside ``test_fold``."""
+    seen = staged(document_statistics(docs, id_col), "statistics")
+    known = labels.groupBy(F.col(id_col).cast("bigint").alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    learn = seen.filter(mod_crc32("doc_id", folds) != test_fold)
+    return seen, fit(learn.join(known, learn.doc_id == known.label_id).select("label", "x"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, test_fold: int = 0, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, score) per row of ``docs``.
 
@@ -159,10 +167,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds
     ignored; an id labelled twice takes the larger label.  With less than two
     rows of a class every score is the same.  An empty table gives no rows.
     """
-    seen = staged(document_statistics(docs, id_col), "statistics")
-    known = labels.groupBy(F.col(id_col).cast("bigint").alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    learn = seen.filter(mod_crc32("doc_id", folds) != test_fold)
-    model = fit(learn.join(known, learn.doc_id == known.label_id).select("label", "x"))
+    seen, model = trained(docs, labels, label_col, folds, test_fold, id_col)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(model.score(_matrix(rows, "x")))], ["doc_id", "score"])
@@ -172,10 +177,19 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` whose id has a score of ``threshold`` or more in at least one row; rows without an id stay."""
-    good = staged(scored(docs, labels).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_good_id")).distinct(), "good")
-    stays = docs.join(good, docs["doc_id"].cast("bigint") == F.col("_good_id"), "left_semi")
-    return stays.unionByName(docs.filter("doc_id is null"))
+    """Rows of ``docs`` that score ``threshold`` or more, with or without an id.
+
+    Rows are scored where they are read, by the finished model; texts are not
+    shuffled.
+    """
+    _, model = trained(docs, labels)
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        texts = bytes_of(column)
+        return pa.array(np.concatenate([model.score(statistics(texts[part])) for part in chunks(texts)]) if texts else np.zeros(0))
+
+    return docs.filter(score(docs["text"].cast("string")) >= threshold)
 
 
 def op2_quality_discriminant(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, partitions_of, per_batch, run_starts, runs, staged, table
+from .common import bytes_of, discard, partitions_of, per_batch, run_starts, runs, staged, table, without_ids
 from .components import connected_components
 
 TAU = 3
@@ -310,14 +310,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The row whose id is the component's smallest stays; of rows that repeat an
     id, one.  A row without an id can't be named and is passed on.
     """
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id")
-    firsts = staged(found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
-    same = docs[id_col].cast("bigint") == F.col("_kept_id")
-    stays = docs.join(firsts.filter("_rows = 1"), same, "left_semi")
-    again = firsts.filter("_rows > 1")
+    found = near_duplicates(docs, id_col, text_col).filter("doc_id is not null")
+    ids = staged(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "ids")
+    again = ids.filter("stays and n > 1").select("doc_id")
+    kept = without_ids(docs, ids.filter("not stays or n > 1").select("doc_id"), id_col)
     if again.take(1):
-        stays = stays.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col]))
-    return stays.unionByName(docs.filter(F.col(id_col).isNull()))
+        same = docs[id_col].cast("bigint") == F.col("_again_id")
+        kept = kept.unionByName(docs.join(again.withColumnRenamed("doc_id", "_again_id"), same, "left_semi").dropDuplicates([id_col]))
+    return kept
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

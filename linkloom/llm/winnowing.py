@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, per_batch, staged, table
+from .common import bytes_of, discard, per_batch, staged, table, without_ids
 from .words import Words, chunks, winnow
 
 SPAN = 10
@@ -162,11 +162,11 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` without a hit, all columns kept.
 
-    Ids of hit documents are joined against; rows that repeat the id of a hit
-    one go with it, and rows without an id stay only if none of those is hit.
+    Rows that repeat the id of a hit one go with it, and rows without an id stay
+    only if none of those is hit.
     """
-    bad = staged(contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("_bad_id")).distinct(), "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = staged(contamination(docs, items).filter("n_hit > 0").select("doc_id").distinct(), "bad")
+    return without_ids(docs, bad)
 
 
 def op8_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
