@@ -36,8 +36,8 @@ THETA = 1.0
 SEED = 20240
 MARK = "▁".encode()
 #: Arcs that a worker remembers, and bytes of text that it handles at once.
-ARCS = 4_000_000
-PART = 2 << 20
+ARCS = 2_000_000
+PART = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +95,7 @@ class Lattices:
     def _store(self, name: str, at: int, values: np.ndarray) -> None:
         array = getattr(self, name)
         if at + len(values) > len(array):
-            array = np.concatenate([array[:at], np.zeros(max(len(array), 2 * len(values)), array.dtype)])
+            array = np.concatenate([array[:at], np.zeros(max(len(array) // 2, 2 * len(values)), array.dtype)])
             setattr(self, name, array)
         array[at : at + len(values)] = values
 
