@@ -25,13 +25,13 @@ def test_forward_pass_sums_all_segmentations():
             parts = [marked[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             known = [p[:, pieces[x]] if x in pieces else np.full(3, L.UNKNOWN) if len(x) == 1 else np.zeros(3) for x in parts]
             total += np.prod(known, axis=0)
-        assert np.allclose(scorer.word(word), np.log(total))
+        assert np.allclose(scorer.words([word, "b"])[0], np.log(total))
 
 
 def test_long_words_do_not_vanish():
     pieces = L.vocabulary(PATH)
     p = np.full((2, len(pieces)), 1 / len(pieces))
-    value = L.Scorer(p, pieces).word("xyzzy" * 4000)
+    value = L.Scorer(p, pieces).words(["xyzzy" * 4000])[0]
     assert all(math.isfinite(v) for v in value)
 
 
