@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, mix64, partitions_of, per_batch, run_starts, runs, staged, table
+from .common import bytes_of, discard, in_bitmap, key_bitmap, mix64, partitions_of, per_batch, run_starts, runs, staged, table
 from .words import Words, chunks, powers, winnow
 
 K = 5
@@ -197,13 +197,12 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     return x0, x1 + n, y0, y1 + n, equal + same
 
 
-def _word_hashes(rows: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+def _word_hashes(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """(key, words): hashed words of the rows whose key is in the bitmap."""
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch | None:
         keys = part.column(0).to_numpy()
-        bit = mix64(keys.view(np.uint64)) >> np.uint64(64 - bits)
-        mine = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+        mine = np.flatnonzero(in_bitmap(bitmap, keys))
         if not len(mine):
             return None
         texts = bytes_of(part.column(1).take(pa.array(mine)))
@@ -218,21 +217,6 @@ def _word_hashes(rows: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
     return per_batch(rows.select("key", "text"), batch, "key bigint, words array<int>")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.zeros(1 << (bits - 6), np.uint64)
-        for part in batches:
-            bit = np.unique(mix64(part.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits))
-            np.bitwise_or.at(masks, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        at = np.flatnonzero(masks)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(masks[at].view(np.int64))], ["word", "mask"])
-
-    out = np.zeros(1 << (bits - 6), np.int64)
-    for r in keys.mapInArrow(mark, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        out[r.word] = r.mask
-    return out.view(np.uint64)
-
-
 def _slice(words: str, low, high):
     return F.slice(words, low + 1, high - low)
 
@@ -249,7 +233,7 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
     least = F.element_at("x", -1) - F.get("x", 0) + k + 2 * MARGIN >= min_words
     found = found.filter(least)
     ends = found.select("key").unionByName(found.select(F.col("head").alias("key")))
-    words = staged(_word_hashes(rows, _bitmap(ends, BITMAP_BITS), BITMAP_BITS), "words")
+    words = staged(_word_hashes(rows, key_bitmap(ends, BITMAP_BITS)), "words")
     low_x, high_x = F.greatest(F.get("x", 0) - MARGIN, F.lit(0)), F.element_at("x", -1) + k + MARGIN
     low_y, high_y = F.greatest(F.get("y", 0) - MARGIN, F.lit(0)), F.element_at("y", -1) + k + MARGIN
     one = found.join(words, "key").select("key", "head", "x", "y", low_x.alias("low_x"), low_y.alias("low_y"), high_y.alias("high_y"), _slice("words", low_x, high_x).alias("a"))
@@ -313,10 +297,13 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = passages(rows, seeded)
     again = found.select(F.col("key").alias("owner"), F.col("x0").alias("low"), F.col("x1").alias("high"))
     given = found.groupBy(F.col("head").alias("owner"), F.col("y0").alias("low"), F.col("y1").alias("high")).count().drop("count")
-    names = seeded.select(F.col("key").alias("head_key"), F.col("doc_id").alias("head_id"))
+    # a key from zero on is the id itself; only keys given to repeated rows are looked up
+    names = seeded.filter("key < 0").select(F.col("key").alias("head_key"), F.col("doc_id").alias("head_id"))
+    looked_up = found.filter("head < 0").join(names, F.col("head") == F.col("head_key")).drop("head_key")
+    named = found.filter("head >= 0").withColumn("head_id", F.col("head")).unionByName(looked_up)
     entry = F.struct("x0", "x1", F.concat_ws(":", "x0", "x1", F.coalesce(F.col("head_id").cast("string"), F.lit("")), "y0", "y1").alias("text"))
-    listed = found.join(names, F.col("head") == F.col("head_key")).groupBy(F.col("key").alias("owner")).agg(
-        F.countDistinct("head").alias("n_links"), F.min("head_id").alias("class_id"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["text"])).alias("passages")
+    listed = named.groupBy(F.col("key").alias("owner")).agg(
+        F.size(F.collect_set("head")).alias("n_links"), F.min("head_id").alias("class_id"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["text"])).alias("passages")
     )
     per_row = staged(_covered(again, "n_again").join(_covered(again.unionByName(given), "n_shared"), "owner", "full").join(listed, "owner", "left"), "per_row")
     return seeded.select("key", "doc_id", "n_words").join(per_row, F.col("key") == F.col("owner"), "left").select(
