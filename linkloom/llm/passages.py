@@ -7,9 +7,10 @@ no pairs among them.  The matches of a document and a first document are chained
 the best chain ends at a match with the score of the best chain before it (both
 positions smaller) less the cost of the gap, which is linear in the words
 skipped on both sides; a Fenwick tree over the positions in the first document
-gives that maximum in logarithmic time.  Chains are then extended over equal
-words at their ends and aligned in their gaps; a passage is a chain of at least
-``MIN_WORDS`` words of which ``SIMILARITY`` or more are aligned.  Texts with the
+gives that maximum in logarithmic time.  Chains are then aligned in
+their gaps and cut where a wide gap is not alike; a passage is a run of a chain,
+extended over equal words at its ends, of at least ``MIN_WORDS`` words of which
+``SIMILARITY`` or more are aligned, and a chain can hold several.  Texts with the
 same words are found by one hash besides, so copies of monotonous texts, whose
 seeds all look alike, are whole passages too.
 
@@ -31,7 +32,7 @@ from .words import Words, chunks, powers, winnow
 
 K = 5
 WINDOW = 16
-#: Words that a gap may have on either side before it costs more than a match gains.
+#: Words that a gap may have on either side before it costs more than a match gains; wider ones part a chain if less than half of them are equal.
 GAP = 64
 MIN_WORDS = 40
 SIMILARITY = 0.8
@@ -177,24 +178,57 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, equal words) of a chain of k-mers at ``x`` in ``a`` and ``y`` in ``b``, ends extended."""
-    x0, y0, x1, y1 = int(x[0]), int(y[0]), int(x[-1]) + k, int(y[-1]) + k
-    if x1 - x0 == y1 - y0 and (np.diff(x) == np.diff(y)).all():
-        equal = int((a[x0:x1] == b[y0:y1]).sum())
-    else:
-        equal, px, py = 0, x0, y0
-        for sx, sy in zip(x.tolist(), y.tolist(), strict=True):
-            shift = max(px - sx, py - sy, 0)  # k-mers that overlap count once
-            if shift == 0 and (sx > px or sy > py):
-                equal += common_words(a[px:sx], b[py:sy])
-            if shift < k:
-                equal += k - shift
-                px, py = sx + k, sy + k
-    n, same = extend(a[:x0][::-1], b[:y0][::-1])
-    x0, y0, equal = x0 - n, y0 - n, equal + same
-    n, same = extend(a[x1:], b[y1:])
-    return x0, x1 + n, y0, y1 + n, equal + same
+def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, gap: int = GAP, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
+    """(x0, x1, y0, y1, equal words) of the passages in a chain of k-mers at ``x`` in ``a`` and ``y`` in ``b``.
+
+    Gaps of more than ``gap`` words on a side, of which less than half are equal,
+    part the chain.  From each part the longest run that is a passage is taken,
+    its ends extended over equal words, then the same from what is left before
+    and after it, until nothing long or similar enough is left.
+    """
+    blocks: list[list[int]] = []  # x0, x1, y0, y1, equal words; k-mers that overlap count once
+    between: list[int] = []  # equal words of the gap before each block but the first
+    for sx, sy in zip(x.tolist(), y.tolist(), strict=True):
+        if not blocks:
+            blocks.append([sx, sx + k, sy, sy + k, k])
+            continue
+        last = blocks[-1]
+        px, py = last[1], last[3]
+        shift = max(px - sx, py - sy, 0)
+        if shift >= k:
+            continue
+        equal = common_words(a[px:sx], b[py:sy]) if shift == 0 else 0
+        if sx - px == sy - py and (shift or equal == sx - px):
+            last[1], last[3], last[4] = sx + k, sy + k, last[4] + equal + k - shift
+            continue
+        blocks.append([sx + shift, sx + k, sy + shift, sy + k, k - shift])
+        between.append(equal)
+    x0, x1, y0, y1, inside = np.array(blocks).T
+    wide = np.maximum(x0[1:] - x1[:-1], y0[1:] - y1[:-1])
+    parted = np.flatnonzero((wide > gap) & (2 * np.array(between, np.int64) < wide)) + 1
+    total = np.cumsum(inside + np.array([0, *between]))  # equal words up to the end of each block
+    # what each block gains at its front and its end, up to the next blocks
+    front = np.array([extend(a[low:at][::-1], b[low_b:at_b][::-1]) for low, at, low_b, at_b in zip([0, *x1[:-1]], x0, [0, *y1[:-1]], y0, strict=True)])
+    back = np.array([extend(a[at:high], b[at_b:high_b]) for at, high, at_b, high_b in zip(x1, [*x0[1:], len(a)], y1, [*y0[1:], len(b)], strict=True)])
+    out, open_ = [], list(zip([0, *parted.tolist()], [*parted.tolist(), len(blocks)], strict=True))
+    while open_:
+        low, high = open_.pop()
+        longest, best = 0, None
+        for i in range(low, high):
+            in_x, in_y = (end[i:high] + back[i:high, 0] - (start[i] - front[i, 0]) for start, end in ((x0, x1), (y0, y1)))
+            if in_x[-1] <= longest:
+                break
+            equal = total[i:high] - total[i] + inside[i] + front[i, 1] + back[i:high, 1]
+            fits = np.flatnonzero((in_x >= max(min_words, longest + 1)) & (equal >= similarity * np.maximum(in_x, in_y)))
+            if len(fits):
+                j = int(fits[in_x[fits].argmax()])
+                longest, best = int(in_x[j]), (i, i + j, int(equal[j]))
+        if best is None:
+            continue
+        i, j, equal = best
+        out.append((int(x0[i] - front[i, 0]), int(x1[j] + back[j, 0]), int(y0[i] - front[i, 0]), int(y1[j] + back[j, 0]), equal))
+        open_ += [part for part in ((low, i), (j + 1, high)) if part[0] < part[1]]
+    return sorted(out)
 
 
 def _word_hashes(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -250,8 +284,7 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
         low_x, low_y = part.column("low_x").to_numpy(), part.column("low_y").to_numpy()
         out, keep = [], []
         for i in range(part.num_rows):
-            x0, x1, y0, y1, equal = align(row("a", i), row("b", i), row("x", i) - low_x[i], row("y", i) - low_y[i], k)
-            if x1 - x0 >= min_words and equal >= similarity * max(x1 - x0, y1 - y0):
+            for x0, x1, y0, y1, equal in align(row("a", i), row("b", i), row("x", i) - low_x[i], row("y", i) - low_y[i], k, GAP, min_words, similarity):
                 keep.append(i)
                 out.append((x0 + low_x[i], x1 + low_x[i], y0 + low_y[i], y1 + low_y[i], equal))
         if not keep:

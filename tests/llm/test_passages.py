@@ -77,3 +77,38 @@ def test_alignment_counts_common_words():
         for i, j in itertools.product(range(12), range(9)):
             table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert P.common_words(a, b) == table[-1, -1]
+
+
+def test_several_passages_of_one_pair(make_docs):
+    """Header and footer of 55 equal words around bodies of other words: each is a passage, whatever lies between."""
+    rng = random.Random(12)
+    for body in (30, 100, 200):
+        docs = []
+        for pair in range(6):
+            header, footer = fresh(rng, 55), fresh(rng, 55)
+            docs += [(2 * pair + i, " ".join(fresh(rng, 20) + header + fresh(rng, body) + footer + fresh(rng, 20))) for i in (0, 1)]
+        rows = {r.doc_id: r for r in P.shared_passages(make_docs(docs)).collect()}
+        for i in range(1, 12, 2):
+            spans = f"20:75:{i - 1}:20:75,{75 + body}:{130 + body}:{i - 1}:{75 + body}:{130 + body}"
+            assert (rows[i].n_again, rows[i].n_links, rows[i].passages) == (110, 1, spans)
+            assert rows[i - 1].n_shared == 110
+
+
+def test_cut_chains_against_all_runs():
+    """What align() takes first is the longest run of matches that is long and similar enough."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b, x, y = [], [], [], []
+        for _ in range(int(rng.integers(2, 9))):
+            same = rng.integers(0, 1 << 30, int(rng.integers(5, 40))).tolist()
+            x += range(len(a), len(a) + len(same) - 4)
+            y += range(len(b), len(b) + len(same) - 4)
+            a += same + rng.integers(0, 1 << 30, int(rng.integers(1, 30))).tolist()
+            b += same + rng.integers(0, 1 << 30, int(rng.integers(1, 30))).tolist()
+        starts = [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1] + 1]
+        ends = [i - 1 for i in starts[1:]] + [len(x) - 1]
+        runs = [(x[i], x[j] + 5, y[i], y[j] + 5, sum(x[q] + 5 - x[p] for p, q in zip(starts, ends) if i <= p and q <= j)) for i in starts for j in ends if i <= j]
+        good = [r for r in runs if r[1] - r[0] >= 40 and r[4] >= 0.8 * max(r[1] - r[0], r[3] - r[2])]
+        found = P.align(np.array(a), np.array(b), np.array(x), np.array(y))
+        assert set(found) <= set(good)
+        assert max((r[1] - r[0] for r in found), default=0) == max((r[1] - r[0] for r in good), default=0)
