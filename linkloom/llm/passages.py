@@ -3,7 +3,9 @@
 Seeds are winnowed 5-word k-mers: every exact run of K + WINDOW - 1 = 20 words
 holds one.  Each seed is tied to its first document, the one with the smallest
 id that has it, so a passage that n documents share gives n matches a seed and
-no pairs among them.  The matches of a document and a first document are chained:
+no pairs among them.  Where that ends in no passage, pairs of neighbouring seeds
+are tied to the next document that has them, and so is every run of ``MIN_WORDS``
+words around such a pair: an equal run is a passage, so no further round is due.  The matches of a document and a first document are chained:
 the best chain ends at a match with the score of the best chain before it (both
 positions smaller) less the cost of the gap, which is linear in the words
 skipped on both sides; a Fenwick tree over the positions in the first document
@@ -255,19 +257,66 @@ def _slice(words: str, low, high):
     return F.slice(words, low + 1, high - low)
 
 
-def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, head, x0, x1, y0, y1, equal): passages of ``key`` that its first document ``head`` has too; word positions, ends exclusive."""
-    places = seeded.select("key", F.inline("at"))
-    by_seed = places.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.min_by("pos", F.when(F.col("first"), F.col("key"))).alias("head_pos"))
-    shared = staged(by_seed.filter("head < last").select(F.col("h").alias("seed"), "head", "head_pos"), "shared")
-    matches = places.join(shared, F.col("h") == F.col("seed")).filter("key <> head").select("key", "head", "pos", "head_pos")
-    order = ["key", "head", "pos", "head_pos"]
-    sorted_matches = matches.repartition(partitions_of(rows), "key").sortWithinPartitions(*order)
-    found = staged(sorted_matches.mapInArrow(lambda it: _chains(it, k, GAP), "key bigint, head bigint, x array<int>, y array<int>"), "chains")
-    least = F.element_at("x", -1) - F.get("x", 0) + k + 2 * MARGIN >= min_words
-    found = found.filter(least)
-    ends = found.select("key").unionByName(found.select(F.col("head").alias("key")))
-    words = staged(_word_hashes(rows, key_bitmap(ends, BITMAP_BITS)), "words")
+def _open_pairs(batches: Iterator[pa.RecordBatch], k: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """(key, pos, step, pair): neighbouring shared seeds outside accepted passages, at most ``reach`` words apart, unless the document is the first one of both.
+
+    Rows are (key, pos, stop, seed, head), sorted by key and pos; accepted passages have a stop and no seed.
+    """
+    for rows in runs(batches, ["key"], 50_000):
+        key, pos, stop, seed, head = (rows[c].to_numpy() for c in ("key", "pos", "stop", "seed", "head"))
+        of = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(np.int64) << 32
+        reached = np.maximum.accumulate(of + stop)
+        at = np.flatnonzero((stop == 0) & (of + pos + k > reached))
+        i, j = at[:-1], at[1:]
+        near = (key[i] == key[j]) & (pos[j] - pos[i] <= reach) & ((head[i] != key[i]) | (head[j] != key[j]))
+        i, j = i[near], j[near]
+        step = pos[j] - pos[i]
+        pair = mix64(seed[i].view(np.uint64) + mix64(seed[j].view(np.uint64) + step.astype(np.uint64))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(pos[i]), pa.array(step), pa.array(pair)], ["key", "pos", "step", "pair"])
+
+
+def _long_grams(part: pa.RecordBatch, k: int, size: int) -> pa.RecordBatch | None:
+    """(key, pos, gram): hashes of the ``size`` words in a row that hold both seeds of a pair; rows are (key, pairs, words)."""
+    keys, pairs, words = part.column(0).to_numpy(), part.column(1), part.column(2)
+    ends, first, step = pairs.offsets.to_numpy(), pairs.values.field("pos").to_numpy(), pairs.values.field("step").to_numpy()
+    word_ends, flat = words.offsets.to_numpy(), words.values.to_numpy()
+    out = []
+    for i in range(part.num_rows):
+        a = mix64(flat[word_ends[i] : word_ends[i + 1]].astype(np.int64).view(np.uint64))
+        n = len(a) - size + 1
+        if n <= 0:
+            continue
+        mine = slice(ends[i], ends[i + 1])
+        mark = np.zeros(n + 1, np.int64)
+        low, high = np.maximum(first[mine] + step[mine] + k - size, 0), np.minimum(first[mine] + 1, n)
+        some = low < high
+        np.add.at(mark, low[some], 1)
+        np.add.at(mark, high[some], -1)
+        at = np.flatnonzero(np.cumsum(mark)[:n])
+        gram = np.zeros(len(at), np.uint64)
+        for j, p in enumerate(powers(size)):
+            gram += a[at + j] * p
+        out.append((np.full(len(at), keys[i]), at.astype(np.int32), mix64(gram).view(np.int64)))
+    if not out:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "pos", "gram"])
+
+
+def _tied(places: DataFrame, of: str, *columns: str) -> DataFrame:
+    """(key, head, pos, head_pos, columns): the places of each value of ``of`` that several documents have, with the first document and place that has it; the places in that document too."""
+    first = places.groupBy(F.col(of).alias("of")).agg(F.min("key").alias("head"), F.max("key").alias("last"), F.min(F.struct("key", "pos")).alias("at"))
+    first = first.filter("head < last").select("of", "head", F.col("at.pos").alias("head_pos"))
+    return places.join(first, F.col(of) == F.col("of")).select("key", "head", "pos", "head_pos", *columns)
+
+
+def _chained(matches: DataFrame, k: int) -> DataFrame:
+    """(key, head, x, y): chains of (key, head, pos, head_pos)."""
+    sorted_matches = matches.repartition(partitions_of(matches), "key").sortWithinPartitions("key", "head", "pos", "head_pos")
+    return staged(sorted_matches.mapInArrow(lambda it: _chains(it, k, GAP), "key bigint, head bigint, x array<int>, y array<int>"), "chains")
+
+
+def _aligned(found: DataFrame, words: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """(key, head, x0, x1, y0, y1, equal): the passages of chains."""
     low_x, high_x = F.greatest(F.get("x", 0) - MARGIN, F.lit(0)), F.element_at("x", -1) + k + MARGIN
     low_y, high_y = F.greatest(F.get("y", 0) - MARGIN, F.lit(0)), F.element_at("y", -1) + k + MARGIN
     one = found.join(words, "key").select("key", "head", "x", "y", low_x.alias("low_x"), low_y.alias("low_y"), high_y.alias("high_y"), _slice("words", low_x, high_x).alias("a"))
@@ -293,15 +342,40 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
         columns = [pa.array(np.array(c), pa.int32()) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns], ["key", "head", "x0", "x1", "y0", "y1", "equal"])
 
+    return per_batch(two, batch, "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int")
+
+
+def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, head, x0, x1, y0, y1, equal): passages of ``key`` that its first document ``head`` has too; word positions, ends exclusive."""
+    places = seeded.select("key", F.inline("at"))
+    by_seed = places.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.min_by("pos", F.when(F.col("first"), F.col("key"))).alias("head_pos"))
+    shared = staged(by_seed.filter("head < last").select(F.col("h").alias("seed"), "head", "head_pos"), "shared")
+    tied = staged(places.join(shared, F.col("h") == F.col("seed")).select("key", "head", "pos", "head_pos", "seed"), "tied")
+    found = _chained(tied.filter("key <> head").drop("seed"), k)
+    ends = found.select("key").unionByName(found.select(F.col("head").alias("key")))
+    words = staged(_word_hashes(rows, key_bitmap(ends, BITMAP_BITS)), "words")
+    result = staged(_aligned(found, words, k, min_words, similarity), "first_passages")
+    # seeds in no accepted passage: their pairs are tied to the next document, and so are the runs of min_words around them, where equal runs are passages
+    spans = result.select("key", F.col("x0").alias("pos"), F.col("x1").alias("stop"), F.lit(0).cast("bigint").alias("seed"), "head")
+    rest = tied.select("key", "pos", F.lit(0).alias("stop"), "seed", "head").unionByName(spans)
+    in_order = rest.repartition(partitions_of(rows), "key").sortWithinPartitions("key", "pos")
+    pairs = staged(in_order.mapInArrow(lambda it: _open_pairs(it, k, WINDOW), "key bigint, pos int, step int, pair bigint"), "pairs")
+    open_pairs = staged(_tied(pairs, "pair", "step"), "open_pairs")
+    by_key = open_pairs.groupBy("key").agg(F.collect_list(F.struct("pos", "step")).alias("pairs"))
+    with_words = by_key.join(words, "key").select("key", "pairs", "words")
+    grams = staged(per_batch(with_words, lambda part: _long_grams(part, k, min_words), "key bigint, pos int, gram bigint"), "grams")
+    both = lambda df, step: df.select("key", "head", F.explode(F.array(F.lit(0), step)).alias("step"), "pos", "head_pos").select("key", "head", (F.col("pos") + F.col("step")).alias("pos"), (F.col("head_pos") + F.col("step")).alias("head_pos"))
+    again = both(open_pairs, F.col("step")).unionByName(both(_tied(grams, "gram"), F.lit(min_words - k)))
+    later = _chained(again.filter("key <> head").distinct(), k)
+    aligned = result.unionByName(_aligned(later, words, k, min_words, similarity))
     heads = staged(seeded.filter(f"n_words >= {min_words}").groupBy("whole").agg(F.min("key").alias("head")).withColumnRenamed("whole", "of"), "heads")
     n = F.col("n_words").cast("int")
     zero = F.lit(0)
     copies = seeded.join(heads, F.col("whole") == F.col("of")).filter("key <> head").select(
         "key", "head", zero.alias("x0"), n.alias("x1"), zero.alias("y0"), n.alias("y1"), n.alias("equal")
     )
-    aligned = per_batch(two, batch, "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int")
     result = staged(aligned.unionByName(copies).dropDuplicates(["key", "head", "x0", "x1", "y0", "y1"]), "passages")
-    discard(shared, words, heads)
+    discard(shared, tied, words, pairs, open_pairs, grams, heads)
     return result
 
 

@@ -112,3 +112,21 @@ def test_cut_chains_against_all_runs():
         found = P.align(np.array(a), np.array(b), np.array(x), np.array(y))
         assert set(found) <= set(good)
         assert max((r[1] - r[0] for r in found), default=0) == max((r[1] - r[0] for r in good), default=0)
+
+
+def test_first_document_with_the_sentences_in_other_order(make_docs):
+    """An early document has all seeds of a passage, but not the passage; later ones share it with each other, exactly or nearly."""
+    rng = random.Random(15)
+    sentences = [fresh(rng, 26) for _ in range(8)]
+    whole = sum(sentences, [])
+    spread = sum((whole[i : i + 20] + fresh(rng, 12) for n in range(0, len(whole) - 19, 4) for i in [(n * 37) % (len(whole) - 19)]), [])
+    every = sum((whole[i : i + 24] + fresh(rng, 15) for i in sorted(range(0, len(whole) - 23, 4), key=lambda i: i * 7919 % 101)), [])
+    docs = [(0, " ".join(spread)), (1, " ".join(every)), *((i, " ".join(fresh(rng, 30) + whole + fresh(rng, 30))) for i in range(2, 6))]
+    line = fresh(rng, 30)
+    docs += [(i, " ".join(fresh(rng, 40) + line + fresh(rng, 40))) for i in range(6, 30)]
+    rows = {r.doc_id: r for r in P.shared_passages(make_docs(docs)).collect()}
+    for i in range(3, 6):
+        assert rows[i].n_again == len(whole)
+        assert "30:238:2:30:238" in rows[i].passages.split(",")
+    assert rows[2].n_shared == len(whole) and rows[2].n_again == 0
+    assert all(rows[i].n_shared == 0 for i in range(6, 30))
