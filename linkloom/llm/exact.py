@@ -3,9 +3,10 @@
 The key of a text is a 64-bit hash of its characters other than white space.  A
 directory of 2**depth slots points at buckets, each of which owns the range of
 keys that begin with its prefix.  An overfull bucket is split by one more bit,
-and the directory doubles until every bucket fits (``directory``).  A bucket that
-cannot be split, because one key fills it, gets overflow pages instead, so a text
-that makes up a third of all rows is dealt over many tasks.
+and the directory doubles until every bucket fits (``directory``).  A key that
+would fill much of a bucket by itself does not count, since no split can part it:
+its rows go to overflow pages of their own, so a text that makes up a third of all
+rows is dealt over many tasks.
 
 Rows go to the task that owns their bucket and page.  There, texts of one key are
 told apart by comparing them byte for byte: every text of its own is an entry,
@@ -45,14 +46,24 @@ def _prefix(key: str, depth: int) -> Column:
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
+def _heavy(capacity: int) -> Column:
+    return 4 * F.col("n") > capacity
+
+
+def heavy_keys(keys: DataFrame, capacity: int) -> DataFrame:
+    """(key, key_pages) of the keys that have more than a quarter of a bucket's rows: at most 4 * BUCKETS of them."""
+    return staged(keys.filter(_heavy(capacity)).select("key", F.ceil(F.col("n") / capacity).alias("key_pages")), "heavy")
+
+
 def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
     """(slot, bucket, pages) of every slot that has rows, and the depth; ``keys`` has (key, n).
 
     ``slot`` is the first ``depth`` bits of a key.  ``bucket`` names the prefix that
-    owns the slot; ``pages`` is above 1 where the bucket cannot be split.  No keys
-    give an empty directory.  It has 2**max_depth rows at most.
+    owns the slot; ``pages`` is above 1 where it is overfull at ``max_depth``.
+    Rows of heavy keys do not fill a bucket.  No keys give an empty directory.  It
+    has 2**max_depth rows at most.
     """
-    leaves, open_, depth = [], keys, 0
+    leaves, open_, depth = [], keys.withColumn("n", F.when(_heavy(capacity), 0).otherwise(F.col("n"))), 0
     while True:
         deep = min(depth + STEP, max_depth)
         fine = open_.groupBy(_prefix("key", deep).alias("prefix")).agg(F.sum("n").alias("n"), F.count("*").alias("keys"))
@@ -78,12 +89,12 @@ def directory(keys: DataFrame, capacity: int, max_depth: int = MAX_DEPTH) -> tup
     buckets = staged(buckets, "buckets")
     depth = buckets.agg(F.max("depth")).first()[0] or 0
     slots = F.expr(f"sequence(shiftleft(prefix, {depth} - depth), shiftleft(prefix + 1, {depth} - depth) - 1)")
-    pages = F.ceil(F.col("n") / capacity)
+    pages = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))
     named = buckets.select(F.explode(slots).alias("slot"), F.expr("shiftleft(1L, depth) + prefix").alias("bucket"), pages.alias("pages"))
     return staged(named, "directory"), depth
 
 
-def entries(docs: DataFrame, slots: DataFrame, depth: int, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
+def entries(docs: DataFrame, slots: DataFrame, depth: int, heavy: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """(bucket, key, sha256, n, chars, keep_id) of every text: the index.
 
     The row that stays has the most code points before normalising, then the
@@ -91,7 +102,9 @@ def entries(docs: DataFrame, slots: DataFrame, depth: int, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("chars"), normalised(F.col(text_col)).alias("body"))
     rows = rows.withColumn("key", _key(F.col("body"), key_bits)).withColumn("page", F.monotonically_increasing_id())
-    owned = rows.withColumn("slot", _prefix("key", depth)).join(F.broadcast(slots), "slot")  # bounded by MAX_DEPTH
+    # both bounded, by MAX_DEPTH and by BUCKETS
+    owned = rows.withColumn("slot", _prefix("key", depth)).join(F.broadcast(slots), "slot").join(F.broadcast(heavy), "key", "left")
+    owned = owned.withColumn("pages", F.greatest("pages", "key_pages"))
     dealt = owned.withColumn("page", F.pmod(F.xxhash64("page"), F.col("pages"))).repartition(partitions_of(docs), "bucket", "page")
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("none"), "id"))
     found = dealt.groupBy("key", "body", "bucket", "page", "pages").agg(best.alias("best"), F.count("*").alias("n"))
@@ -122,8 +135,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = staged(slim, "rows")
     keys = staged(slim.groupBy("key").agg(F.count("*").alias("n")), "keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
-    slots, depth = directory(keys, max(capacity, -(-total // BUCKETS)))
-    index = entries(docs, slots, depth, id_col, text_col, key_bits)
+    capacity = max(capacity, -(-total // BUCKETS))
+    slots, depth = directory(keys, capacity)
+    index = entries(docs, slots, depth, heavy_keys(keys, capacity), id_col, text_col, key_bits)
     shared = index.filter("n > 1").select("key", F.col("sha256").alias("text_sha256"), "n", F.col("chars").alias("most"), "keep_id")
     met = slim.join(shared, ["key", "text_sha256"], "left")
     met = staged(met.withColumn("best", F.expr("n is not null and chars = most and doc_id <=> keep_id")), "met")
