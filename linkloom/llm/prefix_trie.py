@@ -85,7 +85,7 @@ def fattest(low: str, high: str) -> str:
     return f"shiftleft(shiftright({high}, {bits}), {bits})"
 
 
-NODE = ("depth", "fp", "parent_depth", "parent_fp", "conv", "handle", "handle_fp")
+NODE = ("depth", "fp", "parent_depth", "parent_fp", "conv", "handle", "handle_fp", "start_fp")
 
 
 def located(batch: DataFrame, paths: DataFrame, everything: DataFrame, trie: DataFrame) -> DataFrame:
@@ -93,24 +93,36 @@ def located(batch: DataFrame, paths: DataFrame, everything: DataFrame, trie: Dat
 
     ``batch`` has (conv_id, size); ``paths`` the prefixes of the batch.  The
     search keeps an interval (low, high] of depths; a hit raises low to the
-    extent of the node, a miss lowers high below the probe.
+    extent of the node, a miss lowers high below the probe.  A conversation that
+    runs through the whole extent may go on along the edge of a child whose handle
+    lies beyond its turns; that edge is found by its first turn.
     """
     longest = batch.agg(F.max("size")).first()[0] or 0
     zero = F.lit(0).cast("bigint")
-    state = batch.select("conv_id", "size", zero.alias("low"), F.col("size").alias("high"), zero.alias("at"), zero.alias("extent"), F.lit(None).cast("bigint").alias("via"))
+    state = batch.select("conv_id", "size", zero.alias("low"), F.col("size").alias("high"), zero.alias("at"), zero.alias("extent"), zero.cast("decimal(38,0)").alias("extent_fp"), F.lit(None).cast("bigint").alias("via"))
     probe_at = paths.select("conv_id", F.col("depth").alias("probe"), F.col("fp").alias("probe_fp"))
-    handles = trie.select(F.col("handle").alias("probe"), F.col("handle_fp").alias("probe_fp"), F.col("depth").alias("found"), F.col("conv").alias("found_conv"))
+    handles = trie.select(F.col("handle").alias("probe"), F.col("handle_fp").alias("probe_fp"), F.col("depth").alias("found"), F.col("fp").alias("found_fp"), F.col("conv").alias("found_conv"))
     for step in range(int(longest).bit_length()):
         asked = state.withColumn("probe", F.expr(f"if(low < high, {fattest('low', 'high')}, null)")).join(probe_at, ["conv_id", "probe"], "left").join(handles, ["probe", "probe_fp"], "left")
         hit, active = F.col("found").isNotNull(), F.col("probe").isNotNull()
         state = asked.select(
             "conv_id", "size", F.when(hit, F.col("found")).otherwise(F.col("low")).alias("low"), F.when(active & ~hit, F.col("probe") - 1).otherwise(F.col("high")).alias("high"),
             F.when(hit, F.col("probe")).otherwise(F.col("at")).alias("at"), F.when(hit, F.col("found")).otherwise(F.col("extent")).alias("extent"),
-            F.when(hit, F.col("found_conv")).otherwise(F.col("via")).alias("via"),
+            F.when(hit, F.col("found_fp")).otherwise(F.col("extent_fp")).alias("extent_fp"), F.when(hit, F.col("found_conv")).otherwise(F.col("via")).alias("via"),
         )
         if step % 3 == 2:
             state = staged(state, "search")
-    state = staged(state, "exits")
+    state = staged(state, "found")
+    through = paths.select("conv_id", F.col("depth").alias("extent"), F.col("fp").alias("extent_fp"), F.lit(True).alias("through"))
+    first_turn = paths.select("conv_id", (F.col("depth") - 1).alias("extent"), F.col("fp").alias("start_fp"))
+    children = trie.select(F.col("parent_depth").alias("extent"), "start_fp", F.col("depth").alias("child"), F.col("conv").alias("child_conv"))
+    whole = state.join(through, ["conv_id", "extent", "extent_fp"], "left").withColumn("through", F.col("through").isNotNull() | (F.col("extent") == 0))
+    onward = whole.join(first_turn, ["conv_id", "extent"], "left").withColumn("start_fp", F.when(F.col("through"), F.col("start_fp"))).join(children, ["extent", "start_fp"], "left")
+    down = F.col("child").isNotNull()
+    state = staged(onward.select(
+        "conv_id", "size", F.when(down, F.col("extent") + 1).when(F.col("through"), F.col("extent")).otherwise(F.col("at")).alias("at"),
+        F.coalesce("child", "extent").alias("extent"), F.coalesce("child_conv", "via").alias("via"),
+    ), "exits")
     # the rest of the exit node's edge, compared with a conversation that runs along it
     edge = state.filter("via is not null and at < least(extent, size)").join(paths, "conv_id").filter("depth > at and depth <= least(extent, size)").select("conv_id", "via", "depth", "fp")
     along = everything.select(F.col("conv_id").alias("via"), "depth", "fp")
@@ -121,11 +133,12 @@ def located(batch: DataFrame, paths: DataFrame, everything: DataFrame, trie: Dat
 def _with_handles(nodes: DataFrame, everything: DataFrame) -> DataFrame:
     at = nodes.withColumn("handle", F.expr(fattest("parent_depth", "depth")))
     lookup = everything.select(F.col("conv_id").alias("conv"), F.col("depth").alias("handle"), F.col("fp").alias("handle_fp"))
-    return at.join(lookup, ["conv", "handle"]).select(*NODE)
+    starts = everything.select(F.col("conv_id").alias("conv"), (F.col("depth") - 1).alias("parent_depth"), F.col("fp").alias("start_fp"))
+    return at.join(lookup, ["conv", "handle"]).join(starts, ["conv", "parent_depth"]).select(*NODE)
 
 
 def inserted(trie: DataFrame | None, batch: DataFrame, paths: DataFrame, everything: DataFrame) -> DataFrame:
-    """The trie with the conversations of a batch: (depth, fp, parent_depth, parent_fp, conv, handle, handle_fp) of each node but the root."""
+    """The trie with the conversations of a batch: NODE of each node but the root."""
     zero = F.lit(0).cast("bigint")
     exits = batch.select("conv_id", "size", zero.alias("matched")) if trie is None else located(batch, paths, everything, trie)
     rest = paths.join(exits, "conv_id")
