@@ -169,12 +169,21 @@ def queue(d) -> str:
     from {d.t('orders')}"""
 
 
+def command_rows(e: str) -> tuple[str, str]:
+    """Kind and node (or restored operation) of command ``e``."""
+    kind = f"""case when event_type = 'error' then case when {e} % 3 = 0 then 'redo' else 'undo' end
+      when event_type = 'signup' and {e} % 4 = 0 then 'revert' when event_type = 'signup' and {e} % 4 = 1 then 'restore' else 'append' end"""
+    return kind, f"case when event_type = 'signup' and {e} % 4 = 1 then 'g' || cast({e} - 1 - {e} % 7 as string) else {nid(f'{e} % 97')} end"
+
+
 def commands(d) -> str:
+    """The correction log: every seventh append writes two rows."""
     e = "event_id"
-    return f"""select 's' || cast(user_id % 10 as string) as site_id, {e} as seq,
-      case when event_type <> 'error' then 'append' when {e} % 3 = 0 then 'redo' else 'undo' end as command,
-      'g' || cast({e} as string) as op_group, {nid(f'{e} % 97')} as node_id
-    from {d.t('events')}"""
+    kind, node = command_rows(e)
+    head = f"select 's' || cast(user_id % 10 as string) as site_id, {e} as seq, "
+    return f"""{head} {kind} as command, 'g' || cast({e} as string) as op_group, {node} as node_id from {d.t('events')}
+    union all {head} 'append' as command, 'g' || cast({e} as string) as op_group, {nid(f'({e} + 31) % 97')} as node_id
+    from {d.t('events')} where {e} % 7 = 0 and event_type not in ('error', 'signup')"""
 
 
 def robots(d) -> str:

@@ -8,8 +8,8 @@ from ..operators import stats as S
 from ..streaming import live as LV
 from ..streaming import pairing as P
 from ..streaming import replay as R
-from ..streaming.runner import latest, read_table_stream, run_available
-from .base import query, site
+from ..streaming.runner import latest, read_table_stream, run_available, run_with_state
+from .base import command_rows, nid, query, site
 
 START = 1_704_067_200
 WINDOW_MS = 4_000
@@ -38,16 +38,23 @@ def _(t):
 NODE_KEYS = f"{site('event_id')} as site_id, cast(event_id % 3001 as string) as identity_key"
 
 
-@query("node_stream", f"select distinct {NODE_KEYS} from events")
+def node_events(t):
+    return event_stream(t).selectExpr("ts", f"{site('event_id')} as site_id", "cast(event_id % 3001 as string) as identity_key")
+
+
+KNOWN = f"select {site('c_custkey')} as site_id, cast(c_custkey * 3 as string) as identity_key from customer"
+
+
+@query("node_stream", f"select distinct {NODE_KEYS} from events except {KNOWN}")
 def _(t):
-    stream = event_stream(t).selectExpr("ts", *NODE_KEYS.split(", cast")[:1], "cast(event_id % 3001 as string) as identity_key")
-    return run_available(LV.new_nodes(stream, "400 days"), "append").select("site_id", "identity_key")
+    known = t.customer.selectExpr(f"{site('c_custkey')} as site_id", "cast(c_custkey * 3 as string) as identity_key")
+    return run_available(LV.new_nodes(node_events(t), known), "append").select("site_id", "identity_key")
 
 
-@query("visit_stream", f"select {NODE_KEYS}, count(*) as visits, count(*) > 3 as over_limit from events group by 1, 2")
+@query("visit_stream", f"select {NODE_KEYS}, cast(floor(({START} + event_id * 60) / 2592000) as bigint) as period, count(*) as visits, count(*) > 3 as over_limit from events group by 1, 2, 3")
 def _(t):
-    stream = event_stream(t).selectExpr(*NODE_KEYS.split(", cast")[:1], "cast(event_id % 3001 as string) as identity_key")
-    return latest(run_available(LV.visit_counts(stream, 3)), "site_id", "identity_key")
+    out = latest(run_available(LV.visit_counts(node_events(t), 3)), "site_id", "identity_key", "period_start")
+    return out.select("site_id", "identity_key", (F.unix_seconds("period_start") / 2592000).cast("bigint").alias("period"), "visits", "over_limit")
 
 
 @query(
@@ -59,23 +66,48 @@ def _(t):
     return LV.event_tail(events, 40, ("-event_id",)).select("session_id", "event_id")
 
 
-REPLAY_SQL = """, c as materialized (select *, row_number() over (partition by site_id order by seq) as rn from commands),
- w as (select site_id, rn, seq, command, op_group, 0 as c0, case when command = 'append' then 1 else 0 end as cur, case when command = 'append' then 1 else 0 end as hi from c where rn = 1
-   union all select c.site_id, c.rn, c.seq, c.command, c.op_group, w.cur,
-     case c.command when 'append' then w.cur + 1 when 'undo' then greatest(w.cur - 1, 0) else least(w.cur + 1, w.hi) end,
-     case when c.command = 'append' then w.cur + 1 else w.hi end from w join c on c.site_id = w.site_id and c.rn = w.rn + 1),
+#: One command after another, with the stacks and the live rows as lists.
+REPLAY_SQL = """, c as materialized (select *, row_number() over (partition by site_id order by seq, node_id) as t from commands),
+ born as (select site_id, op_group, min(t) as born, list(t order by t) as op_rows from c where command = 'append' group by 1, 2),
+ held as (select site_id, node_id, list(t order by t) as node_rows from c where command = 'append' group by 1, 2),
+ x as materialized (select c.*, born.born, born.op_rows, case c.command when 'revert' then held.node_rows when 'restore' then list_filter(goal.op_rows, lambda r: r < c.t) end as listed from c
+   left join born on c.command = 'append' and born.site_id = c.site_id and born.op_group = c.op_group
+   left join born goal on c.command = 'restore' and goal.site_id = c.site_id and goal.op_group = c.node_id
+   left join held on c.command = 'revert' and held.site_id = c.site_id and held.node_id = c.node_id),
+ w as (select distinct site_id, cast(0 as bigint) as t, cast([] as struct(op bigint, rev boolean, rows bigint[])[]) as done, cast([] as struct(op bigint, rev boolean, rows bigint[])[]) as undone,
+     cast([] as bigint[]) as live, false as pushes from c
+   union all select site_id, t,
+     case when pushes then list_append(done, {op: t, rev: command <> 'append', rows: mine}) when command = 'undo' and len(done) > 0 then list_slice(done, 1, len(done) - 1)
+       when command = 'redo' and len(undone) > 0 then list_append(done, undone[len(undone)]) else done end,
+     case when forks then [] when command = 'undo' and len(done) > 0 then list_append(undone, done[len(done)])
+       when command = 'redo' and len(undone) > 0 then list_slice(undone, 1, len(undone) - 1) else undone end,
+     case when forks then list_concat(list_reduce(list_prepend({rev: false, rows: case when command = 'append' then live else list_filter(live, lambda r: not list_contains(mine, r)) end},
+           list_transform(list_reverse(undone), lambda o: {rev: o.rev, rows: o.rows})),
+         lambda p, q: {rev: false, rows: case when q.rev then list_distinct(list_concat(p.rows, q.rows)) else list_filter(p.rows, lambda r: not list_contains(q.rows, r)) end}).rows,
+         case when command = 'append' then [t] else [] end)
+       when command = 'undo' and len(done) > 0 then case when done[len(done)].rev then list_distinct(list_concat(live, done[len(done)].rows)) else list_filter(live, lambda r: not list_contains(done[len(done)].rows, r)) end
+       when command = 'redo' and len(undone) > 0 then case when undone[len(undone)].rev then list_filter(live, lambda r: not list_contains(undone[len(undone)].rows, r)) else list_distinct(list_concat(live, undone[len(undone)].rows)) end
+       else live end,
+     pushes
+   from (select *, case command when 'append' then true when 'restore' then true when 'revert' then len(mine) > 0 else false end as forks,
+       case command when 'append' then t = born when 'restore' then true when 'revert' then len(mine) > 0 else false end as pushes
+     from (select x.site_id, x.t, x.command, x.born, w.done, w.undone, w.live, case x.command when 'append' then op_rows when 'restore' then coalesce(listed, [])
+         when 'revert' then list_filter(coalesce(listed, []), lambda r: r < x.t and list_contains(w.live, r)) else [] end as mine
+       from w join x on x.site_id = w.site_id and x.t = w.t + 1))),
  wm as materialized (select * from w),
- fin as (select site_id, arg_max(cur, rn) as final from wm group by 1),
- a as (select site_id, seq, op_group, cur as k, min(cur) over (partition by site_id order by seq rows between 1 following and unbounded following) as later from wm where command = 'append'),
- st as (select a.*, case when later <= k then 'discarded' when k <= final then 'applied' else 'redoable' end as op_state from a join fin using (site_id))"""
+ fin as (select site_id, arg_max(list_transform(done, lambda o: o.op), t) as done, arg_max(list_transform(undone, lambda o: o.op), t) as undone, arg_max(live, t) as live from wm group by 1),
+ pushed as (select x.site_id, x.t as own, x.t, x.seq, 'revert' as command, x.op_group, x.node_id from x join wm using (site_id, t) where pushes and x.command <> 'append'
+   union all select site_id, born, t, seq, command, op_group, node_id from x where command = 'append'),
+ st as (select site_id, seq, command, op_group, node_id, case when list_contains(done, own) then 'applied' when list_contains(undone, own) then 'redoable' else 'discarded' end as op_state,
+   case when command = 'append' then list_contains(live, t) end as live from pushed join fin using (site_id))"""
 
 
-@query("override_replay", REPLAY_SQL + " select site_id, seq, op_group, op_state, op_state = 'applied' as live from st", "commands")
+@query("override_replay", REPLAY_SQL + " select site_id, seq, command, op_group, node_id, op_state, live from st", "commands")
 def _(t):
-    return R.replay(t.commands).select("site_id", "seq", "op_group", "op_state", "live")
+    return R.replay(t.commands)
 
 
-@query("replay_depths", REPLAY_SQL + " select site_id, count(*) filter (where op_state = 'applied') as undo_depth, count(*) filter (where op_state = 'redoable') as redo_depth from st group by 1", "commands")
+@query("replay_depths", REPLAY_SQL + " select site_id, count(distinct op_group) filter (where op_state = 'applied') as undo_depth, count(distinct op_group) filter (where op_state = 'redoable') as redo_depth from st group by 1", "commands")
 def _(t):
     ops = R.op_states(R.replay(t.commands))
     return ops.groupBy("site_id").agg(
@@ -84,19 +116,14 @@ def _(t):
     )
 
 
-@query("replay_stream", REPLAY_SQL + " select site_id, op_group, seq, op_state from st", "commands")
+@query("replay_stream", REPLAY_SQL + " select site_id, seq, command, op_group, node_id, op_state, live from st", "commands")
 def _(t):
     stream = read_table_stream(t.spark, t.directory, "events", t.events.schema)
-    e = F.col("event_id")
-    commands = stream.select(
-        F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("site_id"),
-        e.alias("seq"),
-        F.when(F.col("event_type") != "error", "append").when(e % 3 == 0, "redo").otherwise("undo").alias("command"),
-        F.concat(F.lit("g"), e.cast("string")).alias("op_group"),
-        F.lpad((e % 97).cast("string"), 12, "0").alias("node_id"),
-    )
-    out = latest(run_available(R.replay_stream(commands)), "site_id", "op_group")
-    return out.select("site_id", "op_group", "seq", "op_state")
+    kind, node = command_rows("event_id")
+    second = f"if(event_id % 7 = 0 and event_type not in ('error', 'signup'), array({node}, {nid('(event_id + 31) % 97')}), array({node}))"
+    commands = stream.selectExpr("'s' || cast(user_id % 10 as string) as site_id", "event_id as seq", f"{kind} as command", "'g' || cast(event_id as string) as op_group", f"explode({second}) as node_id")
+    out = latest(run_available(R.replay_stream(commands)), "site_id", "seq", "command", "op_group", "node_id")
+    return out.select("site_id", "seq", "command", "op_group", "node_id", "op_state", "live")
 
 
 def click_events(t):
@@ -191,10 +218,10 @@ STREAMED = "(select *, event_id % 11 = 0 or event_id % 13 = 0 or event_id % 8 =
 
 @query(
     "pairing_stream",
-    ", " + pair_sql(STREAMED, 4 * 3600 * 1000) + " select c.session_id, p.click_id, p.nav_id from paired p join pe c on c.event_id = p.click_id",
+    ", " + pair_sql(STREAMED, 4 * 3600 * 1000) + " select c.session_id, c.event_id as click_id, case when p.nav_id is null then 'unpaired' else 'paired' end as outcome, p.nav_id from pe c left join paired p on c.event_id = p.click_id where c.is_click",
 )
 def _(t):
-    """Streaming form over the raw events: the pairs found."""
+    """Streaming form over the raw events: every click, with those that still wait at the end."""
     stream = event_stream(t).filter("event_type in ('click', 'view')")
     e = F.col("event_id")
     shaped = stream.select(
@@ -209,8 +236,9 @@ def _(t):
         (e % 60).cast("int").alias("from_depth"),
         F.concat(F.lit("https://s0.example.com/n/"), (e % 40).cast("string")).alias("url"),
     )
-    out = run_available(P.pair_clicks_stream(shaped, 4 * 3600 * 1000), "append")
-    return out.filter("outcome = 'paired'").select("session_id", "click_id", "nav_id")
+    out, checkpoint = run_with_state(P.pair_clicks_stream(shaped, 4 * 3600 * 1000), "append")
+    columns = ("session_id", "click_id", "outcome", "nav_id")
+    return out.select(*columns).unionByName(P.left_waiting(t.spark, checkpoint).select(*columns))
 
 
 CAPTURE = """case when event_id % 7 = 0 then 'no json' when event_id % 7 = 1 then '{"kind":"hover"}'

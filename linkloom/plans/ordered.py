@@ -97,3 +97,30 @@ def running(
 def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", *, partitions: int | None = None) -> DataFrame:
     """``row_number`` (from 1) for all rows of every group."""
     return running(df, keys, order, {name: ("sum", F.lit(1))}, partitions=partitions)
+
+
+def running_walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, *, total: str = "total", lowest: str = "lowest") -> DataFrame:
+    """``total``: running sum of ``step``; ``lowest``: the least of 0 and the sums of all earlier rows.
+
+    A walk that may not fall below zero stands at ``total - least(lowest, total)``.
+    A part of a group is summed up by its sum and its least running sum.
+    """
+    ordering = sort_columns(order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_step", step).repartitionByRange(parts, *[F.col(k) for k in keys], *ordering)
+    ranged = staged(dealt.withColumn("_part", F.spark_partition_id()), "ranged")
+    w = Window.partitionBy(*keys, "_part").orderBy(*ordering)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_sum", F.sum("_step").over(upto)).withColumn("_low", F.min("_sum").over(earlier))
+    totals = local.groupBy(*keys, "_part").agg(F.sum("_step").alias("_all"), F.min("_sum").alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    based = totals.withColumn("_base", F.coalesce(F.sum("_all").over(before), zero))
+    offsets = based.withColumn("_floor", F.least(zero, F.min(F.col("_base") + F.col("_least")).over(before))).select(*keys, "_part", "_base", "_floor")
+    on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]])
+    joined = local.alias("l").join(offsets.alias("r"), on)
+    return joined.select(
+        *[F.col(f"l.{c}") for c in df.columns], (F.col("r._base") + F.col("l._sum")).alias(total),
+        F.least(F.col("r._floor"), F.col("r._base") + F.col("l._low")).alias(lowest),
+    )

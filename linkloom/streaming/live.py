@@ -21,17 +21,27 @@ def progress_snapshots(
     )
 
 
-def new_nodes(found: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each (site_id, identity_key) once, when first seen."""
+def new_nodes(found: DataFrame, known: DataFrame | None = None, delay: str = "1 hour") -> DataFrame:
+    """Each (site_id, identity_key) once, when first seen.
+
+    ``known`` is the node table: what it has is left out, so state only covers
+    the time until new nodes are in it (``delay``).
+    """
+    if known is not None:
+        found = found.join(known.select("site_id", "identity_key"), ["site_id", "identity_key"], "left_anti")
     return found.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["site_id", "identity_key"])
 
 
-def visit_counts(logs: DataFrame, limit: int = 3) -> DataFrame:
-    """Running visits per identity with a flag over the limit (update mode)."""
+def visit_counts(logs: DataFrame, limit: int = 3, period: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """Running visits per identity and crawl period, with a flag over the limit (update mode).
+
+    A period's counts leave the state when the watermark has passed its end.
+    """
     return (
-        logs.groupBy("site_id", "identity_key")
+        logs.withWatermark("ts", delay)
+        .groupBy("site_id", "identity_key", F.window("ts", period).alias("_w"))
         .agg(F.count("*").alias("visits"))
-        .withColumn("over_limit", F.col("visits") > limit)
+        .select("site_id", "identity_key", F.col("_w.start").alias("period_start"), "visits", (F.col("visits") > limit).alias("over_limit"))
     )
 
 

@@ -1,159 +1,178 @@
-"""Replay of the correction log with undo and redo.
+"""Replay of the correction log with undo and redo, as passes over the whole log.
 
-Undo depends on everything before it, so one site is replayed in order; sites
-spread over the cluster.  The log is never gathered: a task walks the sorted
-log of a site batch by batch and keeps only operation ids and row flags.
+Commands of a site move a cursor over its operations.  A new operation goes on
+top of the cursor and everything above is discarded; undo lowers the cursor, redo
+raises it up to the last operation that is not discarded.  Each pass orders the
+log by ranges (``plans.ordered``), so one site lies in many tasks, and nothing is
+stepped through row by row:
+
+* Between two new operations, undo and redo are a walk that may not fall below
+  zero (there is nothing to redo); a running sum and its running minimum tell
+  which redos act (``_walked``).
+* The cursor is such a walk again, over all operations (nothing to undo).  An
+  undo that does nothing can take a later redo's object away; if so, it is taken
+  out of the log and the walk is repeated.  Each repetition only finds undos that
+  truly do nothing, so it ends with the exact cursor.
+* The operation that an undo or redo acts on is the last one that was put at that
+  height (``_acts``).  What is undone when the next operation begins is discarded.
+* A row is set on or off by its own operation and by the reverts that list it;
+  its last such event decides (``_settled``).
+* A revert lists the rows of its node that are live just then, and does not exist
+  if there are none.  That depends on the replay itself, so replay and lists are
+  repeated until they agree.  Every round settles at least the earliest command
+  that was still wrong, so the result is exact.
+
+The stream form takes the commands of a micro-batch one after another and keeps
+each operation and row as an entry of its own in the state store.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..plans.ordered import running, running_walk, with_row_number
+from ..plans.stage import staged
+from .keyed import Entries, frame, ordered_rows
 
-RESULT = "site_id string, seq long, command string, op_group string, node_id string, op_state string, live boolean"
 COMMAND_COLUMNS = ("site_id", "seq", "command", "op_group", "node_id")
+RESULT_COLUMNS = ("site_id", "seq", "command", "op_group", "node_id", "op_state", "live")
 
 
-class CorrectionLog:
-    """Applied and undone operations of one site."""
+def _named(column: str) -> Column:
+    """An operation's name, with NULL as a name of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
 
-    def __init__(self) -> None:
-        self.rows: list[list] = []  # by row number: [op_group, node_id, live, seq]; a batch has several rows of one seq
-        self.ops: dict[str, dict] = {}  # op_group -> kind, seq, rows, node, state
-        self.done: list[str] = []
-        self.undone: list[str] = []
-        self.node_rows: dict[str, list[int]] = {}
-        self.touched: set[str] = set()
 
-    def _switch(self, name: str, on: bool) -> None:
-        op = self.ops[name]
-        for n in op["rows"]:
-            self.rows[n][2] = on != op["revert"]
-            self.touched.add(self.rows[n][0])
-        op["state"] = "applied" if on else "redoable"
-        self.touched.add(name)
+def _log(commands: DataFrame) -> DataFrame:
+    """The commands with their number ``t`` in the site, the ``op`` they belong to and the first row of an append's operation (``born``)."""
+    rows = commands.select(*COMMAND_COLUMNS).filter("command in ('append', 'revert', 'restore', 'undo', 'redo')")
+    numbered = with_row_number(rows, ["site_id"], ["seq", "node_id", "op_group", "command"], "t").withColumn("op", _named("op_group"))
+    numbered = staged(numbered.withColumn("t", F.col("t").cast("bigint")), "log")
+    first = numbered.filter("command = 'append'").groupBy(F.col("site_id").alias("_site"), F.col("op").alias("_op")).agg(F.min("t").alias("born"))
+    met = numbered.join(first, (F.col("command") == "append") & F.col("site_id").eqNullSafe(F.col("_site")) & (F.col("op") == F.col("_op")), "left")
+    return staged(met.drop("_site", "_op"), "log")
 
-    def _fork(self) -> None:
-        while self.undone:
-            name = self.undone.pop()
-            self._switch(name, False)
-            self.ops[name]["state"] = "discarded"
-
-    def _push(self, name: str, seq: int, rows: list[int], revert: bool, node: str | None) -> None:
-        self.ops[name] = {"seq": seq, "rows": rows, "revert": revert, "node": node, "state": "applied"}
-        self.done.append(name)
-        self.touched.add(name)
-
-    def apply(self, seq: int, command: str, op_group: str | None, node: str | None) -> None:
-        if command == "append":
-            self._fork()
-            number = len(self.rows)
-            self.rows.append([op_group, node, True, seq])
-            self.node_rows.setdefault(node, []).append(number)
-            if op_group in self.ops:
-                self.ops[op_group]["rows"].append(number)
-                self.touched.add(op_group)
-            else:
-                self._push(op_group, seq, [number], False, node)
-        elif command in ("revert", "restore"):
-            if command == "revert":
-                rows = [n for n in self.node_rows.get(node, []) if self.rows[n][2]]
-                if not rows:
-                    return
-            else:
-                rows = list(self.ops[node]["rows"]) if node in self.ops else []
-            for n in rows:
-                self.rows[n][2] = False
-                self.touched.add(self.rows[n][0])
-            self._fork()
-            self._push(op_group, seq, rows, True, node)
-        elif command == "undo" and self.done:
-            name = self.done.pop()
-            self._switch(name, False)
-            self.undone.append(name)
-        elif command == "redo" and self.undone:
-            name = self.undone.pop()
-            self._switch(name, True)
-            self.done.append(name)
-
-    def results(self, site: str, names=None) -> pd.DataFrame:
-        out = []
-        for name in self.ops if names is None else sorted(names):
-            op = self.ops[name]
-            if op["revert"]:
-                out.append((site, op["seq"], "revert", name, op["node"], op["state"], None))
-            else:
-                for n in op["rows"]:
-                    _, of, live, seq = self.rows[n]
-                    out.append((site, seq, "append", name, of, op["state"], live))
-        columns = ["site_id", "seq", "command", "op_group", "node_id", "op_state", "live"]
-        return pd.DataFrame(out, columns=columns).astype({"seq": "int64", "live": "object"})
 
-    def dump(self) -> str:
-        return json.dumps([self.rows, self.ops, self.done, self.undone])
+def _walked(log: DataFrame, idle: DataFrame | None) -> DataFrame:
+    """The log with ``acts`` (push, undo, redo or NULL), ``pos`` (height it acts on) and ``span`` (operations and forks so far).
 
-    @classmethod
-    def load(cls, text: str) -> CorrectionLog:
-        log = cls()
-        log.rows, log.ops, log.done, log.undone = json.loads(text)
-        for number, row in enumerate(log.rows):
-            log.node_rows.setdefault(row[1], []).append(number)
-        return log
+    ``idle`` holds the reverts (site_id, t) that do nothing.
+    """
+    push = "command in ('revert', 'restore') or t = born"
+    rows = log
+    if idle is not None:
+        rows = rows.join(idle.withColumn("idle", F.lit(True)), ["site_id", "t"], "left").filter("idle is null").drop("idle")
+    rows = rows.withColumn("fork", F.expr("command in ('append', 'revert', 'restore')")).withColumn("push", F.expr(f"coalesce({push}, false)"))
+    rows = staged(running(rows, ["site_id"], ["t"], {"span": ("sum", F.col("fork").cast("bigint"))}).withColumn("void", F.lit(False)), "spans")
+    while True:
+        undone = F.expr("case when void or span = 0 then 0 when command = 'undo' then 1 when command = 'redo' then -1 else 0 end").cast("bigint")
+        inner = running_walk(rows, ["site_id", "span"], ["t"], undone, total="w", lowest="w_low")
+        redoing = inner.withColumn("redoing", F.expr("command = 'redo' and span > 0 and w >= w_low")).drop("w", "w_low")
+        step = F.expr("case when push then 1 when void or span = 0 then 0 when command = 'undo' then -1 when redoing then 1 else 0 end").cast("bigint")
+        outer = running_walk(redoing.withColumn("step", step), ["site_id"], ["t"], F.col("step"), total="s", lowest="s_low")
+        outer = staged(outer.withColumn("before", F.expr("s - step - s_low")).withColumn("missed", F.expr("step = -1 and before = 0")).drop("s", "s_low"), "walk")
+        cut = outer.groupBy("site_id", "span").agg(F.min(F.expr("if(missed, t, null)")).alias("a"), F.max(F.expr("if(redoing, t, null)")).alias("b")).filter("a < b")
+        if not cut.take(1):
+            break
+        void = outer.withColumn("void", F.col("void") | F.col("missed")).drop("redoing", "step", "before", "missed")
+        rows = staged(void, "spans")
+    acts = F.expr("case when push then 'push' when step = -1 and before > 0 then 'undo' when redoing then 'redo' end")
+    return outer.withColumn("acts", acts).withColumn("pos", F.expr("if(acts = 'undo', before, before + 1)")).drop("redoing", "step", "before", "missed", "void")
 
 
-def _feed(log: CorrectionLog, pdf: pd.DataFrame) -> None:
-    for seq, command, op, node in zip(pdf["seq"], pdf["command"], pdf["op_group"], pdf["node_id"]):
-        log.apply(int(seq), command, op, node)
+def _acts(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (site_id, own, t, k, off) and operations (site_id, own, k, state, last_t, off, ever): ``own`` is the number of the operation's first command."""
+    moves = walked.filter("acts is not null").select("site_id", "pos", "t", "acts", "span")
+    owned = running(moves, ["site_id", "pos"], ["t"], {"own": ("max", F.expr("if(acts = 'push', t, null)"))})
+    owned = staged(owned, "acts")
+    last = owned.groupBy("site_id", "own", "pos").agg(F.max(F.struct("t", "acts", "span")).alias("last"))
+    forks = walked.filter("fork").select(F.col("site_id").alias("_site"), (F.col("span") - 1).alias("_span"), F.col("t").alias("gone"))
+    on = F.col("site_id").eqNullSafe(F.col("_site")) & (F.col("last.span") == F.col("_span")) & (F.col("last.acts") == "undo")
+    ended = last.join(forks, on, "left")
+    state = F.expr("case when last.acts <> 'undo' then 'applied' when gone is null then 'redoable' else 'discarded' end")
+    ops = staged(ended.select("site_id", "own", F.col("pos").alias("k"), state.alias("state"), F.coalesce("gone", "last.t").alias("last_t"), (F.col("last.acts") == "undo").alias("off"), (F.col("last.acts") != "push").alias("ever")), "ops")
+    events = owned.filter("acts <> 'push'").select("site_id", "own", "t", F.col("pos").alias("k"), (F.col("acts") == "undo").alias("off"))
+    return events.unionByName(ops.filter("state = 'discarded'").select("site_id", "own", F.col("last_t").alias("t"), "k", F.lit(True).alias("off"))), ops
 
 
-def replay(commands: DataFrame) -> DataFrame:
-    """Final state of every operation and liveness of every row.
+def _restored(log: DataFrame) -> DataFrame:
+    """(site_id, own, row) of the rows that each restore lists: those written by the named operation before."""
+    asked = log.filter("command = 'restore'").select("site_id", F.col("t").alias("own"), _named("node_id").alias("op"))
+    return log.filter("command = 'append'").select("site_id", "op", F.col("t").alias("row")).join(asked, ["site_id", "op"]).filter("row < own").select("site_id", "own", "row")
 
-    Commands: append (op_group, node), revert (op_group, node), restore
-    (op_group; node_id names the operation restored), undo, redo.
-    """
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log, site = CorrectionLog(), None
-        for pdf in batches:
-            for name, part in pdf.groupby("site_id", sort=False):
-                if name != site:
-                    if site is not None:
-                        yield log.results(site)
-                    log, site = CorrectionLog(), name
-                _feed(log, part)
-        if site is not None:
-            yield log.results(site)
-
-    ordered = (
-        commands.select(*COMMAND_COLUMNS).repartition("site_id").sortWithinPartitions("site_id", "seq", "node_id")
-    )
-    return ordered.mapInPandas(walk, RESULT)
+def _reverted(log: DataFrame, events: DataFrame, lists: DataFrame) -> DataFrame:
+    """(site_id, own, row): the rows that are live when their node is reverted next."""
+    asked = log.filter("command = 'revert'").select("site_id", "node_id", F.col("t").alias("own"))
+    rows = log.filter("command = 'append'").join(asked.select("site_id", "node_id").distinct(), ["site_id", "node_id"], "left_semi").select("site_id", "node_id", F.col("t").alias("row"), F.col("born").alias("own"))
+    rows = staged(rows, "rows")
+    written = rows.select("site_id", "row", F.col("row").alias("t"), F.lit(2).alias("phase"), F.lit(0).cast("bigint").alias("k"), F.lit(True).alias("on"))
+    mine = rows.join(events, ["site_id", "own"]).filter("t > row").select("site_id", "row", "t", F.lit(1).alias("phase"), "k", (~F.col("off")).alias("on"))
+    listed = lists.join(rows.select("site_id", "row"), ["site_id", "row"], "left_semi")
+    cleared = listed.select("site_id", "row", F.col("own").alias("t"), F.lit(0).alias("phase"), F.lit(0).cast("bigint").alias("k"), F.lit(False).alias("on"))
+    switched = listed.join(events, ["site_id", "own"]).select("site_id", "row", "t", F.lit(1).alias("phase"), "k", F.col("off").alias("on"))
+    turn = Window.partitionBy("site_id", "row").orderBy("t", "phase", "k")
+    spans = written.unionByName(mine).unionByName(cleared).unionByName(switched).withColumn("until", F.lead("t").over(turn)).filter("on")
+    named = spans.join(rows.select("site_id", "row", "node_id"), ["site_id", "row"]).select("site_id", "node_id", "t", "row", "until", F.lit(0).alias("mark"), F.lit(None).cast("bigint").alias("own"))
+    marks = asked.select("site_id", "node_id", F.col("own").alias("t"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("bigint").alias("until"), F.lit(1).alias("mark"), "own")
+    # the next revert of the node, from the end; one of the same number comes before what it sets on
+    ahead = running(named.unionByName(marks), ["site_id", "node_id"], ["-t", "mark", "row"], {"next": ("min", F.col("own"))}, exclusive=True)
+    return ahead.filter("mark = 0 and next is not null and (until is null or until >= next)").select("site_id", F.col("next").alias("own"), "row").distinct()
 
 
-def replay_stream(commands: DataFrame) -> DataFrame:
-    """Changed operations and rows after each micro-batch (update mode).
+def _settled(log: DataFrame, ops: DataFrame, lists: DataFrame) -> DataFrame:
+    """(site_id, t, live) of every appended row, by the last event of its operation and of each operation that lists it."""
+    key = lambda t, phase, k: F.struct(t.alias("t"), F.lit(phase).alias("phase"), k.alias("k"))
+    zero = F.lit(0).cast("bigint")
+    rows = log.filter("command = 'append'").select("site_id", F.col("t").alias("row"), F.col("born").alias("own"))
+    written = rows.select("site_id", "row", key(F.col("row"), 2, zero).alias("at"), F.lit(True).alias("on"))
+    mine = rows.join(ops.filter("ever"), ["site_id", "own"]).filter("last_t > row").select("site_id", "row", key(F.col("last_t"), 1, F.col("k")).alias("at"), (~F.col("off")).alias("on"))
+    at = F.when(F.col("ever"), key(F.col("last_t"), 1, F.col("k"))).otherwise(key(F.col("own"), 0, zero))
+    listed = lists.join(ops, ["site_id", "own"]).select("site_id", "row", at.alias("at"), (F.col("ever") & F.col("off")).alias("on"))
+    return written.unionByName(mine).unionByName(listed).groupBy("site_id", F.col("row").alias("t")).agg(F.max_by("on", "at").alias("live"))
 
-    Commands of a site must arrive in order from batch to batch; within a
-    batch they are sorted.
-    """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = CorrectionLog.load(state.get[0]) if state.exists else CorrectionLog()
-        pdf = pd.concat(list(batches)).sort_values(["seq", "node_id"])
-        _feed(log, pdf)
-        state.update((log.dump(),))
-        if log.touched:
-            yield log.results(key[0], log.touched)
+def _print(frame: DataFrame) -> tuple:
+    return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)"))).first())
 
-    return commands.select(*COMMAND_COLUMNS).groupBy("site_id").applyInPandasWithState(
-        step, RESULT, "log string", "update", GroupStateTimeout.NoTimeout
-    )
+
+def replay(commands: DataFrame) -> DataFrame:
+    """Final state of every operation and liveness of every row (RESULT_COLUMNS).
+
+    Commands: append (op_group, node), revert (op_group, node), restore
+    (op_group; node_id names the operation restored), undo, redo; in order of
+    (seq, node_id).  Appends of one op_group are one operation, and later ones join
+    it.  A revert of a node without live rows is no operation and gives no row;
+    reverts and restores give one row, whose ``live`` is NULL.  A site_id of NULL
+    is taken out.
+    """
+    log = _log(commands.filter("site_id is not null"))
+    restored = staged(_restored(log), "restored")
+    reverts = log.filter("command = 'revert'").select("site_id", "t")
+    asks = bool(reverts.take(1))
+    lists, idle, seen = restored, None, None
+    while True:
+        walked = _walked(log, idle)
+        events, ops = _acts(walked)
+        if not asks:
+            break
+        found = staged(_reverted(log, events, lists), "reverted")
+        if (now := _print(found)) == seen:
+            break
+        seen = now
+        lists = restored.unionByName(found)
+        idle = staged(reverts.join(found.select("site_id", F.col("own").alias("t")).distinct(), ["site_id", "t"], "left_anti"), "idle")
+    live = _settled(log, ops, lists)
+    states = ops.select("site_id", F.col("own").alias("_own"), F.col("state").alias("op_state"))
+    appends = log.filter("command = 'append'").select("site_id", "t", "seq", "command", "op_group", "node_id", F.col("born").alias("_own"))
+    others = walked.filter("acts = 'push' and command <> 'append'").select("site_id", "t", "seq", F.lit("revert").alias("command"), "op_group", "node_id", F.col("t").alias("_own"))
+    rows = appends.join(live, ["site_id", "t"]).unionByName(others.withColumn("live", F.lit(None).cast("boolean")))
+    return rows.join(states, ["site_id", "_own"]).select(*RESULT_COLUMNS)
 
 
 def op_states(replayed: DataFrame) -> DataFrame:
@@ -161,3 +180,120 @@ def op_states(replayed: DataFrame) -> DataFrame:
     return replayed.groupBy("site_id", "op_group").agg(
         F.min("seq").alias("seq"), F.min("command").alias("command"), F.min("op_state").alias("op_state")
     )
+
+
+STREAM_RESULT = "site_id string, seq long, command string, op_group string, node_id string, op_state string, live boolean"
+
+
+class ReplayState(StatefulProcessor):
+    """Operations and rows of one site as separate entries; a batch writes those that it touches."""
+
+    def init(self, handle) -> None:
+        self.ends = handle.getValueState("ends", "cursor long, height long, rows long")
+        shapes = {
+            "stack": ("pos long", "op string"),
+            "ops": ("op string", "pos long, revert boolean, listed long, seq long, name string, node string, state string"),
+            "listed": ("op string, j long", "r long"),
+            "written": ("r long", "op string, name string, node string, seq long, live boolean"),
+            "nodes": ("node string", "rows long"),
+            "node_rows": ("node string, j long", "r long"),
+        }
+        self.states = {name: handle.getMapState(name, *shape) for name, shape in shapes.items()}
+
+    def _switch(self, op: str, on: bool, state: str) -> None:
+        pos, revert, listed, seq, name, node, _ = self.ops.get(op)
+        for j in range(listed):
+            (r,) = self.listed.get(op, j)
+            self._live(r, on != revert)
+        self.ops.put((op,), (pos, revert, listed, seq, name, node, state))
+        self.touched.add(op)
+
+    def _live(self, r: int, live: bool) -> None:
+        entry = self.written.get(r)
+        self.written.put((r,), (*entry[:4], live))
+        self.touched.add(entry[0])
+
+    def _fork(self) -> None:
+        for pos in range(self.cursor + 1, self.height + 1):
+            self._switch(self.stack.get(pos)[0], False, "discarded")
+        self.height = self.cursor
+
+    def _push(self, op: str, revert: bool, rows: list[int], row) -> None:
+        self.cursor = self.height = self.cursor + 1
+        self.stack.put((self.cursor,), (op,))
+        for j, r in enumerate(rows):
+            self.listed.put((op, j), (r,))
+        self.ops.put((op,), (self.cursor, revert, len(rows), int(row.seq), row.op_group, row.node_id, "applied"))
+        self.touched.add(op)
+
+    def _append(self, op: str, node: str, row) -> None:
+        self._fork()
+        r, self.rows = self.rows, self.rows + 1
+        self.written.put((r,), (op, row.op_group, row.node_id, int(row.seq), True))
+        count = (self.nodes.get(node) or (0,))[0]
+        self.node_rows.put((node, count), (r,))
+        self.nodes.put((node,), (count + 1,))
+        if (known := self.ops.get(op)) is None:
+            self._push(op, False, [r], row)
+        else:
+            self.listed.put((op, known[2]), (r,))
+            self.ops.put((op,), (*known[:2], known[2] + 1, *known[3:]))
+            self.touched.add(op)
+
+    def _clear(self, op: str, rows: list[int], row) -> None:
+        for r in rows:
+            self._live(r, False)
+        self._fork()
+        self._push(op, True, rows, row)
+
+    def _apply(self, row) -> None:
+        op, node = "=" + row.op_group if row.op_group else "", "=" + row.node_id if row.node_id else ""
+        if row.command == "append":
+            self._append(op, node, row)
+        elif row.command == "revert":
+            held = [self.node_rows.get(node, j)[0] for j in range((self.nodes.get(node) or (0,))[0])]
+            if rows := [r for r in held if self.written.get(r)[4]]:
+                self._clear(op, rows, row)
+        elif row.command == "restore":
+            goal = self.ops.get(node)
+            self._clear(op, [self.listed.get(node, j)[0] for j in range(goal[2])] if goal and not goal[1] else [], row)
+        elif row.command == "undo" and self.cursor:
+            self._switch(self.stack.get(self.cursor)[0], False, "redoable")
+            self.cursor -= 1
+        elif row.command == "redo" and self.cursor < self.height:
+            self.cursor += 1
+            self._switch(self.stack.get(self.cursor)[0], True, "applied")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        maps = {name: Entries(state) for name, state in self.states.items()}
+        self.__dict__.update(maps)
+        self.cursor, self.height, self.rows = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        self.touched: set[str] = set()
+        for row in ordered_rows(rows, ["seq", "node_id", "op_group", "command"]):
+            self._apply(row)
+        self.ends.update((self.cursor, self.height, self.rows))
+        out = []
+        for op in sorted(self.touched):
+            _, revert, listed, seq, name, node, state = self.ops.get(op)
+            if revert:
+                out.append((key[0], seq, "revert", name, node, state, None))
+            else:
+                entries = (self.written.get(*self.listed.get(op, j)) for j in range(listed))
+                out += [(key[0], of, "append", n, at, state, live) for _, n, at, of, live in entries]
+        for entries in maps.values():
+            entries.flush()
+        if out:
+            yield frame(out, STREAM_RESULT, lambda x: x.astype({"seq": "int64", "live": "object"}))
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(commands: DataFrame) -> DataFrame:
+    """Changed operations and rows after each micro-batch (update mode, RESULT_COLUMNS).
+
+    Commands of a site must arrive in order from batch to batch; within a batch
+    they are sorted.  Needs the RocksDB state store, which ``runner.run_available``
+    sets.
+    """
+    return commands.select(*COMMAND_COLUMNS).groupBy("site_id").transformWithStateInPandas(ReplayState(), STREAM_RESULT, "Update", "None")

@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.catalog import QUERIES
 from linkloom.operators import guards as G
+from linkloom.streaming import live as L
 from linkloom.streaming import pairing as P
-from linkloom.streaming.runner import run_available
+from linkloom.streaming import replay as R
+from linkloom.streaming.runner import latest, run_available, run_with_state
 from linkloom.plans.stage import new_path
 
 WINDOW = 4000
@@ -81,17 +82,44 @@ def test_long_queues(spark):
     assert {r.click_id for r in short.collect()} == set(range(20))
 
 
-def test_stream_equals_batch(spark):
-    rows = make(5, 200)
+def test_reasons(spark):
+    rows = [
+        ("s", 0, 1, True, False, True, "n", 0, None), ("s", 10, 2, True, False, False, "n", 0, None), ("s", 9000, 3, False, False, False, None, None, "u"),
+        ("s", 9100, 4, True, True, True, "n", 0, None), ("s", 9200, 5, False, False, False, None, None, "u"), ("s", 9300, 6, True, False, True, "n", 0, None),
+        (None, 1, 7, True, False, True, "n", 0, None),
+    ]
+    got = {r.click_id: r.reason for r in P.pair_clicks(spark.createDataFrame(rows, DDL), WINDOW).collect()}
+    assert got == {1: "anchor or script", 2: "no navigation", 4: "opens elsewhere", 6: "no navigation"}
+    assert P.pair_clicks(spark.createDataFrame([], DDL), WINDOW).count() == 0
+
+
+def test_session_without_pause(spark):
+    """One session, a click or navigation every second: no place to cut it."""
+    rnd = random.Random(9)
+    rows = [("s", 1000 * i, i, rnd.random() < 0.55, rnd.random() < 0.4, True, "n", 0, "u") for i in range(600)]
+    got = {r.click_id: (r.outcome, r.nav_id) for r in P.pair_clicks(spark.createDataFrame(rows, DDL), WINDOW).collect()}
+    assert got == expected(rows)
+
+
+def in_batches(spark, df, order, n=3):
+    """A stream over ``n`` files, one per micro-batch."""
     path = new_path(spark, "test-stream")
+    rows = df.orderBy(*order).collect()
+    size = -(-len(rows) // n)
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i : i + size], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_pairing_stream_equals_batch(spark):
+    rows = make(5, 200)
     df = spark.createDataFrame(rows, DDL).withColumn("ts", F.timestamp_millis("at_ms"))
-    df.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(df.schema).parquet(path)
-    out = run_available(P.pair_clicks_stream(stream, WINDOW), "append").collect()
-    got = {r.click_id: (r.outcome, r.nav_id) for r in out}
-    want = expected(rows)
-    assert got and all(want[k] == v for k, v in got.items())
-    assert {k for k, v in want.items() if v[0] == "paired"} <= set(got)
+    stream = in_batches(spark, df, ["at_ms"])
+    out, checkpoint = run_with_state(P.pair_clicks_stream(stream, WINDOW, "5 minutes"), "append")
+    both = out.select("click_id", "outcome", "nav_id").unionByName(P.left_waiting(spark, checkpoint).select("click_id", "outcome", "nav_id"))
+    got = [(r.click_id, (r.outcome, r.nav_id)) for r in both.collect()]
+    assert dict(got) == expected(rows) and len(got) == len(dict(got))
+    assert out.select("batch_id").distinct().count() > 1
 
 
 def test_manual_graph(spark):
@@ -117,7 +145,102 @@ def test_guards(spark):
     assert {r.link_seq for r in G.limit_pagination(paged, 3, carried).collect()} == {0, 9}
 
 
-def test_replay_stream_equals_batch(spark, small):
-    a = {(r.site_id, r.op_group): r.op_state for r in QUERIES["override_replay"](spark, small).collect()}
-    b = {(r.site_id, r.op_group): r.op_state for r in QUERIES["replay_stream"](spark, small).collect()}
-    assert a == b
+class Log:
+    """One site's correction log, step by step."""
+
+    def __init__(self):
+        self.rows, self.ops, self.done, self.undone = [], {}, [], []
+
+    def switch(self, op, on):
+        for r in self.ops[op]["rows"]:
+            self.rows[r]["live"] = on != self.ops[op]["revert"]
+
+    def push(self, op, revert, rows, seq, node):
+        for o in reversed(self.undone):
+            self.switch(o, False)
+            self.ops[o]["state"] = "discarded"
+        self.undone = []
+        if op is not None:
+            self.ops[op] = {"revert": revert, "rows": rows, "seq": seq, "node": node, "state": "applied"}
+            self.done.append(op)
+
+    def step(self, seq, command, op, node):
+        if command == "append":
+            self.push(None if op in self.ops else op, False, [], seq, node)
+            self.ops[op]["rows"].append(len(self.rows))
+            self.rows.append({"op": op, "node": node, "live": True, "seq": seq})
+        elif command in ("revert", "restore"):
+            rows = [n for n, r in enumerate(self.rows) if (r["node"] == node and r["live"] if command == "revert" else r["op"] == node)]
+            if rows or command == "restore":
+                for n in rows:
+                    self.rows[n]["live"] = False
+                self.push(op, True, rows, seq, node)
+        else:
+            source, target, state = (self.done, self.undone, "redoable") if command == "undo" else (self.undone, self.done, "applied")
+            if source:
+                target.append(source.pop())
+                self.switch(target[-1], command == "redo")
+                self.ops[target[-1]]["state"] = state
+
+    def result(self, commands):
+        for seq, command, op, node in sorted(commands, key=lambda c: (c[0], c[3] or "")):
+            self.step(seq, command, op, node)
+        out = [(r["seq"], "append", r["op"], r["node"], self.ops[r["op"]]["state"], r["live"]) for r in self.rows]
+        return sorted(map(repr, out + [(o["seq"], "revert", name, o["node"], o["state"], None) for name, o in self.ops.items() if o["revert"]]))
+
+
+COMMANDS = "site_id string, seq long, command string, op_group string, node_id string"
+
+
+def commands(seed, n, weights):
+    rnd, out = random.Random(seed), []
+    for i in range(n):
+        kind = rnd.choices(["append", "batch", "revert", "restore", "undo", "redo"], weights)[0]
+        if kind == "batch":
+            out += [(i, "append", f"g{i}", f"n{k}") for k in rnd.sample(range(6), 3)]
+        else:
+            node = None if kind in ("undo", "redo") else f"g{rnd.randrange(max(1, i))}" if kind == "restore" else f"n{rnd.randrange(6)}"
+            out.append((i, kind, None if node is None else f"g{i}", node))
+    return out
+
+
+LOGS = {f"s{n}": commands(n, 150, w) for n, w in enumerate([(6, 1, 0, 0, 3, 2), (2, 0, 0, 0, 4, 4), (3, 2, 2, 1, 4, 3), (3, 1, 3, 1, 6, 6), (1, 1, 1, 1, 5, 6), (4, 1, 2, 2, 2, 1)])}
+
+
+def by_site(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.site_id, []).append(repr(tuple(r[c] for c in R.RESULT_COLUMNS[1:])))
+    return {site: sorted(found) for site, found in out.items()}
+
+
+def test_replay_against_steps(spark):
+    df = spark.createDataFrame([(site, *c) for site, log in LOGS.items() for c in log], COMMANDS)
+    assert by_site(R.replay(df).collect()) == {site: Log().result(log) for site, log in LOGS.items()}
+
+
+def test_replay_of_few_commands(spark):
+    """Nothing to undo, reverts that are no operation, an undone revert, a discarded revert."""
+    log = [(1, "undo", None, None), (2, "redo", None, None), (3, "revert", "r3", "n1"), (4, "append", "g4", "n1"), (5, "revert", "r5", "n1"), (6, "revert", "r6", "n1"), (7, "undo", None, None), (8, "undo", None, None), (9, "append", "g9", "n2"), (10, "undo", None, None), (11, "undo", None, None), (12, "redo", None, None)]
+    df = spark.createDataFrame([("s", *c) for c in log] + [(None, 1, "append", "x", "y")], COMMANDS)
+    assert by_site(R.replay(df).collect()) == {"s": Log().result(log)}
+    assert R.replay(spark.createDataFrame([], COMMANDS)).count() == 0
+
+
+def test_replay_stream_equals_steps(spark):
+    df = spark.createDataFrame([(site, *c) for site, log in LOGS.items() for c in log], COMMANDS)
+    out = run_available(R.replay_stream(in_batches(spark, df, ["seq", "node_id"])))
+    rows = latest(out, "site_id", "seq", "command", "op_group", "node_id").collect()
+    assert by_site(rows) == {site: Log().result(log) for site, log in LOGS.items()}
+
+
+def test_counts_of_periods_and_known_nodes(spark):
+    day = 86_400_000
+    rows = [("s", "a", i * 1000) for i in range(5)] + [("s", "a", 31 * day)] + [("s", "b", 31 * day + i) for i in range(2)] + [("s", "c", 62 * day)]
+    df = spark.createDataFrame(rows, "site_id string, identity_key string, ms long").select("site_id", "identity_key", F.timestamp_millis("ms").alias("ts"))
+    out = run_available(L.visit_counts(in_batches(spark, df, ["ts"]), 4))
+    got = {(r.identity_key, r.visits, r.over_limit) for r in latest(out, "site_id", "identity_key", "period_start").collect()}
+    assert got == {("a", 5, True), ("a", 1, False), ("b", 2, False), ("c", 1, False)}
+    known = df.filter("identity_key = 'b'").distinct()
+    new = run_available(L.new_nodes(in_batches(spark, df, ["ts"]), known), "append")
+    assert {r.identity_key for r in new.collect()} == {"a", "c"}
