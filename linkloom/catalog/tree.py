@@ -182,14 +182,10 @@ def _(t):
     "eff",
 )
 def _(t):
-    from ..plans.ordered import with_row_number
-
     topo = t.effective.filter(~F.col("is_deleted")).select(
         "id", F.col("effective_parent_id").alias("parent_id"), F.col("display_label").alias("label")
     )
-    rows = B.indent_order(topo)
-    keyed = rows.withColumn("key", F.array_join(F.transform("path", lambda p: F.concat(p["label"], F.lit("\u0001"), p["id"])), "\u0002"))
-    return with_row_number(keyed.withColumn("_all", F.lit(0)), ["_all"], ["key"], "line").select("id", "label", "level", "is_last", "line")
+    return B.indent_order(topo).drop("loop")
 
 
 # ---- statistics ---------------------------------------------------------------

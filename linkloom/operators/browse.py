@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import first_n, with_row_number
-from ..plans.stage import is_empty, staged
+from .tour import labelled
 
 
 def children_page(effective: DataFrame, site_id: str, parent: str | None, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -161,44 +161,14 @@ def node_detail(effective: DataFrame, edges: DataFrame, overrides: DataFrame, ma
 
 
 def indent_order(nodes: DataFrame) -> DataFrame:
-    """Forest in preorder: (id, parent_id, label) → level, is_last, path.
+    """Forest in preorder: (id, parent_id, label) → id, label, level, is_last, line, loop.
 
     Siblings by label, then id; a node whose parent is outside the set is a
-    root.  Sorting by ``path`` gives the listing, and that sort is a range
-    shuffle, not one task.  Nodes on a cycle of parents hang below no root and
-    are not listed.
+    root.  ``line`` numbers the listing.  A cycle of parents is listed below its
+    smallest id, and its nodes carry that id as ``loop``.
     """
-    ids = nodes.select(F.col("id").alias("_pid"))
-    inside = nodes.join(ids, nodes["parent_id"] == ids["_pid"], "left").select(
-        nodes["id"], F.col("_pid").alias("parent"), nodes["label"], F.struct("label", "id").alias("key")
-    )
-    lasts = inside.groupBy("parent").agg(F.max("key").alias("_max"))
-    last_ids = lasts.select(F.col("_max.id").alias("_last"))
-    base = staged(
-        inside.join(last_ids, inside["id"] == last_ids["_last"], "left").select(
-            "id", "parent", "label", "key", F.col("_last").isNotNull().alias("is_last")
-        ),
-        "forest",
-    )
-    level = staged(
-        base.filter(F.col("parent").isNull()).select(
-            "id", "label", "is_last", F.lit(0).alias("level"), F.array("key").alias("path")
-        ),
-        "forest",
-    )
-    done = level
-    depth = 0
-    while True:
-        depth += 1
-        above = level.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
-        level = staged(
-            base.join(above, base["parent"] == above["_up"]).select(
-                "id", "label", "is_last", F.lit(depth).alias("level"), F.array_append("_path", F.col("key")).alias("path")
-            ),
-            "forest",
-        )
-        if is_empty(level):
-            return done.orderBy("path")
-        done = done.unionByName(level)
-
-
+    places = labelled(nodes, "parent_id", ("label", "id"))
+    rows = places.join(nodes.select("id", "label"), "id")
+    lasts = rows.groupBy("parent").agg(F.max("place").alias("_last"))
+    met = rows.join(lasts, rows["parent"].eqNullSafe(lasts["parent"]))
+    return met.select("id", "label", F.col("depth").cast("int").alias("level"), (F.col("place") == F.col("_last")).alias("is_last"), F.col("place").alias("line"), "loop").orderBy("line")

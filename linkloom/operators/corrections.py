@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running
-from .graph import ancestors, subtree
+from .tour import along_paths, labelled, live_tree
 
 
 def op_state():
@@ -82,27 +82,26 @@ def op_nodes(ops: DataFrame, overrides: DataFrame) -> DataFrame:
 def validate_moves(effective: DataFrame, moves: DataFrame) -> DataFrame:
     """Verdict per move (site_id, node_id, new_parent_id).
 
-    ok / no_change / not_found / parent_not_found / self / descendant.  Only
-    the ancestors of the asked-for parents are climbed.
+    ok / no_change / not_found / parent_not_found / self / descendant.  Whether
+    the new parent is below the node is told by their places in the tree.
     """
     nodes = effective.select(F.col("id"), F.col("site_id").alias("_site"), "effective_parent_id")
     n = nodes.select(F.col("id").alias("_n"), F.col("_site").alias("_ns"), F.col("effective_parent_id").alias("_cur"))
     t = nodes.select(F.col("id").alias("_t"), F.col("_site").alias("_ts"))
-    wanted = moves.filter(F.col("new_parent_id").isNotNull()).select(F.col("new_parent_id").alias("id")).distinct()
-    known = wanted.join(nodes.select("id"), "id", "left_semi")
-    above = ancestors(effective, known).select(
-        F.col("node").alias("_below"), F.col("ancestor").alias("_above"), F.lit(True).alias("_is_desc")
-    )
+    places = labelled(effective).select("id", "place", "low", "high")
+    own = places.select(F.col("id").alias("_own"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    goal = places.select(F.col("id").alias("_goal"), F.col("place").alias("_place"))
     joined = (
         moves.join(n, (F.col("node_id") == F.col("_n")) & (F.col("site_id") == F.col("_ns")), "left")
         .join(t, (F.col("new_parent_id") == F.col("_t")) & (F.col("site_id") == F.col("_ts")), "left")
-        .join(above, (F.col("new_parent_id") == F.col("_below")) & (F.col("node_id") == F.col("_above")), "left")
+        .join(own, F.col("node_id") == F.col("_own"), "left")
+        .join(goal, F.col("new_parent_id") == F.col("_goal"), "left")
     )
     verdict = (
         F.when(F.col("new_parent_id").isNotNull() & F.col("_t").isNull(), "parent_not_found")
         .when(F.col("_n").isNull(), "not_found")
         .when(F.coalesce(F.col("new_parent_id") == F.col("node_id"), F.lit(False)), "self")
-        .when(F.col("_is_desc"), "descendant")
+        .when(F.col("_place").between(F.col("_low"), F.col("_high")), "descendant")
         .when(F.col("new_parent_id").eqNullSafe(F.col("_cur")), "no_change")
         .otherwise("ok")
     )
@@ -117,16 +116,19 @@ def delete_subtrees(effective: DataFrame, ids: DataFrame, op_group: str, seq: in
     An id below another id of an earlier position adds nothing of its own.
     ``effective`` carries ``base_deleted``; base-deleted children are not walked.
     """
-    above = ancestors(effective, ids.select("id"))
-    earlier = ids.select(F.col("id").alias("ancestor"), F.col("pos").alias("_apos"))
-    covered = (
-        above.join(earlier, "ancestor")
-        .join(ids.select(F.col("id").alias("node"), F.col("pos").alias("_npos")), "node")
-        .filter(F.col("_apos") < F.col("_npos"))
-        .select(F.col("node").alias("id"))
-    )
-    roots = ids.join(covered, "id", "left_anti")
-    hit = subtree(effective, roots, live_only=True).select("id").distinct()
+    labels = labelled(effective)
+    asked = ids.groupBy(F.col("id").alias("_asked")).agg(F.min("pos").alias("pos"))
+    placed = labels.join(asked, F.col("id") == F.col("_asked"), "left")
+    # the first position asked for anywhere above; on a cycle every node is above the others
+    first = placed.join(along_paths(placed.select("id", "parent", "pos"), least=("min", F.col("pos"))), "id")
+    rings = placed.filter("loop is not null").groupBy(F.col("loop").alias("_loop")).agg(F.min("pos").alias("_ring"))
+    around = first.join(labels.select(F.col("id").alias("top"), F.col("loop").alias("_loop")), "top", "left").join(rings, "_loop", "left")
+    roots = around.filter("pos is not null and least(least, _ring) = pos").select("id", F.lit(1).alias("hit"))
+    live = labelled(live_tree(effective))
+    marked = live.join(roots, "id", "left")
+    hit = marked.join(along_paths(marked.select("id", "parent", "hit"), reached=("max", F.col("hit"))), "id")
+    ringed = marked.filter("loop is not null").groupBy(F.col("loop").alias("_top")).agg(F.max("hit").alias("_whole"))
+    hit = hit.join(ringed, F.col("top") == F.col("_top"), "left").filter("reached = 1 or _whole = 1").select("id")
     return hit.join(effective, "id").select(
         "site_id",
         F.col("id").alias("node_id"),
@@ -155,19 +157,11 @@ def trash_roots(effective: DataFrame, overrides: DataFrame) -> DataFrame:
 def trash_view(effective: DataFrame, overrides: DataFrame) -> DataFrame:
     """Trash roots with label and the number of nodes a restore touches."""
     roots = trash_roots(effective, overrides)
-    sizes = (
-        subtree(effective, roots.select(F.col("node_id").alias("id")).distinct(), live_only=True)
-        .groupBy(F.col("root").alias("node_id"))
-        .agg(F.count("*").alias("affected_nodes"))
-    )
+    sizes = labelled(live_tree(effective)).select(F.col("id").alias("node_id"), F.col("size").alias("affected_nodes"))
     labels = effective.select(F.col("id").alias("node_id"), "display_label")
     return roots.join(labels, "node_id").join(sizes, "node_id")
 
 
 def delete_impact(effective: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes touched by deleting or restoring each id."""
-    return (
-        subtree(effective, ids, live_only=True)
-        .groupBy(F.col("root").alias("id"))
-        .agg(F.count("*").alias("affected_nodes"))
-    )
+    return ids.select("id").distinct().join(labelled(live_tree(effective)).select("id", F.col("size").alias("affected_nodes")), "id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ordered import with_row_number
 from ..plans.stage import discard, is_empty, staged
+from .tour import climbed
 
 
 def resolve_targets(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,16 +202,5 @@ def subtree(effective: DataFrame, roots: DataFrame, with_level: bool = False, li
 
 
 def ancestors(effective: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(node, ancestor, distance) by climbing effective parents; cycles stop the climb."""
-    up = staged(
-        effective.filter(F.col("effective_parent_id").isNotNull()).select(
-            F.col("id").alias("child"), F.col("effective_parent_id").alias("parent")
-        ),
-        "parents",
-    )
-    start = (effective if seeds is None else seeds).select(F.col("id").alias("root"), "id")
-    relation = up.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    walked = reachable(start, relation)
-    return walked.filter(F.col("level") > 0).select(
-        F.col("root").alias("node"), F.col("id").alias("ancestor"), F.col("level").alias("distance")
-    )
+    """(node, ancestor, distance) of the asked nodes (all, if none are named) by effective parents; cycles stop the climb."""
+    return climbed(effective, effective if seeds is None else seeds)

@@ -10,7 +10,9 @@ from linkloom.operators import corrections as C
 from linkloom.operators import effective as E
 from linkloom.operators import graph as G
 from linkloom.schemas import schema
-from linkloom.streaming.replay import CorrectionLog, replay
+from linkloom.operators import tour
+from linkloom.plans import stage
+from linkloom.streaming.replay import replay
 
 TREE = {"hall": None, "egypt": "hall", "masks": "egypt", "boats": "egypt", "model": "boats", "shop": "hall", "maps": "hall"}
 
@@ -169,12 +171,56 @@ def test_batches_keep_all_rows(spark):
     ]
 
 
-def test_log_survives_dump():
-    a = CorrectionLog()
-    for i, c in enumerate(["append", "append", "undo", "append", "undo", "redo"]):
-        a.apply(i, c, f"g{i}", "n")
-    b = CorrectionLog.load(a.dump())
-    for log in (a, b):
-        log.apply(9, "revert", "g9", "n")
-        log.apply(10, "undo", None, None)
-    assert a.results("s").equals(b.results("s"))
+def brute_labels(tree):
+    """Per node: all nodes above it, by climbing."""
+    out = {}
+    for n in tree:
+        up, seen = tree.get(n), []
+        while up in tree and up not in seen and up is not None:
+            seen.append(up)
+            up = tree.get(up)
+        out[n] = set(seen)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_labels_against_climbing(spark, seed):
+    rnd = random.Random(seed)
+    ids = [f"n{i:02}" for i in range(60)]
+    tree = {n: rnd.choice([None, "outside", *ids[: max(1, i)]]) if i % 9 else None for i, n in enumerate(ids)}
+    if seed > 1:  # two cycles, one of a single node, with trees below
+        tree |= {"n05": "n20", "n20": "n33", "n33": "n05", "n40": "n40"}
+    nodes = spark.createDataFrame(list(tree.items()), "id string, effective_parent_id string")
+    rows = {r.id: r for r in tour.labelled(nodes).collect()}
+    above = brute_labels(tree)
+    below = lambda u, v: rows[v].low <= rows[u].place <= rows[v].high and u != v
+    assert sorted(r.place for r in rows.values()) == list(range(1, 61))
+    for u in ids:
+        on_ring = u in above[u]
+        assert {v for v in ids if below(u, v)} == above[u] - {u}
+        assert rows[u].size == 1 + len([w for w in ids if u in above[w] and w != u])
+        assert (rows[u].loop is not None) == on_ring
+    got = {(r.node, r.ancestor) for r in G.ancestors(nodes).collect() if r.ancestor in tree}
+    assert got == {(u, v) for u in ids for v in above[u] if u != v}
+
+
+def test_long_chain_takes_few_jobs(spark, monkeypatch):
+    n, written = 2000, []
+    original = stage.staged
+    monkeypatch.setattr(tour, "staged", lambda df, label="stage": written.append(label) or original(df, label))
+    chain = spark.range(n).selectExpr("lpad(cast(id as string), 5, '0') as id", "if(id = 0, null, lpad(cast(id - 1 as string), 5, '0')) as effective_parent_id")
+    rows = tour.labelled(chain).orderBy("place").collect()
+    assert [(r.depth, r.size, r.place) for r in rows] == [(i, n - i, i + 1) for i in range(n)]
+    asked = spark.createDataFrame([("01999",), ("00003",)], "id string")
+    assert tour.climbed(chain, asked).count() == 1999 + 3
+    assert len(written) < 70
+
+
+def test_deletes_and_lists_with_cycles(spark, nodes):
+    eff = E.effective_nodes(nodes, overrides(spark, [("egypt", "parent", "model", "g", False)]))
+    ids = spark.createDataFrame([("masks", 1), ("boats", 2), ("model", 3), ("shop", 4)], "id string, pos int")
+    assert {r.node_id for r in C.delete_subtrees(eff, ids, "g", 1).collect()} == {"masks", "boats", "model", "egypt", "shop"}
+    assert {r.id: r.affected_nodes for r in C.delete_impact(eff, ids).collect()} == {"masks": 1, "boats": 4, "model": 4, "shop": 1}
+    topo = eff.select("id", F.col("effective_parent_id").alias("parent_id"), F.col("display_label").alias("label"))
+    got = [("  " * r.level + r.id, r.loop) for r in B.indent_order(topo).collect()]
+    assert got == [("boats", "boats"), ("  model", "boats"), ("    egypt", "boats"), ("      masks", None), ("hall", None), ("  maps", None), ("  shop", None)]
