@@ -23,10 +23,10 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,7 +39,11 @@ HEAD = struct.Struct("<QI")
 INNER = struct.Struct("<BBq")
 #: White space other than the blank, by any of the definitions in use.
 WHITE = re.compile(r"[\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 600_000
+#: Pieces in the cache, and pieces of one joined text.
+CACHE = 800_000
+JOINED = 4000
+#: Bytes of texts that are cut into pieces at once.
+BATCH = 4 << 20
 
 
 def mask(crc: int) -> int:
@@ -47,7 +51,7 @@ def mask(crc: int) -> int:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, with a cache of words.
+    """Ids of whole texts as little-endian bytes, with a cache of pieces.
 
     The pre-tokenizer always cuts before a blank that stands between two visible
     characters, and on both sides of such a line break; pieces between these cuts
@@ -59,42 +63,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes | None] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        (_, blank, *_), (self.newline, *_) = self._ids(["a b", "\n"])
+        mark = self.tokenizer.id_to_token(blank)[0]
+        #: Whether a token begins with a blank, as the first of a piece does, and no other.
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(mark) for i in range(size)])
         self._reset()
 
     def _reset(self) -> None:
-        self.cache |= {"": None, " ": None}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        #: Number of each piece; 0 and 1 have no ids of their own.
+        self.cache: dict[str, int] = {"": 0, " ": 1}
+        self.store, self.sizes, self.alone = np.zeros(0, self.dtype), np.zeros(2, np.int64), np.ones(2, bool)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str], glue: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of pieces that all begin with a blank, or all not, encoded as a few long texts."""
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        found, sizes = [], []
+        for group, got in zip(groups, self._ids([glue.join(g) for g in groups]), strict=True):
+            ids = np.array(got, self.dtype)
+            if glue:
+                breaks = np.flatnonzero(ids == self.newline)
+                size = np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1
+                ids = np.delete(ids, breaks)
+            else:
+                size = np.diff(np.concatenate([np.flatnonzero(self.opens[ids]), [len(ids)]]))
+            if len(size) != len(group) or size.min() == 0:  # not cut as expected: each by itself
+                each = self._ids(group)
+                ids, size = np.array([x for e in each for x in e], self.dtype), np.array([len(e) for e in each])
+            found.append(ids)
+            sizes.append(size)
+        return np.concatenate(found or [np.zeros(0, self.dtype)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
     def _learn(self, missing: list[str]) -> None:
-        plain = [c for c in missing if c == "\n" or not WHITE.search(c)]
-        self.cache.update(dict.fromkeys(missing))
-        self.cache.update(zip(plain, self._ids(plain), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "\x01" in t else t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") for t in texts]
-        missing: set[str] = set()
-        for pieces in cut:
-            if pieces is not None:
-                missing.update(set(pieces).difference(self.cache))
-        if missing:
-            self._learn(list(missing))
-        out, whole = [b""] * len(texts), []
-        for i, pieces in enumerate(cut):
-            if not texts[i]:
-                continue
-            try:
-                out[i] = b"".join(map(self.cache.__getitem__, pieces))
-            except TypeError:  # a piece without ids of its own
-                whole.append(i)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        if len(self.cache) > CACHE:
-            self.cache = dict(islice(self.cache.items(), CACHE // 2))
+        whole = [c for c in missing if WHITE.search(c) and c != "\n"]
+        rest = [c for c in missing if c == "\n" or not WHITE.search(c)] if whole or "\n" in missing else missing
+        blank = [c for c in rest if c[0] == " "]
+        other = [c for c in rest if c[0] != " " and c != "\n"]
+        lines = [c for c in rest if c == "\n"]
+        parts = [self._joined(blank, ""), self._joined(other, "\n"), self._joined(lines, "")]
+        for i, c in enumerate([*blank, *other, *lines, *whole], len(self.cache)):
+            self.cache[c] = i
+        self.store = np.concatenate([self.store, *[ids for ids, _ in parts]])
+        self.sizes = np.concatenate([self.sizes, *[n for _, n in parts], np.zeros(len(whole), np.int64)])
+        self.alone = np.concatenate([self.alone, np.zeros(len(rest), bool), np.ones(len(whole), bool)])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text.  Arrow cuts texts into pieces and numbers them; Python sees every different piece once a call."""
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        marked = pc.replace_substring(pc.replace_substring(column.cast(pa.large_string()), " ", "\x01 "), "\n", "\x01\n\x01")
+        cut = pc.split_pattern(marked, "\x01")
+        pieces = cut.flatten().dictionary_encode()
+        known = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.cache) + len(known) > CACHE:
             self._reset()
+        if missing := [x for x in known if x not in self.cache]:
+            self._learn(missing)
+        which = np.fromiter(map(self.cache.__getitem__, known), np.int64, len(known))[pieces.indices.to_numpy()]
+        first, long = np.cumsum(self.sizes) - self.sizes, self.sizes[which]
+        # ids of the pieces one after another: the place in the store, counted on within each piece
+        ends = np.cumsum(long)
+        flat = self.store[np.repeat(first[which] - ends + long, long) + np.arange(long.sum())]
+        data, width, offsets = flat.tobytes(), self.dtype.itemsize, cut.offsets.to_numpy()
+        bounds = (np.concatenate([[0], ends])[offsets] * width).tolist()
+        out = [data[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        # texts with a piece that has no ids of its own, or with the mark itself, are encoded whole
+        odd = np.concatenate([[0], np.cumsum(self.alone[which])])[offsets]
+        lost = np.flatnonzero((np.diff(odd) > 0) | pc.match_substring(column, "\x01").to_numpy(zero_copy_only=False))
+        whole = [i for i in lost.tolist() if len(column[i].as_py())]
+        for i, x in zip(whole, self._ids([column[i].as_py() for i in whole]), strict=True):
+            out[i] = np.array(x, self.dtype).tobytes()
         return out
 
 
@@ -108,11 +149,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of texts of about BATCH bytes; a longer text is a run of its own."""
+    number = (np.cumsum(sizes) - sizes) // BATCH
+    cuts = np.concatenate([np.flatnonzero(np.diff(number, prepend=-1)), [len(sizes)]]).tolist()
+    yield from map(slice, cuts[:-1], cuts[1:])
+
+
+def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it; Hadoop's names of the S3 scheme are known too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 class Writer:
     """One pair of record and index files after another."""
 
     def __init__(self, folder: str, file_bytes: int) -> None:
-        self.system, self.folder = fs.FileSystem.from_uri(folder)
+        self.system, self.folder = filesystem(folder)
         self.limit, self.done, self.file = file_bytes, [], None
         self.attempt = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
 
@@ -157,9 +210,10 @@ def write_records(
         width, end = tool.dtype.itemsize, np.array(tail, tool.dtype).tobytes()
         for rows in batches:
             ids, texts = rows.column(0).to_pylist(), rows.column(1)
-            for i in range(0, len(ids), 500):
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            for part in slices(sizes):
                 writer = writer or Writer(folder, file_bytes)
-                for doc_id, x in zip(ids[i : i + 500], tool.encode(texts.slice(i, 500).to_pylist()), strict=True):
+                for doc_id, x in zip(ids[part], tool.encode(texts[part]), strict=True):
                     writer.add(doc_id, x + end, width)
         if writer is not None:
             writer.close()
@@ -192,7 +246,7 @@ def frames(stream, verify: bool = True) -> Iterator[tuple[int | None, np.ndarray
 
 def read_at(folder: str, name: str, number: int) -> tuple[int | None, np.ndarray]:
     """One record by its number, through the index."""
-    system, base = fs.FileSystem.from_uri(folder)
+    system, base = filesystem(folder)
     with system.open_input_file(f"{base}/{name}.idx") as index:
         index.seek(8 * number)
         offset = int.from_bytes(index.read(8), "little")
@@ -208,7 +262,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = filesystem(folder)
         for files in batches:
             for name, start in zip(files.column(0).to_pylist(), files.column(1).to_pylist(), strict=True):
                 with system.open_input_stream(f"{base}/{name}.rec", buffer_size=1 << 20) as stream:

@@ -59,3 +59,21 @@ def test_damage_is_found(spark, make_docs):
 def test_empty(spark, make_docs):
     folder = new_path(spark, "records")
     assert R.read_records(R.write_records(make_docs([]), folder, PATH), folder).collect() == []
+
+
+def test_long_texts_and_runs():
+    encoder, tool = R.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["", "word " * 300_000, "x" * 500_000, " lead", "tail ", "\n", "a\n\nb", "a \n b"]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)] == [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode([]) == []
+    sizes = np.array([5, R.BATCH, 7, 0, 3 * R.BATCH, 1])
+    parts = list(R.slices(sizes))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(6)) and list(R.slices(sizes[:0])) == []
+
+
+def test_folders_of_object_stores(monkeypatch):
+    seen = []
+    monkeypatch.setattr(R.fs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda u: seen.append(u) or (None, u))}))
+    for uri in ("s3a://bucket/f", "s3n://bucket/f", "s3://bucket/f", "file:///tmp/f"):
+        R.filesystem(uri)
+    assert seen == ["s3://bucket/f"] * 3 + ["file:///tmp/f"]
