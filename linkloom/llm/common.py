@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import discard, new_path, shared_dir, staged
 
-__all__ = ["key_bitmap", "in_bitmap", "without_ids", "discard", "new_path", "shared_dir", "staged", "table", "bytes_of", "per_batch", "runs", "mix64", "mod_crc32", "partitions_of"]
+__all__ = ["key_bitmap", "in_bitmap", "without_rows", "fresh", "text_key", "discard", "new_path", "shared_dir", "staged", "table", "bytes_of", "per_batch", "runs", "mix64", "mod_crc32", "partitions_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,22 +115,45 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 24) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one bigint column; NULL there takes out rows without an id).
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def text_key(column: str):
+    """A hash of a text, which tells the texts of rows with one id apart (NULL counts as empty)."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def _row_key(id_column, key_column):
+    """One number for an id and a text key."""
+    return F.xxhash64(F.coalesce(id_column.cast("bigint"), F.lit(0)), id_column.isNull(), key_column)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 24) -> DataFrame:
+    """``docs`` without the rows that are in ``gone``: (id, text key) in its first two columns.
 
     A bitmap of fixed size tells most rows apart where they are read.  Only rows
     whose bit is set are joined, so texts that stay are not shuffled; however
-    full the bitmap, the join decides.
+    full the bitmap, the join decides.  Columns of any name are passed on.
     """
-    gone = ids.select(F.col(ids.columns[0]).cast("bigint").alias("_gone_id"))
-    bitmap = key_bitmap(gone.filter("_gone_id is not null"), bits)
+    gone_id, gone_key, hashed = fresh(docs, "gone_id", "gone_key", "hashed")
+    gone = gone.select(F.col(gone.columns[0]).cast("bigint").alias(gone_id), F.col(gone.columns[1]).alias(gone_key))
+    bitmap = key_bitmap(gone.select(_row_key(F.col(gone_id), F.col(gone_key)).alias("key")), bits)
 
     @F.arrow_udf("boolean")
     def perhaps(keys: pa.Array) -> pa.Array:
-        known = in_bitmap(bitmap, keys.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(known | keys.is_null().to_numpy(zero_copy_only=False))
-
-    key = docs[id_col].cast("bigint")
-    sure = docs.filter(~perhaps(key))
-    rest = docs.filter(perhaps(key))
-    return sure.unionByName(rest.join(gone, rest[id_col].cast("bigint").eqNullSafe(F.col("_gone_id")), "left_anti"))
+        return pa.array(in_bitmap(bitmap, keys.to_numpy(zero_copy_only=False)))
+
+    keyed = docs.withColumn(hashed, text_key(text_col))
+    maybe = perhaps(_row_key(F.col(id_col), F.col(hashed)))
+    sure = keyed.filter(~maybe).select(*docs.columns)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(gone_id)) & (F.col(hashed) == F.col(gone_key))
+    rest = keyed.filter(maybe).join(gone, same, "left_anti").select(*docs.columns)
+    return sure.unionByName(rest)

@@ -22,13 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pin import let, pinned
-from .common import staged, table
+from .common import fresh, staged, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns.  A look-behind (or the end of the last match) and possessive repeats keep long runs linear and match the same spans.
 _LOCAL = "[A-Za-z0-9._%+-]"
 BASE = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -119,7 +119,7 @@ def voted(spans: DataFrame) -> DataFrame:
     s, k = F.col("surface"), F.col("kind")
     by_kind = lambda *tests: F.element_at(F.array(*tests), k + 1)
     shape = by_kind(
-        s.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@?.*[.\])]\x20?[A-Za-z]{2,}$") & ~s.contains(".."), s.rlike(r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*)){3}$"),
+        s.rlike(r"^[A-Za-z0-9].*[.\])]\x20?[A-Za-z]{2,}$") & ~s.contains(".."), s.rlike(r"^(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*)){3}$"),
         s.rlike(r"^([0-9]{16,19}|[0-9]{4}([\x20-])[0-9]{4}\2[0-9]{4}\2[0-9]{4})$"), s.rlike("^" + MORE["phone"].replace("(?<![0-9A-Za-z+])", "").replace("(?![0-9])", "") + "$"),
     )
     known = by_kind(s.rlike(HOST_ENDINGS), ~s.rlike("^(0|127|2[2-5][0-9])[.]"), s.rlike(CARD_ISSUERS), s.rlike(CALLING_CODES))
@@ -217,7 +217,7 @@ def detected(marked: DataFrame) -> DataFrame:
     added = scored.filter(F.col("score") >= ACCEPT).filter("valid and not base").select("row_id", "kind", F.lit(False).alias("base"), "start", "end", "score")
     both = base.withColumn("score", F.lit(2.0)).unionByName(added)
     reach = "max(if({0}, end, 0)) over (partition by row_id order by start, score desc, end desc, kind rows between unbounded preceding and 1 preceding)"
-    ahead = "min(if(base, start, null)) over (partition by row_id order by start, score desc, end desc, kind rows between 1 following and unbounded following)"
+    ahead = "min(if(base, start, null)) over (partition by row_id order by start desc, score, end, kind desc rows between unbounded preceding and 1 preceding)"
     met = both.withColumn("base_reach", F.expr(reach.format("base"))).withColumn("reach", F.expr(reach.format("true"))).withColumn("ahead", F.expr(ahead))
     return met.filter("base or (coalesce(reach, 0) <= start and coalesce(ahead, end) >= end)").select("row_id", "kind", "base", "start", "end")
 
@@ -226,7 +226,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans) per row of ``docs``; the last two as ``kind:start:end`` lists.
 
     A NULL text is empty; repeated rows are searched one by one, with or without
-    an id.  Counts and base_spans are of base spans, spans has all.
+    an id.  Counts and base_spans are of base spans, spans has all.  Very long texts
+    and hosts are searched whole; an empty table gives no rows; other columns are
+    not read.
     """
     marked = staged(proposals(docs, id_col, text_col), "proposals")
     spans = detected(marked.filter("size(found) > 0"))
@@ -245,21 +247,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first.
 
     Rows keep their order of columns, NULL texts stay NULL, and repeated rows stay.
-    Only rows in which something may be found are written and joined.
+    Columns of any name are passed on.  Empty and very long texts are searched like
+    any other, and an empty table gives no rows.  Only rows in which something may
+    be found are written and joined.
     """
     columns = docs.columns
-    found = pinned(docs.withColumn("_found", _matches(text_col)), "_found")
-    clean = found.filter("coalesce(size(_found), 0) <= 0").select(*columns)  # passed on where it is read
-    keyed = staged(found.filter("size(_found) > 0").withColumn("_row_id", F.monotonically_increasing_id()), "keyed")
-    marked = keyed.select(F.col("_row_id").alias("row_id"), F.col("_found").alias("found"))
+    found_col, row_col, cut_col, cuts_col = fresh(docs, "found", "row_id", "cut_id", "cuts")
+    found = pinned(docs.withColumn(found_col, _matches(text_col)), found_col)
+    some = F.coalesce(F.size(found_col), F.lit(0)) > 0
+    clean = found.filter(~some).select(*columns)  # passed on where it is read
+    keyed = staged(found.filter(some).withColumn(row_col, F.monotonically_increasing_id()), "keyed")
+    marked = keyed.select(F.col(row_col).alias("row_id"), F.col(found_col).alias("found"))
     spans = detected(marked.filter("size(found) > 0"))
     islands = spans.withColumn("opens", F.expr("start >= coalesce(max(end) over (partition by row_id order by start, end, kind rows between unbounded preceding and 1 preceding), 0)"))
     islands = islands.withColumn("island", F.expr("sum(if(opens, 1, 0)) over (partition by row_id order by start, end, kind rows between unbounded preceding and current row)"))
     merged = islands.groupBy("row_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-    cuts = staged(merged.groupBy(F.col("row_id").alias("_cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")), "cuts")
-    met = keyed.join(cuts, F.col("_row_id") == F.col("_cut_id"), "left")
+    cuts = staged(merged.groupBy(F.col("row_id").alias(cut_col)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(cuts_col)), "cuts")
+    met = keyed.join(cuts, F.col(row_col) == F.col(cut_col), "left")
     mark = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
-    text, list_ = F.col(text_col), F.col("_cuts")
+    text, list_ = F.col(text_col), F.col(cuts_col)
     last = lambda i: F.when(i == 0, 0).otherwise(F.get(list_, i - 1)["end"])
     pieces = F.transform(list_, lambda c, i: F.concat(F.substring(text, last(i) + 1, c["start"] - last(i)), mark(c["kind"])))
     whole = F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(list_, -1)["end"] + 1, F.length(text)))

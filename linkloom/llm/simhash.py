@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, partitions_of, per_batch, run_starts, runs, staged, table, without_ids
+from .common import bytes_of, discard, fresh, partitions_of, per_batch, run_starts, runs, staged, table, text_key, without_rows
 from .components import connected_components
 
 TAU = 3
@@ -59,14 +59,14 @@ def simhash64(text: bytes | None, k: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; a NULL or empty text has fingerprint 0."""
+    """(doc_id, key, fp): one row per input row, with its text key; a NULL or empty text has fingerprint 0."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([simhash64(x) for x in bytes_of(rows.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(fp)], ["doc_id", "key", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return per_batch(slim, batch, "doc_id bigint, fp bigint")
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
+    return per_batch(slim, batch, "doc_id bigint, key bigint, fp bigint")
 
 
 # ---------------------------------------------------------------- partitions of the bits
@@ -282,41 +282,55 @@ def hamming_links(nodes: DataFrame, tau: int = TAU, parts: int = PARTS, block: i
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id linked over any number of steps.
-
-    A NULL text counts as empty and links like any other; repeated rows stay.
-    Rows with a NULL doc_id take part but are never the smallest (component_id is
-    NULL if a whole component has none).  An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, tau: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, key, fp), and (class_fp, component_id, root) of every fingerprint; root names the component."""
     marked = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     links = hamming_links(nodes, tau)
     roots = connected_components(links)
     named = roots.join(nodes, roots.node == nodes.fp).select("fp", "root", "first_id")
     firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = staged(named.join(firsts, "root").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("linked_id")), "linked")
-    classes = staged(
-        nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left")
-        .select(F.col("fp").alias("class_fp"), F.coalesce("linked_id", "first_id").alias("component_id")),
-        "classes",
-    )
+    linked = named.join(firsts, "root").select(F.col("fp").alias("linked_fp"), F.col("component_id").alias("linked_id"), "root")
+    linked = staged(linked, "linked")
+    classes = nodes.join(linked, F.col("fp") == F.col("linked_fp"), "left")
+    return marked, staged(classes.select(F.col("fp").alias("class_fp"), F.coalesce("linked_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """(doc_id, fp, component_id) per row of ``docs``; component_id is the smallest doc_id linked over any number of steps.
+
+    A NULL text counts as empty and links like any other; repeated rows stay, very
+    long texts count whole, and other columns are not read.
+    Rows with a NULL doc_id take part but are never the smallest (component_id is
+    NULL if a whole component has none).  An empty table gives an empty result.
+    """
+    marked, classes = _classes(docs, id_col, text_col, tau)
     return marked.join(classes, marked.fp == classes.class_fp).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns of ``docs``.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """One row of each component, with all columns of ``docs``, whatever their names.
 
-    The row whose id is the component's smallest stays; of rows that repeat an
-    id, one.  A row without an id can't be named and is passed on.
+    The row with the smallest id stays, those without an id last; of rows that
+    share it, one by the hash of its text, so rows of one id are told apart.  Of
+    rows that repeat id and text, any one stays.  NULL and empty texts are one
+    component.  An empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id is not null")
-    ids = staged(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "ids")
-    again = ids.filter("stays and n > 1").select("doc_id")
-    kept = without_ids(docs, ids.filter("not stays or n > 1").select("doc_id"), id_col)
+    marked, classes = _classes(docs, id_col, text_col, tau)
+    rows = marked.join(classes, marked.fp == classes.class_fp).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    rows = staged(rows, "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = rows.groupBy("root").agg(F.min(place).alias("first")).select("root", "first.doc_id", "first.key", F.lit(True).alias("stays"))
+    met = rows.alias("r").join(firsts.alias("f"), F.expr("r.root = f.root and r.key = f.key and r.doc_id <=> f.doc_id"), "left")
+    told = staged(met.select("r.doc_id", "r.key", "r.n", F.coalesce("f.stays", F.lit(False)).alias("stays")), "told")
+    kept = without_rows(docs, told.filter("not stays or n > 1").select("doc_id", "key"), id_col, text_col)
+    again = told.filter("stays and n > 1")
     if again.take(1):
-        same = docs[id_col].cast("bigint") == F.col("_again_id")
-        kept = kept.unionByName(docs.join(again.withColumnRenamed("doc_id", "_again_id"), same, "left_semi").dropDuplicates([id_col]))
+        again_id, again_key, hashed = fresh(docs, "again_id", "again_key", "hashed")
+        again = again.select(F.col("doc_id").alias(again_id), F.col("key").alias(again_key))
+        same = F.col(id_col).cast("bigint").eqNullSafe(F.col(again_id)) & (F.col(hashed) == F.col(again_key))
+        repeated = docs.withColumn(hashed, text_key(text_col)).join(again, same, "left_semi").dropDuplicates([id_col, hashed])
+        kept = kept.unionByName(repeated.select(*docs.columns))
     return kept
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, per_batch, staged, table, without_ids
+from .common import bytes_of, discard, per_batch, staged, table, text_key, without_rows
 from .words import Words, chunks, winnow
 
 SPAN = 10
@@ -89,7 +89,7 @@ def _bitmap(marks: DataFrame, bits: int) -> np.ndarray:
 
 
 def document_marks(docs: DataFrame, bitmap: np.ndarray, short: list[int], text_col: str, span: int, k: int, bits: int) -> DataFrame:
-    """``docs`` rows as (row_id, doc_id, n_words, hits): only hits whose bit is set."""
+    """``docs`` rows as (row_id, doc_id, key, n_words, hits): only hits whose bit is set."""
     shift = np.uint64(64 - bits)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,10 +104,10 @@ def document_marks(docs: DataFrame, bitmap: np.ndarray, short: list[int], text_c
                     found[words.text[a]].append(_hit(words, int(a), int(f), size, span, k))
             counts += words.counts.tolist()
             hits += found
-        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(hits, HIT_TYPE)], ["doc_id", "n_words", "hits"])
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(counts, pa.int64()), pa.array(hits, HIT_TYPE)], ["doc_id", "key", "n_words", "hits"])
 
-    slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"))
-    marked = per_batch(slim, batch, f"doc_id bigint, n_words bigint, hits array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>")
+    slim = docs.select("doc_id", F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
+    marked = per_batch(slim, batch, f"doc_id bigint, key bigint, n_words bigint, hits array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>")
     return marked.select(F.monotonically_increasing_id().alias("row_id"), "*")
 
 
@@ -122,11 +122,12 @@ def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, bits: int = BITMAP_BITS,
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, item_ids), one row per row of ``docs``.
+    """(doc_id, n_words, n_hit, n_items, item_ids, key), one row per row of ``docs``; key is the hash of its text.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing
     A-Z.  A NULL or wordless text has none and is never hit; a wordless item hits
-    nothing.  Rows that repeat an id are judged one by one.  Items with a NULL id
+    nothing.  Rows that repeat an id are judged one by one.  Very long texts count
+    whole; an empty table gives no rows; other columns are not read.  Items with a NULL id
     hit words but are not listed; items that repeat an id count once.
     """
     tests = staged(item_marks(items, item_id_col, item_text_col, span, k).distinct(), "items")
@@ -152,21 +153,21 @@ def contamination(
     named = met.groupBy("row_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     both = staged(hit.join(named, "row_id"), "hits")
     discard(tests)
-    return marked.select("row_id", "doc_id", "n_words").join(both, "row_id", "left").select(
+    return marked.select("row_id", "doc_id", "key", "n_words").join(both, "row_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "key",
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without a hit, all columns kept.
+    """Rows of ``docs`` without a hit, all columns kept, whatever their names.
 
-    Rows that repeat the id of a hit one go with it, and rows without an id stay
-    only if none of those is hit.
+    Rows are told apart by id and hash of the text: a row that shares its id with
+    a hit one, or has none like it, stays.  An empty table gives no rows.
     """
-    bad = staged(contamination(docs, items).filter("n_hit > 0").select("doc_id").distinct(), "bad")
-    return without_ids(docs, bad)
+    bad = staged(contamination(docs, items).filter("n_hit > 0").select("doc_id", "key").distinct(), "bad")
+    return without_rows(docs, bad)
 
 
 def op8_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:
