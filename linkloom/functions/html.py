@@ -27,8 +27,10 @@ RAW_TEXT_TAGS = ("textarea", "title", "iframe", "xmp")
 FINGERPRINT_MIN = 64
 # -------------------------------------------------------------------------
 
-# the standard's own names, of which those with a semicolon are decoded; amp comes last, see decode_entities
-_ENTITIES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";") and k not in ("amp;", "AMP;")})
+# the standard's own names, of which those with a semicolon are decoded
+_ENTITIES = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+_WINDOWS = json.dumps({chr(i): c for i in range(128, 160) if (c := bytes([i]).decode("cp1252", "ignore"))})
+_REFERENCE = "&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);"
 _ATTRS = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
 _SPACE = r"[\s\x{a0}\x{feff}]+"
 
@@ -44,35 +46,38 @@ def drop_raw(html: Column, tags: tuple[str, ...] = NON_CONTENT_TAGS) -> Column:
     return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(tags)})\b[^>]*+>.*?(?:</\1\s*>|\z)", "")
 
 
-def _numeric_entities(text: Column, pattern: str, lead: str, base: int) -> Column:
-    def swap(acc: Column, code: Column) -> Column:
-        point = F.conv(code, base, 16)
-        char = F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")
-        return F.when(F.length(point) <= 5, F.replace(acc, F.concat(F.lit(lead), code, F.lit(";")), char)).otherwise(acc)
-
-    return let(
-        text,
-        lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))), t, swap),
-    )
+def _character(digits: Column, base: int) -> Column:
+    """The character of a code in digits; NULL beyond the last code point."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    point = F.lpad(F.conv(short, base, 16), 8, "0")
+    odd = (point == "00000000") | point.between("0000D800", "0000DFFF")
+    char = let(F.decode(F.unhex(point), "UTF-32"), lambda c: F.coalesce(F.element_at(F.from_json(F.lit(_WINDOWS), "map<string,string>"), c), c))
+    return F.when(F.length(short) <= 8, F.when(odd, "\ufffd").when(point <= "0010FFFF", char))
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode named and numeric character references that end with a semicolon."""
+    """Decode named and numeric character references that end with a semicolon, each once.
 
-    def numbered(t: Column) -> Column:
-        done = _numeric_entities(t, r"&#([0-9]+);", "&#", 10)
-        done = _numeric_entities(done, r"&#x([0-9a-fA-F]+);", "&#x", 16)
-        done = _numeric_entities(done, r"&#X([0-9a-fA-F]+);", "&#X", 16)
-        return F.when(F.contains(t, F.lit("&#")), done).otherwise(t)
+    Codes 128 to 159 mean what they mean in Windows-1252, as the standard has it;
+    0 and halves of pairs give U+FFFD, and codes beyond the last stay as they are.
+    """
 
-    def named(t: Column) -> Column:
+    def one(ref: Column) -> Column:
         table = F.from_json(F.lit(_ENTITIES), "map<string,string>")  # folded into a literal
-        names = F.array_distinct(F.regexp_extract_all(t, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
-        swap = lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.coalesce(F.element_at(table, n), F.concat(F.lit("&"), n, F.lit(";"))))
-        out = let(F.aggregate(names, t, swap), numbered)
-        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(out, "&(amp|AMP);", "&")).otherwise(t)
+        inner = F.substring(ref, F.lit(2), F.length(ref) - 2)
+        found = (
+            F.when(inner.startswith("#x") | inner.startswith("#X"), _character(F.substring(inner, F.lit(3), F.length(inner)), 16))
+            .when(inner.startswith("#"), _character(F.substring(inner, F.lit(2), F.length(inner)), 10))
+            .otherwise(F.element_at(table, inner))
+        )
+        return F.coalesce(found, ref)
+
+    def decoded(t: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), one)
+        between = F.split(t, _REFERENCE, -1)
+        return F.array_join(F.zip_with(between, F.concat(refs, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
 
-    return let(text, named)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")) & F.contains(t, F.lit(";")), decoded(t)).otherwise(t))
 
 
 def collapse(text: Column) -> Column:

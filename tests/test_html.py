@@ -73,7 +73,7 @@ def test_content(spark):
 
 
 def test_entities_are_decoded_once(spark):
-    cases = {"&amp;lt;": "&lt;", "&AMP;": "&", "&lt;&gt;": "<>", "&#233;&#xe9;&#XE9;": "ééé", "&CounterClockwiseContourIntegral;": "∳", "&amp;amp;": "&amp;", "a & b": "a & b", "&#9999999;": "&#9999999;"}
+    cases = {"&amp;lt;": "&lt;", "&AMP;": "&", "&lt;&gt;": "<>", "&#233;&#xe9;&#XE9;": "ééé", "&CounterClockwiseContourIntegral;": "∳", "&amp;amp;": "&amp;", "a & b": "a & b", "&#9999999;": "&#9999999;", "&#38;amp;": "&amp;", "&#38;#x3c;": "&#x3c;", "&#150;&#x80;": "–€", "&#x10FFFF;&#1048576;": "\U0010ffff\U00100000", "&#0;&#xD800;": "\ufffd\ufffd", "&#00000000000065;": "A", "&#99999999999999999999999;": "&#99999999999999999999999;", "&nosuch;&amp": "&nosuch;&amp", "&;": "&;"}
     df = spark.createDataFrame(list(cases.items()), "raw string, want string")
     for r in df.withColumn("got", H.decode_entities(F.col("raw"))).collect():
         assert r.got == r.want, r.raw
