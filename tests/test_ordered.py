@@ -1,10 +1,12 @@
 """Ordered helpers against plain Python on skewed groups."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import corrections, layout
-from linkloom.plans.ordered import first_n, running, with_row_number
+from linkloom.plans.ordered import first_n, running, running_walk, with_row_number
 from linkloom.streaming import pairing
 
 
@@ -88,3 +90,16 @@ def test_bursts_on_hot_session(spark):
         start = r.at_ms if last is None or r.at_ms - last > 100 else start
         last = r.at_ms
         assert got[r.event_id] == start
+
+
+def test_walk_that_may_not_fall_below_zero(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aaab"), i, rnd.choice([1, -1, -1, 0, 2])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, step long")
+    got = {r.i: r.total - min(r.lowest, r.total) for r in running_walk(df, ["g"], ["i"], F.col("step")).collect()}
+    for g in "ab":
+        at = 0
+        for _, i, step in (r for r in rows if r[0] == g):
+            at = max(0, at + step)
+            assert got[i] == at
+    assert running_walk(df.limit(0), ["g"], ["i"], F.col("step")).count() == 0
