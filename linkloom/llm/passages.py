@@ -17,7 +17,13 @@ same words are found by one hash besides, so copies of monotonous texts, whose
 seeds all look alike, are whole passages too.
 
 Words travel as 32-bit hashes, and only those of documents that have a chain: a
-bitmap of fixed size tells the second pass over the texts which they are.
+bitmap of fixed size tells the second pass over the texts which they are.  They
+are shuffled once, into buckets, and stay there; chains are sent to them.  Most
+chains lie on one diagonal: they carry one hash of the words between their ends
+and ``MARGIN`` words around them, and are judged many at a time.  Chains that are
+not alike in between, and those whose extension has not ended within the margin,
+are aligned with all their words and a margin four times as wide, until each has
+ended.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import buckets, is_empty, staged_by
 from .common import bytes_of, discard, in_bitmap, key_bitmap, mix64, partitions_of, per_batch, run_starts, runs, staged, table
 from .words import Words, chunks, powers, winnow
 
@@ -38,7 +45,9 @@ WINDOW = 16
 GAP = 64
 MIN_WORDS = 40
 SIMILARITY = 0.8
-MARGIN = 64
+#: Words around a chain that its first extension sees: an equal run longer than that holds a seed.
+MARGIN = K + WINDOW - 1
+DROP = 6
 BITMAP_BITS = 24
 
 
@@ -141,32 +150,65 @@ def _chains(batches: Iterator[pa.RecordBatch], k: int, gap: int) -> Iterator[pa.
     for rows in runs(batches, ["key", "head"], 50_000):
         key, head, x, y = (rows[c].to_numpy() for c in ("key", "head", "pos", "head_pos"))
         starts = run_starts([key, head])
-        out: list[tuple] = []
-        for a, b in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            for path in chain(x[a:b], y[a:b], k, gap):
-                out.append((key[a], head[a], x[a:b][path], y[a:b][path]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int32())), pa.array([r[3] for r in out], pa.list_(pa.int32()))],
-            ["key", "head", "x", "y"],
-        )
+        sizes = np.diff(np.append(starts, len(key)))
+        dx, dy = np.diff(x), np.diff(y)
+        broken = np.concatenate([[True], (dx != dy) | (dx <= 0) | (dx > gap)])
+        broken[starts] = False
+        simple = np.add.reduceat(broken.astype(np.int64), starts) == 0  # one chain, which needs no search
+        paths, lengths = [np.flatnonzero(np.repeat(simple, sizes))], [sizes[simple]]
+        for a, n in zip(starts[~simple], sizes[~simple], strict=True):
+            some = [a + path for path in chain(x[a : a + n], y[a : a + n], k, gap)]
+            paths += some
+            lengths.append(np.array([len(path) for path in some]))
+        at, ends = np.concatenate(paths), np.concatenate([[0], *lengths]).cumsum()
+        first = at[ends[:-1]]
+        off = (x[at] - y[at]) != np.repeat(x[first] - y[first], np.diff(ends))
+        straight = np.add.reduceat(off.astype(np.int64), ends[:-1]) == 0
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[at], pa.int32())) for c in (x, y)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(head[first]), *lists, pa.array(straight)], ["key", "head", "x", "y", "straight"])
 
 
 # ---------------------------------------------------------------- alignment
 
 
-def extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
-    """Words to add, and equal ones among them, from the fronts of ``a`` and ``b``: the best prefix (+1 equal, -2 not) before the score has fallen by ``drop``."""
+def extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int, bool]:
+    """Words to add, and equal ones among them, from the fronts of ``a`` and ``b``: the best prefix (+1 equal, -2 not) before the score has fallen by ``drop``; and whether it never fell."""
     n = min(len(a), len(b))
     if not n:
-        return 0, 0
+        return 0, 0, True
     same = a[:n] == b[:n]
     score = np.cumsum(np.where(same, 1, -2))
     fallen = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score >= drop)
     score = score[: fallen[0]] if len(fallen) else score
     if not len(score) or score.max() <= 0:
-        return 0, 0
+        return 0, 0, not len(fallen)
     m = int(score.argmax()) + 1
-    return m, int(same[:m].sum())
+    return m, int(same[:m].sum()), not len(fallen)
+
+
+def extend_all(a: pa.ListArray, b: pa.ListArray, backwards: bool, drop: int = DROP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``extend`` for each pair of lists, from their ends if ``backwards``."""
+    offsets = [c.offsets.to_numpy().astype(np.int64) for c in (a, b)]
+    n = np.minimum(*(np.diff(o) for o in offsets))
+    width = int(n.max(initial=0))
+    if not width:
+        return np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.ones(len(n), bool)
+    step = np.arange(width)
+    inside = step < n[:, None]
+    seen = []
+    for column, o in zip((a, b), offsets, strict=True):
+        place = o[1:, None] - 1 - step if backwards else o[:-1, None] + step
+        values = column.values.to_numpy()
+        seen.append(values[np.where(inside, place, o[:-1, None]).clip(0, len(values) - 1)])
+    same = inside & (seen[0] == seen[1])
+    score = np.cumsum(np.where(same, 1, -2), axis=1)
+    fallen = inside & (np.maximum.accumulate(np.maximum(score, 0), axis=1) - score >= drop)
+    stop = np.where(fallen.any(axis=1), fallen.argmax(axis=1), n)
+    score = np.where(step < stop[:, None], score, -1)
+    best = score.argmax(axis=1)
+    row = np.arange(len(n))
+    some = score[row, best] > 0
+    return np.where(some, best + 1, 0), np.where(some, np.cumsum(same, axis=1)[row, best], 0), ~fallen.any(axis=1)
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -199,7 +241,13 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
         shift = max(px - sx, py - sy, 0)
         if shift >= k:
             continue
-        equal = common_words(a[px:sx], b[py:sy]) if shift == 0 else 0
+        one, two = a[px:sx], b[py:sy]
+        wide = max(sx - px, sy - py)
+        # words of one side that the other has at all: no more can be aligned, so a gap that will part the chain is not aligned
+        if shift or (wide > gap and 2 * int(np.isin(one, two).sum()) < wide):
+            equal = 0
+        else:
+            equal = common_words(one, two)
         if sx - px == sy - py and (shift or equal == sx - px):
             last[1], last[3], last[4] = sx + k, sy + k, last[4] + equal + k - shift
             continue
@@ -210,8 +258,8 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     parted = np.flatnonzero((wide > gap) & (2 * np.array(between, np.int64) < wide)) + 1
     total = np.cumsum(inside + np.array([0, *between]))  # equal words up to the end of each block
     # what each block gains at its front and its end, up to the next blocks
-    front = np.array([extend(a[low:at][::-1], b[low_b:at_b][::-1]) for low, at, low_b, at_b in zip([0, *x1[:-1]], x0, [0, *y1[:-1]], y0, strict=True)])
-    back = np.array([extend(a[at:high], b[at_b:high_b]) for at, high, at_b, high_b in zip(x1, [*x0[1:], len(a)], y1, [*y0[1:], len(b)], strict=True)])
+    front = np.array([extend(a[low:at][::-1], b[low_b:at_b][::-1])[:2] for low, at, low_b, at_b in zip([0, *x1[:-1]], x0, [0, *y1[:-1]], y0, strict=True)])
+    back = np.array([extend(a[at:high], b[at_b:high_b])[:2] for at, high, at_b, high_b in zip(x1, [*x0[1:], len(a)], y1, [*y0[1:], len(b)], strict=True)])
     out, open_ = [], list(zip([0, *parted.tolist()], [*parted.tolist(), len(blocks)], strict=True))
     while open_:
         low, high = open_.pop()
@@ -310,18 +358,53 @@ def _tied(places: DataFrame, of: str, *columns: str) -> DataFrame:
 
 
 def _chained(matches: DataFrame, k: int) -> DataFrame:
-    """(key, head, x, y): chains of (key, head, pos, head_pos)."""
+    """(key, head, x, y, straight): chains of (key, head, pos, head_pos); straight ones lie on one diagonal."""
     sorted_matches = matches.repartition(partitions_of(matches), "key").sortWithinPartitions("key", "head", "pos", "head_pos")
-    return staged(sorted_matches.mapInArrow(lambda it: _chains(it, k, GAP), "key bigint, head bigint, x array<int>, y array<int>"), "chains")
+    return staged(sorted_matches.mapInArrow(lambda it: _chains(it, k, GAP), "key bigint, head bigint, x array<int>, y array<int>, straight boolean"), "chains")
 
 
-def _aligned(found: DataFrame, words: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
-    """(key, head, x0, x1, y0, y1, equal): the passages of chains."""
-    low_x, high_x = F.greatest(F.get("x", 0) - MARGIN, F.lit(0)), F.element_at("x", -1) + k + MARGIN
-    low_y, high_y = F.greatest(F.get("y", 0) - MARGIN, F.lit(0)), F.element_at("y", -1) + k + MARGIN
-    one = found.join(words, "key").select("key", "head", "x", "y", low_x.alias("low_x"), low_y.alias("low_y"), high_y.alias("high_y"), _slice("words", low_x, high_x).alias("a"))
-    two = one.join(words.select(F.col("key").alias("head_key"), F.col("words").alias("head_words")), F.col("head") == F.col("head_key")).select(
-        "key", "head", "x", "y", "low_x", "low_y", "a", _slice("head_words", F.col("low_y"), F.col("high_y")).alias("b")
+_PLACED = "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int, left boolean"
+
+
+def _straight(found: DataFrame, words: DataFrame, heads: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages of straight chains whose words are all equal; ``left`` marks (by x0 and y0) the chains that need all their words."""
+    x0, x1, y0 = F.get("x", 0), F.element_at("x", -1) + k, F.get("y", 0)
+    ends = found.select("key", "head", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), F.least(x0, y0, F.lit(MARGIN)).alias("front"))
+    inner = lambda w, low, high: F.xxhash64(_slice(w, low, high))
+    one = ends.join(words, "key").select(
+        "key", "head", "x0", "x1", "y0", "front", (F.size("words") - F.col("x1")).alias("after"), inner("words", F.col("x0"), F.col("x1")).alias("inner"),
+        _slice("words", F.col("x0") - F.col("front"), F.col("x0")).alias("a_front"), _slice("words", F.col("x1"), F.col("x1") + MARGIN).alias("a_back"),
+    )
+    y1 = F.col("y0") + F.col("x1") - F.col("x0")
+    two = one.join(heads, F.col("head") == F.col("head_key")).select(
+        "key", "head", "x0", "x1", "y0", (F.col("inner") == inner("head_words", F.col("y0"), y1)).alias("same"), F.least(F.col("after"), F.size("head_words") - y1).alias("after"),
+        "a_front", _slice("head_words", F.col("y0") - F.col("front"), F.col("y0")).alias("b_front"), "a_back", _slice("head_words", y1, y1 + MARGIN).alias("b_back"),
+    )
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        x0, x1, y0, after = (part.column(c).to_numpy() for c in ("x0", "x1", "y0", "after"))
+        m, m_equal, m_open = extend_all(part.column("a_front"), part.column("b_front"), True)
+        n, n_equal, n_open = extend_all(part.column("a_back"), part.column("b_back"), False)
+        left = ~part.column("same").to_numpy(zero_copy_only=False) | (m_open & (np.minimum(x0, y0) > MARGIN)) | (n_open & (after > MARGIN))
+        length, equal = x1 - x0 + m + n, x1 - x0 + m_equal + n_equal
+        keep = np.flatnonzero(left | ((length >= min_words) & (equal >= similarity * length)))
+        if not len(keep):
+            return None
+        first, first_y = np.where(left, x0, x0 - m), np.where(left, y0, y0 - m)
+        columns = [pa.array(c[keep], pa.int32()) for c in (first, first + length, first_y, first_y + length, equal)]
+        at = pa.array(keep)
+        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns, pa.array(left[keep])], ["key", "head", "x0", "x1", "y0", "y1", "equal", "left"])
+
+    return per_batch(two, batch, _PLACED)
+
+
+def _aligned(found: DataFrame, words: DataFrame, heads: DataFrame, margin: int, k: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages of chains; ``left`` marks (by x0 and y0) the chains whose extension has not ended within ``margin`` words."""
+    low_x, high_x = F.greatest(F.get("x", 0) - margin, F.lit(0)), F.element_at("x", -1) + k + margin
+    low_y, high_y = F.greatest(F.get("y", 0) - margin, F.lit(0)), F.element_at("y", -1) + k + margin
+    one = found.join(words, "key").select("key", "head", "x", "y", low_x.alias("low_x"), low_y.alias("low_y"), high_y.alias("high_y"), (F.size("words") > high_x).alias("more"), _slice("words", low_x, high_x).alias("a"))
+    two = one.join(heads, F.col("head") == F.col("head_key")).select(
+        "key", "head", "x", "y", "low_x", "low_y", (F.col("more") & (F.size("head_words") > F.col("high_y"))).alias("more"), "a", _slice("head_words", F.col("low_y"), F.col("high_y")).alias("b")
     )
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -330,19 +413,53 @@ def _aligned(found: DataFrame, words: DataFrame, k: int, min_words: int, similar
             column = part.column(c)
             lists[c] = (column.offsets.to_numpy(), column.values.to_numpy())
         row = lambda c, i: lists[c][1][lists[c][0][i] : lists[c][0][i + 1]]
-        low_x, low_y = part.column("low_x").to_numpy(), part.column("low_y").to_numpy()
+        low_x, low_y, more = (part.column(c).to_numpy(zero_copy_only=False) for c in ("low_x", "low_y", "more"))
         out, keep = [], []
         for i in range(part.num_rows):
-            for x0, x1, y0, y1, equal in align(row("a", i), row("b", i), row("x", i) - low_x[i], row("y", i) - low_y[i], k, GAP, min_words, similarity):
+            a, b, x, y = row("a", i), row("b", i), row("x", i) - low_x[i], row("y", i) - low_y[i]
+            open_front = low_x[i] > 0 and low_y[i] > 0 and extend(a[: x[0]][::-1], b[: y[0]][::-1])[2]
+            if open_front or (more[i] and extend(a[x[-1] + k :], b[y[-1] + k :])[2]):
                 keep.append(i)
-                out.append((x0 + low_x[i], x1 + low_x[i], y0 + low_y[i], y1 + low_y[i], equal))
+                out.append((x[0] + low_x[i], 0, y[0] + low_y[i], 0, 0, True))
+                continue
+            for x0, x1, y0, y1, equal in align(a, b, x, y, k, GAP, min_words, similarity):
+                keep.append(i)
+                out.append((x0 + low_x[i], x1 + low_x[i], y0 + low_y[i], y1 + low_y[i], equal, False))
         if not keep:
             return None
         at = pa.array(keep)
-        columns = [pa.array(np.array(c), pa.int32()) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns], ["key", "head", "x0", "x1", "y0", "y1", "equal"])
-
-    return per_batch(two, batch, "key bigint, head bigint, x0 int, x1 int, y0 int, y1 int, equal int")
+        *numbers, left = zip(*out, strict=True)
+        columns = [pa.array(np.array(c), pa.int32()) for c in numbers]
+        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns, pa.array(left)], ["key", "head", "x0", "x1", "y0", "y1", "equal", "left"])
+
+    return per_batch(two, batch, _PLACED)
+
+
+def _placed(found: DataFrame, words: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """(key, head, x0, x1, y0, y1, equal): the passages of chains, each extended until it ends."""
+    named = found.select(F.col("head").alias("head_key")).distinct()
+    heads = staged(words.withColumnRenamed("words", "head_words").join(named, F.col("key") == F.col("head_key")).select("head_key", "head_words"), "head_words")
+
+    def left_of(chains: DataFrame, tried: DataFrame) -> DataFrame:
+        on = tried.filter("left").select(F.col("key").alias("l_key"), F.col("head").alias("l_head"), F.col("x0").alias("l_x"), F.col("y0").alias("l_y"))
+        same = (F.col("key") == F.col("l_key")) & (F.col("head") == F.col("l_head")) & (F.get("x", 0) == F.col("l_x")) & (F.get("y", 0) == F.col("l_y"))
+        return chains.join(on, same, "left_semi")
+
+    tried = staged(_straight(found.filter("straight"), words, heads, k, min_words, similarity), "straight")
+    parts, used, margin = [tried], [heads], MARGIN
+    rest = staged(found.filter("not straight").unionByName(left_of(found.filter("straight"), tried)), "rest")
+    while not is_empty(rest):
+        margin *= 4
+        tried = staged(_aligned(rest, words, heads, margin, k, min_words, similarity), "aligned")
+        parts.append(tried)
+        used.append(rest)
+        rest = staged(left_of(rest, tried), "rest")
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    result = staged(result.filter("not left").drop("left"), "placed")
+    discard(*parts, *used, rest)
+    return result
 
 
 def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -351,23 +468,27 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
     by_seed = places.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.min_by("pos", F.when(F.col("first"), F.col("key"))).alias("head_pos"))
     shared = staged(by_seed.filter("head < last").select(F.col("h").alias("seed"), "head", "head_pos"), "shared")
     tied = staged(places.join(shared, F.col("h") == F.col("seed")).select("key", "head", "pos", "head_pos", "seed"), "tied")
+    discard(shared)
     found = _chained(tied.filter("key <> head").drop("seed"), k)
     ends = found.select("key").unionByName(found.select(F.col("head").alias("key")))
-    words = staged(_word_hashes(rows, key_bitmap(ends, BITMAP_BITS)), "words")
-    result = staged(_aligned(found, words, k, min_words, similarity), "first_passages")
+    hashed = _word_hashes(rows, key_bitmap(ends, BITMAP_BITS))
+    words = staged_by(hashed.repartition(buckets(rows.sparkSession), "key"), "key", "words")
+    result = _placed(found, words, k, min_words, similarity)
+    discard(found)
     # seeds in no accepted passage: their pairs are tied to the next document, and so are the runs of min_words around them, where equal runs are passages
     spans = result.select("key", F.col("x0").alias("pos"), F.col("x1").alias("stop"), F.lit(0).cast("bigint").alias("seed"), "head")
     rest = tied.select("key", "pos", F.lit(0).alias("stop"), "seed", "head").unionByName(spans)
     in_order = rest.repartition(partitions_of(rows), "key").sortWithinPartitions("key", "pos")
     pairs = staged(in_order.mapInArrow(lambda it: _open_pairs(it, k, WINDOW), "key bigint, pos int, step int, pair bigint"), "pairs")
     open_pairs = staged(_tied(pairs, "pair", "step"), "open_pairs")
+    discard(pairs)
     by_key = open_pairs.groupBy("key").agg(F.collect_list(F.struct("pos", "step")).alias("pairs"))
     with_words = by_key.join(words, "key").select("key", "pairs", "words")
     grams = staged(per_batch(with_words, lambda part: _long_grams(part, k, min_words), "key bigint, pos int, gram bigint"), "grams")
     both = lambda df, step: df.select("key", "head", F.explode(F.array(F.lit(0), step)).alias("step"), "pos", "head_pos").select("key", "head", (F.col("pos") + F.col("step")).alias("pos"), (F.col("head_pos") + F.col("step")).alias("head_pos"))
     again = both(open_pairs, F.col("step")).unionByName(both(_tied(grams, "gram"), F.lit(min_words - k)))
     later = _chained(again.filter("key <> head").distinct(), k)
-    aligned = result.unionByName(_aligned(later, words, k, min_words, similarity))
+    aligned = result.unionByName(_placed(later, words, k, min_words, similarity))
     heads = staged(seeded.filter(f"n_words >= {min_words}").groupBy("whole").agg(F.min("key").alias("head")).withColumnRenamed("whole", "of"), "heads")
     n = F.col("n_words").cast("int")
     zero = F.lit(0)
@@ -375,7 +496,7 @@ def passages(rows: DataFrame, seeded: DataFrame, k: int = K, min_words: int = MI
         "key", "head", zero.alias("x0"), n.alias("x1"), zero.alias("y0"), n.alias("y1"), n.alias("equal")
     )
     result = staged(aligned.unionByName(copies).dropDuplicates(["key", "head", "x0", "x1", "y0", "y1"]), "passages")
-    discard(shared, tied, words, pairs, open_pairs, grams, heads)
+    discard(tied, words, open_pairs, grams, heads, later)
     return result
 
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from linkloom.llm import passages as P
@@ -130,3 +131,40 @@ def test_first_document_with_the_sentences_in_other_order(make_docs):
         assert "30:238:2:30:238" in rows[i].passages.split(",")
     assert rows[2].n_shared == len(whole) and rows[2].n_again == 0
     assert all(rows[i].n_shared == 0 for i in range(6, 30))
+
+
+def test_extension_of_many_pairs_is_that_of_each():
+    rng = np.random.default_rng(21)
+    a, b = ([rng.integers(0, 2, int(rng.integers(0, 25))) for _ in range(300)] for _ in range(2))
+    b = [np.where(rng.random(len(y)) < 0.7, np.resize(x, len(y)) if len(x) else y, y) for x, y in zip(a, b)]
+    lists = [pa.array([r.tolist() for r in rows], pa.list_(pa.int32())) for rows in (a, b)]
+    for backwards in (False, True):
+        each = [P.extend(x[::-1], y[::-1]) if backwards else P.extend(x, y) for x, y in zip(a, b)]
+        assert list(zip(*(c.tolist() for c in P.extend_all(*lists, backwards)))) == each
+
+
+def test_passage_that_goes_on_far_beyond_its_seeds(make_docs):
+    """One word in five replaced on both sides of an equal run: there is no seed there, and the passage is longer than the first margins."""
+    rng = random.Random(31)
+    side, run = fresh(rng, 200), fresh(rng, 150)
+    like = lambda tag: [w if k % 5 else f"{tag}{k}" for k, w in enumerate(side)]
+    docs = [(i, " ".join(fresh(rng, 20) + like(f"q{i}x") + run + like(f"r{i}x") + fresh(rng, 20))) for i in (0, 1)]
+    rows = {r.doc_id: r for r in P.shared_passages(make_docs(docs)).collect()}
+    assert rows[1].n_links == 1 and rows[1].n_again >= 540
+
+
+def test_recall_by_similarity(make_docs):
+    """Pairs of 60-word passages with evenly replaced words that are found: the guarantee and the blind spot the README states."""
+    rng = random.Random(5)
+    found = {}
+    for every in (6, 8, 10):
+        docs = []
+        for pair in range(60):
+            passage, shift = fresh(rng, 60), rng.randrange(every)
+            for i in (0, 1):
+                changed = passage if i == 0 else [w if (k + shift) % every else rng.choice(fresh(rng, 1)) for k, w in enumerate(passage)]
+                docs.append((2 * pair + i, " ".join(fresh(rng, 20) + changed + fresh(rng, 20))))
+        rows = P.shared_passages(make_docs(docs)).collect()
+        found[every] = sum(r.doc_id % 2 == 1 and r.n_links == 1 for r in rows) / 60
+    print(found)
+    assert found[10] >= 0.9 and found[6] <= found[8] <= found[10]
