@@ -28,7 +28,7 @@ ended.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -211,15 +211,22 @@ def extend_all(a: pa.ListArray, b: pa.ListArray, backwards: bool, drop: int = DR
     return np.where(some, best + 1, 0), np.where(some, np.cumsum(same, axis=1)[row, best], 0), ~fallen.any(axis=1)
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    if len(a) == len(b) and (same := int((a == b).sum())) >= len(a) - 1:
-        return same
-    row = np.zeros(len(b) + 1, np.int64)
-    for word in a:
-        fresh = np.where(b == word, row[:-1] + 1, row[1:])
-        row = np.concatenate([[0], np.maximum.accumulate(fresh)])
-    return int(row[-1])
+def common_words(a: Sequence[int], b: Sequence[int]) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one integer."""
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < min(end_a, end_b) and a[start] == b[start]:
+        start += 1
+    while min(end_a, end_b) > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    places: dict[int, int] = {}
+    for i in range(start, end_b):
+        places[b[i]] = places.get(b[i], 0) | 1 << i - start
+    full = (1 << end_b - start) - 1
+    row = full  # a zero where the row grows
+    for i in range(start, end_a):
+        if hit := row & places.get(a[i], 0):
+            row = (row + hit | row - hit) & full
+    return start + len(a) - end_a + end_b - start - row.bit_count()
 
 
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, gap: int = GAP, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
@@ -232,6 +239,7 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     """
     blocks: list[list[int]] = []  # x0, x1, y0, y1, equal words; k-mers that overlap count once
     between: list[int] = []  # equal words of the gap before each block but the first
+    words_a, words_b = a.tolist(), b.tolist()
     for sx, sy in zip(x.tolist(), y.tolist(), strict=True):
         if not blocks:
             blocks.append([sx, sx + k, sy, sy + k, k])
@@ -241,10 +249,10 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
         shift = max(px - sx, py - sy, 0)
         if shift >= k:
             continue
-        one, two = a[px:sx], b[py:sy]
+        one, two = words_a[px:sx], words_b[py:sy]
         wide = max(sx - px, sy - py)
         # words of one side that the other has at all: no more can be aligned, so a gap that will part the chain is not aligned
-        if shift or (wide > gap and 2 * int(np.isin(one, two).sum()) < wide):
+        if shift or (wide > gap and 2 * len(one) - 2 * sum(map(set(one).difference(two).__contains__, one)) < wide):
             equal = 0
         else:
             equal = common_words(one, two)
@@ -257,12 +265,22 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     wide = np.maximum(x0[1:] - x1[:-1], y0[1:] - y1[:-1])
     parted = np.flatnonzero((wide > gap) & (2 * np.array(between, np.int64) < wide)) + 1
     total = np.cumsum(inside + np.array([0, *between]))  # equal words up to the end of each block
-    # what each block gains at its front and its end, up to the next blocks
-    front = np.array([extend(a[low:at][::-1], b[low_b:at_b][::-1])[:2] for low, at, low_b, at_b in zip([0, *x1[:-1]], x0, [0, *y1[:-1]], y0, strict=True)])
-    back = np.array([extend(a[at:high], b[at_b:high_b])[:2] for at, high, at_b, high_b in zip(x1, [*x0[1:], len(a)], y1, [*y0[1:], len(b)], strict=True)])
+    gain_front = lambda i: extend(a[x1[i - 1] if i else 0 : x0[i]][::-1], b[y1[i - 1] if i else 0 : y0[i]][::-1])[:2]
+    gain_back = lambda i: extend(a[x1[i] : x0[i + 1] if i + 1 < len(x0) else len(a)], b[y1[i] : y0[i + 1] if i + 1 < len(y0) else len(b)])[:2]
     out, open_ = [], list(zip([0, *parted.tolist()], [*parted.tolist(), len(blocks)], strict=True))
     while open_:
         low, high = open_.pop()
+        # no run is longer than all of it; only if that is no passage are the others looked at
+        (m, m_equal), (n, n_equal) = gain_front(low), gain_back(high - 1)
+        in_x, in_y = x1[high - 1] + n - x0[low] + m, y1[high - 1] + n - y0[low] + m
+        equal = total[high - 1] - total[low] + inside[low] + m_equal + n_equal
+        if in_x < min_words:
+            continue
+        if equal >= similarity * max(in_x, in_y):
+            out.append((int(x0[low] - m), int(x1[high - 1] + n), int(y0[low] - m), int(y1[high - 1] + n), int(equal)))
+            continue
+        # what each block gains at its front and its end, up to the next blocks
+        front, back = (np.array([[0, 0]] * low + [gain(i) for i in range(low, high)]) for gain in (gain_front, gain_back))
         longest, best = 0, None
         for i in range(low, high):
             in_x, in_y = (end[i:high] + back[i:high, 0] - (start[i] - front[i, 0]) for start, end in ((x0, x1), (y0, y1)))
