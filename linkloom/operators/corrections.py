@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running
+from ..plans.stage import by_merge
 from .tour import along_paths, labelled, live_tree
 
 
@@ -92,10 +93,10 @@ def validate_moves(effective: DataFrame, moves: DataFrame) -> DataFrame:
     own = places.select(F.col("id").alias("_own"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     goal = places.select(F.col("id").alias("_goal"), F.col("place").alias("_place"))
     joined = (
-        moves.join(n, (F.col("node_id") == F.col("_n")) & (F.col("site_id") == F.col("_ns")), "left")
-        .join(t, (F.col("new_parent_id") == F.col("_t")) & (F.col("site_id") == F.col("_ts")), "left")
-        .join(own, F.col("node_id") == F.col("_own"), "left")
-        .join(goal, F.col("new_parent_id") == F.col("_goal"), "left")
+        moves.join(by_merge(n), (F.col("node_id") == F.col("_n")) & (F.col("site_id") == F.col("_ns")), "left")
+        .join(by_merge(t), (F.col("new_parent_id") == F.col("_t")) & (F.col("site_id") == F.col("_ts")), "left")
+        .join(by_merge(own), F.col("node_id") == F.col("_own"), "left")
+        .join(by_merge(goal), F.col("new_parent_id") == F.col("_goal"), "left")
     )
     verdict = (
         F.when(F.col("new_parent_id").isNotNull() & F.col("_t").isNull(), "parent_not_found")
@@ -118,18 +119,18 @@ def delete_subtrees(effective: DataFrame, ids: DataFrame, op_group: str, seq: in
     """
     labels = labelled(effective)
     asked = ids.groupBy(F.col("id").alias("_asked")).agg(F.min("pos").alias("pos"))
-    placed = labels.join(asked, F.col("id") == F.col("_asked"), "left")
+    placed = labels.join(by_merge(asked), F.col("id") == F.col("_asked"), "left")
     # the first position asked for anywhere above; on a cycle every node is above the others
-    first = placed.join(along_paths(placed.select("id", "parent", "pos"), least=("min", F.col("pos"))), "id")
+    first = placed.join(by_merge(along_paths(placed.select("id", "parent", "pos"), least=("min", F.col("pos")))), "id")
     rings = placed.filter("loop is not null").groupBy(F.col("loop").alias("_loop")).agg(F.min("pos").alias("_ring"))
-    around = first.join(labels.select(F.col("id").alias("top"), F.col("loop").alias("_loop")), "top", "left").join(rings, "_loop", "left")
+    around = first.join(by_merge(labels.select(F.col("id").alias("top"), F.col("loop").alias("_loop"))), "top", "left").join(by_merge(rings), "_loop", "left")
     roots = around.filter("pos is not null and least(least, _ring) = pos").select("id", F.lit(1).alias("hit"))
     live = labelled(live_tree(effective))
-    marked = live.join(roots, "id", "left")
-    hit = marked.join(along_paths(marked.select("id", "parent", "hit"), reached=("max", F.col("hit"))), "id")
+    marked = live.join(by_merge(roots), "id", "left")
+    hit = marked.join(by_merge(along_paths(marked.select("id", "parent", "hit"), reached=("max", F.col("hit")))), "id")
     ringed = marked.filter("loop is not null").groupBy(F.col("loop").alias("_top")).agg(F.max("hit").alias("_whole"))
-    hit = hit.join(ringed, F.col("top") == F.col("_top"), "left").filter("reached = 1 or _whole = 1").select("id")
-    return hit.join(effective, "id").select(
+    hit = hit.join(by_merge(ringed), F.col("top") == F.col("_top"), "left").filter("reached = 1 or _whole = 1").select("id")
+    return hit.join(by_merge(effective), "id").select(
         "site_id",
         F.col("id").alias("node_id"),
         F.lit("deleted").alias("field"),
@@ -148,8 +149,8 @@ def trash_roots(effective: DataFrame, overrides: DataFrame) -> DataFrame:
     parents = effective.select(F.col("id").alias("node_id"), "site_id", "effective_parent_id")
     gone = rows.select(F.col("node_id").alias("_gone")).distinct()
     return (
-        rows.join(parents, "node_id")
-        .join(gone, F.col("effective_parent_id") == F.col("_gone"), "left_anti")
+        rows.join(by_merge(parents), "node_id")
+        .join(by_merge(gone), F.col("effective_parent_id") == F.col("_gone"), "left_anti")
         .select("site_id", "node_id", "op_group", "seq")
     )
 
@@ -159,9 +160,9 @@ def trash_view(effective: DataFrame, overrides: DataFrame) -> DataFrame:
     roots = trash_roots(effective, overrides)
     sizes = labelled(live_tree(effective)).select(F.col("id").alias("node_id"), F.col("size").alias("affected_nodes"))
     labels = effective.select(F.col("id").alias("node_id"), "display_label")
-    return roots.join(labels, "node_id").join(sizes, "node_id")
+    return roots.join(by_merge(labels), "node_id").join(by_merge(sizes), "node_id")
 
 
 def delete_impact(effective: DataFrame, ids: DataFrame) -> DataFrame:
     """Nodes touched by deleting or restoring each id."""
-    return ids.select("id").distinct().join(labelled(live_tree(effective)).select("id", F.col("size").alias("affected_nodes")), "id")
+    return ids.select("id").distinct().join(by_merge(labelled(live_tree(effective)).select("id", F.col("size").alias("affected_nodes"))), "id")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stage import by_merge
+
 FIELDS = ("parent", "url", "alias", "title", "deleted")
 
 
@@ -46,7 +48,7 @@ def effective_nodes(nodes: DataFrame, overrides: DataFrame, null_is_value: bool
     clearing an alias has no effect) unless ``null_is_value``.
     """
     values = override_values(overrides)
-    joined = nodes.join(values, nodes["id"] == values["node_id"], "left")
+    joined = nodes.join(by_merge(values), nodes["id"] == values["node_id"], "left")
 
     def pick(name: str, base: str) -> Column:
         over = F.col(f"ov_{name}")

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running
-from ..plans.stage import discard, staged
+from ..plans.stage import by_merge, discard, staged
 
 
 def forest(nodes: DataFrame, parent: str, *extra: str) -> DataFrame:
     """(id, parent, extra columns), written; a parent that is not among the ids counts as none."""
     ids = nodes.select(F.col("id").alias("_known")).distinct()
-    met = nodes.select("id", F.col(parent).alias("_parent"), *extra).join(ids, F.col("_parent") == F.col("_known"), "left")
+    met = nodes.select("id", F.col(parent).alias("_parent"), *extra).join(by_merge(ids), F.col("_parent") == F.col("_known"), "left")
     return staged(met.select("id", F.col("_known").alias("parent"), *extra), "forest")
 
 
@@ -36,7 +36,8 @@ def along_paths(tree: DataFrame, **values: tuple[str, Column]) -> DataFrame:
     while state.filter("up is not null").take(1):
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), *[F.col(n).alias(f"_{n}") for n in values])
         merged = [combine[how](F.col(n), F.col(f"_{n}")).alias(n) for n, (how, _) in values.items()]
-        further = staged(state.join(above, "up", "left").select("id", F.col("_up").alias("up"), *merged), "paths")
+        onward = state.filter("up is not null").join(by_merge(above), "up", "left").select("id", F.col("_up").alias("up"), *merged)
+        further = staged(onward.unionByName(state.filter("up is null")), "paths")
         discard(state)
         state = further
     return state.drop("up")
@@ -54,11 +55,13 @@ def _measured(tree: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         # the same nodes still climb, and lead to the same ones, no more of them than the pointers span: only cycles are left
         if before == tuple(open_) and span >= open_.ups:
             members = state.filter("up is not null").select("up").distinct()
-            return state, staged(state.join(members.select(F.col("up").alias("id")), "id").select("id", F.col("least").alias("loop")), "cycles")
+            return state, staged(state.join(by_merge(members.select(F.col("up").alias("id"))), "id").select("id", F.col("least").alias("loop")), "cycles")
         before = tuple(open_)
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("least").alias("_least"))
         below = state.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_size"))
-        further = state.join(above, "up", "left").join(below, "id", "left").select(
+        onward = state.filter("up is not null").join(by_merge(above), "up", "left")
+        onward = onward.unionByName(state.filter("up is null"), allowMissingColumns=True)
+        further = onward.join(by_merge(below), "id", "left").select(
             "id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             F.least("least", "_least").alias("least"), (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"),
         )
@@ -78,20 +81,20 @@ def labelled(nodes: DataFrame, parent: str = "effective_parent_id", order: tuple
     measured, cycles = _measured(tree)
     if cycles is not None:
         cut = cycles.filter("id = loop").select(F.col("id").alias("_cut"))
-        kept = tree.join(cut, F.col("id") == F.col("_cut"), "left")
+        kept = tree.join(by_merge(cut), F.col("id") == F.col("_cut"), "left")
         tree = staged(kept.withColumn("parent", F.when(F.col("_cut").isNull(), F.col("parent"))).drop("_cut"), "forest")
         measured, _ = _measured(tree)
-    sized = staged(tree.join(measured, "id"), "sized")
+    sized = staged(tree.join(by_merge(measured), "id"), "sized")
     # a node stands behind its parent and the subtrees of its earlier siblings
     earlier = running(sized, ["parent"], list(order), {"_before": ("sum", F.col("size"))}, exclusive=True)
     offset = earlier.select("id", "parent", (1 + F.coalesce("_before", F.lit(0))).alias("offset"))
-    out = sized.join(along_paths(offset, place=("sum", F.col("offset"))), "id")
+    out = sized.join(by_merge(along_paths(offset, place=("sum", F.col("offset")))), "id")
     out = out.select("id", "parent", "top", "depth", "size", "place", F.col("place").alias("low"), (F.col("place") + F.col("size") - 1).alias("high"))
     if cycles is None:
         return staged(out.withColumn("loop", F.lit(None).cast(dict(out.dtypes)["id"])), "labels")
-    out = staged(out, "labels").join(cycles, "id", "left")
+    out = staged(out, "labels").join(by_merge(cycles), "id", "left")
     tops = out.filter("id = loop").select(F.col("id").alias("loop"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("size").alias("_size"))
-    whole = out.join(tops, "loop", "left")
+    whole = out.join(by_merge(tops), "loop", "left")
     return staged(whole.select("id", "parent", "top", "depth", F.coalesce("_size", "size").alias("size"), "place", F.coalesce("_low", "low").alias("low"), F.coalesce("_high", "high").alias("high"), "loop"), "labels")
 
 
@@ -106,11 +109,11 @@ def climbed(effective: DataFrame, seeds: DataFrame) -> DataFrame:
     found = seeds.select(F.col("id").alias("node"), F.col("id").alias("ancestor"), F.lit(0).cast("int").alias("distance")).distinct()
     span = 1
     while True:
-        more = found.join(jumps, F.col("ancestor") == F.col("at")).select("node", F.col("to").alias("ancestor"), (F.col("distance") + span).alias("distance"))
-        more = staged(more.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "climbed")
+        more = found.join(by_merge(jumps), F.col("ancestor") == F.col("at")).select("node", F.col("to").alias("ancestor"), (F.col("distance") + span).alias("distance"))
+        more = staged(more.join(by_merge(found.select("node", "ancestor")), ["node", "ancestor"], "left_anti").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")), "climbed")
         if not more.take(1):
             return found.filter("distance > 0")
         found = staged(found.unionByName(more), "climbed")
         onward = jumps.select(F.col("at").alias("to"), F.col("to").alias("far"))
-        jumps = staged(jumps.join(onward, "to").select("at", F.col("far").alias("to")), "jumps")
+        jumps = staged(jumps.join(by_merge(onward), "to").select("at", F.col("far").alias("to")), "jumps")
         span *= 2

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import staged
+from .stage import by_merge, staged
 
 # Spark pushes row_number() <= n below the shuffle only up to this n
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
@@ -89,7 +89,7 @@ def running(
     w = Window.partitionBy(*keys, "_part").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
     local = ranged.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_l_{a}") for a, (k, c) in aggs.items()])
     on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]])
-    joined = local.alias("l").join(offsets.alias("r"), on, "left")
+    joined = local.alias("l").join(by_merge(offsets.alias("r")), on, "left")
     result = [_COMBINE[k][1](F.col(f"l._l_{a}"), F.col(f"r._o_{a}")).alias(a) for a, (k, _) in aggs.items()]
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *result)
 

@@ -76,5 +76,10 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the data: merged, since a broadcast would pass through the driver."""
+    return df.hint("merge")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

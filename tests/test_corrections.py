@@ -224,3 +224,13 @@ def test_deletes_and_lists_with_cycles(spark, nodes):
     topo = eff.select("id", F.col("effective_parent_id").alias("parent_id"), F.col("display_label").alias("label"))
     got = [("  " * r.level + r.id, r.loop) for r in B.indent_order(topo).collect()]
     assert got == [("boats", "boats"), ("  model", "boats"), ("    egypt", "boats"), ("      masks", None), ("hall", None), ("  maps", None), ("  shop", None)]
+
+
+def test_deletes_are_not_broadcast(spark, small):
+    """Tables of nodes are merged: what passes through the driver does not grow with them."""
+    from linkloom.catalog import QUERIES
+
+    out = QUERIES["delete_subtrees"](spark, small)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
