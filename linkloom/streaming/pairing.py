@@ -15,15 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.urls import normalize_url
 from ..plans.ordered import running
 from ..plans.stage import staged
-from .keyed import Entries, frame, ordered_rows
+from .keyed import Entries
 
 DEFAULT_WINDOW_MS = 4000
 
@@ -186,6 +185,7 @@ def parse_ids(raw: Column) -> Column:
     return F.coalesce(F.filter(F.from_json(raw, "array<bigint>"), lambda v: v.isNotNull()), F.array().cast("array<bigint>"))
 
 
+OUTCOME = Row(*[f.split()[0] for f in RESULT.split(", ")])
 CLICK_STATE = "at_ms long, event_id long, nonnav boolean, has_href boolean, from_node string, from_depth int"
 
 
@@ -207,7 +207,7 @@ class PairingState(StatefulProcessor):
 
     def _load(self) -> None:
         self.clicks = Entries(self.waiting)
-        self.head, self.tail, self.alarm = self.ends.get() if self.ends.exists() else (0, 0, None)
+        self.head, self.tail, self.alarm = self.ends.get() or (0, 0, None)
         self.out: list[tuple] = []
 
     def _take(self) -> tuple:
@@ -225,36 +225,34 @@ class PairingState(StatefulProcessor):
             self._lost(key, click, "anchor or script" if click[3] else "no navigation")
 
     def _navigate(self, key, row) -> None:
-        self._expire(key, int(row.at_ms))
+        self._expire(key, row.at_ms)
         if self.head < self.tail and self.clicks.get(self.head)[2]:
             self._lost(key, self._take(), "opens elsewhere")
         elif self.head == self.tail:
             return
         if self.head < self.tail:
             click = self._take()
-            self.out.append((key[0], click[1], click[0], "paired", None, int(row.event_id), click[4], click[5], row.url))
+            self.out.append((key[0], click[1], click[0], "paired", None, row.event_id, click[4], click[5], row.url))
 
-    def _save(self) -> Iterator[pd.DataFrame]:
+    def _save(self) -> Iterator[Row]:
         due = self.clicks.get(self.head)[0] + self.window_ms + 1 if self.head < self.tail else None
         if due is not None and due != self.alarm:
             self.handle.registerTimer(due)
         self.clicks.flush()
         self.ends.update((self.head, self.tail, due))
-        if self.out:
-            yield frame(self.out, RESULT, lambda x: x.astype({"click_id": "int64", "at_ms": "int64", "nav_id": "Int64", "from_depth": "Int32"}))
+        return map(OUTCOME, *zip(*self.out)) if self.out else iter(())
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         self._load()
-        for row in ordered_rows(rows, ["at_ms", "event_id"]):
+        for row in sorted(rows, key=lambda row: (row.at_ms, row.event_id)):
             if row.is_click:
-                depth = None if pd.isna(row.from_depth) else int(row.from_depth)
-                self.clicks.put((self.tail,), (int(row.at_ms), int(row.event_id), bool(row.nonnav), bool(row.has_href), row.from_node, depth), new=True)
+                self.clicks.put((self.tail,), (row.at_ms, row.event_id, bool(row.nonnav), bool(row.has_href), row.from_node, row.from_depth), new=True)
                 self.tail += 1
             else:
                 self._navigate(key, row)
         return self._save()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._load()
         self._expire(key, timerValues.getCurrentWatermarkInMs())
         return self._save()
@@ -269,7 +267,7 @@ def pair_clicks_stream(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, de
     Needs the RocksDB state store, which ``runner.run_available`` sets.
     """
     shaped = events.withWatermark("ts", delay).select("ts", *EVENT_COLUMNS)
-    return shaped.groupBy("session_id").transformWithStateInPandas(PairingState(window_ms), RESULT, "Append", "EventTime")
+    return shaped.groupBy("session_id").transformWithState(PairingState(window_ms), RESULT, "Append", "EventTime")
 
 
 def left_waiting(spark: SparkSession, checkpoint: str) -> DataFrame:

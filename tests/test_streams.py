@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from linkloom.operators import guards as G
@@ -124,6 +125,18 @@ def test_pairing_stream_equals_batch(spark):
     assert out.select("batch_id").distinct().count() > 1
 
 
+def test_pairing_stream_steps_rows():
+    """Rows of a session are stepped through as they are; a session that leaves nothing waiting makes few state calls."""
+    rows = [("s", i * 10, i, i % 2 == 0, False, True, "n", None, "u") for i in range(200)]
+    fields = Row(*[f.split()[0] for f in DDL.split(", ")])
+    store = Store()
+    processor = P.PairingState(WINDOW)
+    processor.init(store)
+    out = list(processor.handleInputRows(("s",), (fields(*r) for r in reversed(rows)), None))
+    assert {r.click_id: (r.outcome, r.nav_id) for r in out} == expected(rows)
+    assert store.calls <= 3
+
+
 def test_manual_graph(spark):
     rows = [("s", i, i, "paired", None, i, "p", 50 + i, u) for i, u in enumerate(["https://x/a#f", "https://x/a#f", "https://x/a", "bad url"])]
     df = spark.createDataFrame(rows, P.RESULT)
