@@ -49,6 +49,8 @@ SIMILARITY = 0.8
 MARGIN = K + WINDOW - 1
 DROP = 6
 BITMAP_BITS = 24
+#: Bytes of text whose words are hashed at a time: the arrays stay near the processor.
+CHUNK = 1 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +78,7 @@ def seeds(rows: DataFrame, k: int, window: int) -> DataFrame:
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, wholes, offsets, columns = bytes_of(part.column(2)), [], [], [], ([], [], [])
-        for some in chunks(texts):
+        for some in chunks(texts, CHUNK):
             words = Words(texts[some])
             hashes = words.hashes()
             wholes.append(_whole(words, hashes))
@@ -186,29 +188,38 @@ def extend(a: np.ndarray, b: np.ndarray, drop: int = DROP) -> tuple[int, int, bo
     return m, int(same[:m].sum()), not len(fallen)
 
 
+def _extended(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, n: np.ndarray, step: int, drop: int = DROP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``extend`` for many pairs: ``n`` words from ``at_a`` in ``a`` and from ``at_b`` in ``b`` on, backwards if ``step`` is -1."""
+    words, equal, never = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.ones(len(n), bool)
+    todo, width = np.flatnonzero(n > 0), 32
+    while len(todo):  # most end within a few words, only the others are seen at full width
+        width = min(width, int(n[todo].max()))
+        seen, rest = np.arange(width), []
+        for some in np.array_split(todo, len(todo) * width // (1 << 20) + 1):
+            inside = seen < n[some, None]
+            place = np.where(inside, step * seen, 0)
+            same = inside & (a[at_a[some, None] + place] == b[at_b[some, None] + place])
+            score = np.cumsum(np.where(same, 1, -2), axis=1, dtype=np.int32)
+            fallen = inside & (np.maximum.accumulate(np.maximum(score, 0), axis=1) - score >= drop)
+            fell = fallen.any(axis=1)
+            stop = np.where(fell, fallen.argmax(axis=1), n[some])
+            score = np.where(seen < stop[:, None], score, -1)
+            best = score.argmax(axis=1)
+            top = score[np.arange(len(some)), best]
+            words[some] = np.where(top > 0, best + 1, 0)
+            equal[some] = np.where(top > 0, (top + 2 * (best + 1)) // 3, 0)
+            never[some] = ~fell
+            rest.append(some[~fell & (n[some] > width)])
+        todo, width = np.concatenate(rest), 4 * width
+    return words, equal, never
+
+
 def extend_all(a: pa.ListArray, b: pa.ListArray, backwards: bool, drop: int = DROP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``extend`` for each pair of lists, from their ends if ``backwards``."""
     offsets = [c.offsets.to_numpy().astype(np.int64) for c in (a, b)]
     n = np.minimum(*(np.diff(o) for o in offsets))
-    width = int(n.max(initial=0))
-    if not width:
-        return np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.ones(len(n), bool)
-    step = np.arange(width)
-    inside = step < n[:, None]
-    seen = []
-    for column, o in zip((a, b), offsets, strict=True):
-        place = o[1:, None] - 1 - step if backwards else o[:-1, None] + step
-        values = column.values.to_numpy()
-        seen.append(values[np.where(inside, place, o[:-1, None]).clip(0, len(values) - 1)])
-    same = inside & (seen[0] == seen[1])
-    score = np.cumsum(np.where(same, 1, -2), axis=1)
-    fallen = inside & (np.maximum.accumulate(np.maximum(score, 0), axis=1) - score >= drop)
-    stop = np.where(fallen.any(axis=1), fallen.argmax(axis=1), n)
-    score = np.where(step < stop[:, None], score, -1)
-    best = score.argmax(axis=1)
-    row = np.arange(len(n))
-    some = score[row, best] > 0
-    return np.where(some, best + 1, 0), np.where(some, np.cumsum(same, axis=1)[row, best], 0), ~fallen.any(axis=1)
+    at_a, at_b = (o[1:] - 1 if backwards else o[:-1] for o in offsets)
+    return _extended(a.values.to_numpy(), at_a, b.values.to_numpy(), at_b, n, -1 if backwards else 1, drop)
 
 
 def common_words(a: Sequence[int], b: Sequence[int]) -> int:
@@ -229,6 +240,14 @@ def common_words(a: Sequence[int], b: Sequence[int]) -> int:
     return start + len(a) - end_a + end_b - start - row.bit_count()
 
 
+def _gap_words(one: list[int], two: list[int], gap: int) -> int:
+    """Words of a gap that can be aligned; 0 for one that will part the chain: one side has too few words that the other has at all."""
+    wide = max(len(one), len(two))
+    if wide > gap and 2 * len(one) - 2 * sum(map(set(one).difference(two).__contains__, one)) < wide:
+        return 0
+    return common_words(one, two)
+
+
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, gap: int = GAP, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
     """(x0, x1, y0, y1, equal words) of the passages in a chain of k-mers at ``x`` in ``a`` and ``y`` in ``b``.
 
@@ -249,13 +268,7 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
         shift = max(px - sx, py - sy, 0)
         if shift >= k:
             continue
-        one, two = words_a[px:sx], words_b[py:sy]
-        wide = max(sx - px, sy - py)
-        # words of one side that the other has at all: no more can be aligned, so a gap that will part the chain is not aligned
-        if shift or (wide > gap and 2 * len(one) - 2 * sum(map(set(one).difference(two).__contains__, one)) < wide):
-            equal = 0
-        else:
-            equal = common_words(one, two)
+        equal = 0 if shift else _gap_words(words_a[px:sx], words_b[py:sy], gap)
         if sx - px == sy - py and (shift or equal == sx - px):
             last[1], last[3], last[4] = sx + k, sy + k, last[4] + equal + k - shift
             continue
@@ -299,6 +312,32 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
     return sorted(out)
 
 
+def _chain_words(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, k: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each chain, its equal words from end to end and whether a gap parts it, as in ``align``; chains start at ``first`` in the matches at ``x`` in ``a`` and ``y`` in ``b``."""
+    follows = np.ones(len(x), bool)
+    follows[first] = False
+    i = np.flatnonzero(follows)  # each match but the first of a chain, with the one before
+    dx, dy = x[i] - x[i - 1], y[i] - y[i - 1]
+    in_x, in_y, shift = dx - k, dy - k, np.maximum(k - np.minimum(dx, dy), 0)
+    equal = np.zeros(len(i), np.int64)
+    level = np.flatnonzero((dx == dy) & (in_x > 0))
+    if len(level):
+        sizes = in_x[level]
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        after = i[level] - 1
+        equal[level] = np.add.reduceat((a[np.repeat(x[after] + k, sizes) + place] == b[np.repeat(y[after] + k, sizes) + place]).astype(np.int64), starts)
+    # words of a gap on one diagonal of which at most one differs are counted; others are aligned
+    for j in np.flatnonzero((in_x > 0) & (in_y > 0) & ((dx != dy) | (equal < in_x - 1))).tolist():
+        p, q = x[i[j] - 1] + k, y[i[j] - 1] + k
+        equal[j] = _gap_words(a[p : p + in_x[j]].tolist(), b[q : q + in_y[j]].tolist(), gap)
+    wide = np.maximum(in_x, in_y) + shift
+    total, parts = np.full(len(x), k), np.zeros(len(x), np.int64)
+    total[i] += equal - shift
+    parts[i] = (wide > gap) & (2 * equal < wide)
+    return np.add.reduceat(total, first), np.add.reduceat(parts, first) > 0
+
+
 def _word_hashes(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """(key, words): hashed words of the rows whose key is in the bitmap."""
 
@@ -309,7 +348,7 @@ def _word_hashes(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
             return None
         texts = bytes_of(part.column(1).take(pa.array(mine)))
         flat, counts = [], []
-        for some in chunks(texts):
+        for some in chunks(texts, CHUNK):
             words = Words(texts[some])
             flat.append((words.hashes() >> np.uint64(32)).astype(np.uint32).view(np.int32))
             counts.append(words.counts)
@@ -416,6 +455,49 @@ def _straight(found: DataFrame, words: DataFrame, heads: DataFrame, k: int, min_
     return per_batch(two, batch, _PLACED)
 
 
+def aligned_all(part: pa.RecordBatch, k: int = K, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> pa.RecordBatch | None:
+    """Passages of many chains, each as ``align`` has them; those that a gap parts, or that are no passage from end to end, go through it one by one.
+
+    Rows are (key, head, x, y, low_x, low_y, more, a, b): ``a`` and ``b`` hold the words from ``low_x`` and ``low_y`` on, and both documents have more if ``more``.
+    """
+    flat, starts, sizes = {}, {}, {}
+    for c in ("x", "y", "a", "b"):
+        ends = part.column(c).offsets.to_numpy().astype(np.int64)
+        flat[c], starts[c], sizes[c] = part.column(c).flatten().to_numpy(), ends[:-1] - ends[0], np.diff(ends)
+    low_x, low_y, more = (part.column(c).to_numpy(zero_copy_only=False) for c in ("low_x", "low_y", "more"))
+    a, b, first, last = flat["a"], flat["b"], starts["x"], starts["x"] + sizes["x"] - 1
+    # matches by their places in the words of all chains
+    x, y = (flat[c] + np.repeat(starts[w] - low, sizes[c]) for c, w, low in (("x", "a", low_x), ("y", "b", low_y)))
+    m, m_equal, m_open = _extended(a, x[first] - 1, b, y[first] - 1, np.minimum(x[first] - starts["a"], y[first] - starts["b"]), -1)
+    after = np.minimum(starts["a"] + sizes["a"] - x[last], starts["b"] + sizes["b"] - y[last]) - k
+    n, n_equal, n_open = _extended(a, x[last] + k, b, y[last] + k, after, 1)
+    left = ((low_x > 0) & (low_y > 0) & m_open) | (more & n_open)
+    ended = np.flatnonzero(~left)
+    equal, parted = m_equal + n_equal, np.zeros(len(left), bool)
+    if len(ended):
+        mine = np.repeat(~left, sizes["x"])
+        inner, parted[ended] = _chain_words(a, b, x[mine], y[mine], np.cumsum(sizes["x"][ended]) - sizes["x"][ended], k, GAP)
+        equal[ended] += inner
+    x0, x1, y0, y1 = x[first] - starts["a"] - m, x[last] - starts["a"] + k + n, y[first] - starts["b"] - m, y[last] - starts["b"] + k + n
+    alike = equal >= similarity * np.maximum(x1 - x0, y1 - y0)
+    # a chain that is no passage from end to end may hold some
+    inside = np.flatnonzero(~left & (parted | ((x1 - x0 >= min_words) & ~alike)))
+    keep = np.flatnonzero(left | (~parted & alike & (x1 - x0 >= min_words)))
+    at, columns = [keep], [[np.where(left, x[first] - starts["a"], x0)[keep], x1[keep], np.where(left, y[first] - starts["b"], y0)[keep], y1[keep], equal[keep]]]
+    for i in inside.tolist():
+        own = slice(first[i], last[i] + 1)
+        words_a, words_b = (flat[w][starts[w][i] : starts[w][i] + sizes[w][i]] for w in ("a", "b"))
+        if found := align(words_a, words_b, x[own] - starts["a"][i], y[own] - starts["b"][i], k, GAP, min_words, similarity):
+            at.append(np.full(len(found), i))
+            columns.append(list(np.array(found).T))
+    at = np.concatenate(at)
+    if not len(at):
+        return None
+    x0, x1, y0, y1, equal = (np.concatenate(c) for c in zip(*columns, strict=True))
+    numbers = [pa.array(c, pa.int32()) for c in (x0 + low_x[at], x1 + low_x[at], y0 + low_y[at], y1 + low_y[at], equal)]
+    return pa.RecordBatch.from_arrays([part.column("key").take(pa.array(at)), part.column("head").take(pa.array(at)), *numbers, pa.array(left[at])], ["key", "head", "x0", "x1", "y0", "y1", "equal", "left"])
+
+
 def _aligned(found: DataFrame, words: DataFrame, heads: DataFrame, margin: int, k: int, min_words: int, similarity: float) -> DataFrame:
     """Passages of chains; ``left`` marks (by x0 and y0) the chains whose extension has not ended within ``margin`` words."""
     low_x, high_x = F.greatest(F.get("x", 0) - margin, F.lit(0)), F.element_at("x", -1) + k + margin
@@ -425,32 +507,7 @@ def _aligned(found: DataFrame, words: DataFrame, heads: DataFrame, margin: int,
         "key", "head", "x", "y", "low_x", "low_y", (F.col("more") & (F.size("head_words") > F.col("high_y"))).alias("more"), "a", _slice("head_words", F.col("low_y"), F.col("high_y")).alias("b")
     )
 
-    def batch(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        lists = {}
-        for c in ("x", "y", "a", "b"):
-            column = part.column(c)
-            lists[c] = (column.offsets.to_numpy(), column.values.to_numpy())
-        row = lambda c, i: lists[c][1][lists[c][0][i] : lists[c][0][i + 1]]
-        low_x, low_y, more = (part.column(c).to_numpy(zero_copy_only=False) for c in ("low_x", "low_y", "more"))
-        out, keep = [], []
-        for i in range(part.num_rows):
-            a, b, x, y = row("a", i), row("b", i), row("x", i) - low_x[i], row("y", i) - low_y[i]
-            open_front = low_x[i] > 0 and low_y[i] > 0 and extend(a[: x[0]][::-1], b[: y[0]][::-1])[2]
-            if open_front or (more[i] and extend(a[x[-1] + k :], b[y[-1] + k :])[2]):
-                keep.append(i)
-                out.append((x[0] + low_x[i], 0, y[0] + low_y[i], 0, 0, True))
-                continue
-            for x0, x1, y0, y1, equal in align(a, b, x, y, k, GAP, min_words, similarity):
-                keep.append(i)
-                out.append((x0 + low_x[i], x1 + low_x[i], y0 + low_y[i], y1 + low_y[i], equal, False))
-        if not keep:
-            return None
-        at = pa.array(keep)
-        *numbers, left = zip(*out, strict=True)
-        columns = [pa.array(np.array(c), pa.int32()) for c in numbers]
-        return pa.RecordBatch.from_arrays([part.column("key").take(at), part.column("head").take(at), *columns, pa.array(left)], ["key", "head", "x0", "x1", "y0", "y1", "equal", "left"])
-
-    return per_batch(two, batch, _PLACED)
+    return per_batch(two, lambda part: aligned_all(part, k, min_words, similarity), _PLACED)
 
 
 def _placed(found: DataFrame, words: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:

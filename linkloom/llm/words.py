@@ -86,15 +86,14 @@ def chunks(texts: list[bytes | None], size: int = CHUNK) -> Iterator[slice]:
 
 def winnow(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     """Positions of the smallest gram (the last, if equal) of every window of ``window`` valid grams."""
-    n = len(grams) - window + 1
-    if n <= 0:
+    if len(grams) < window:
         return np.zeros(0, np.int64)
-    least, place = grams[:n].copy(), np.arange(n)
-    whole = valid[:n].copy()
-    for j in range(1, window):
-        x = grams[j : j + n]
-        better = x <= least
-        least = np.where(better, x, least)
-        place = np.where(better, np.arange(j, j + n), place)
-        whole &= valid[j : j + n]
+    least, place, whole, span = grams, np.arange(len(grams)), valid, 1
+    while span < window:  # each step joins two windows, which may overlap
+        by = min(span, window - span)
+        better = least[by:] <= least[:-by]
+        least = np.where(better, least[by:], least[:-by])
+        place = np.where(better, place[by:], place[:-by])
+        whole = whole[by:] & whole[:-by]
+        span += by
     return np.unique(place[whole])

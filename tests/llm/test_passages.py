@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from linkloom.llm import passages as P
+from linkloom.llm.words import winnow
 
 
 def fresh(rng, n):
@@ -168,3 +169,75 @@ def test_recall_by_similarity(make_docs):
         found[every] = sum(r.doc_id % 2 == 1 and r.n_links == 1 for r in rows) / 60
     print(found)
     assert found[10] >= 0.9 and found[6] <= found[8] <= found[10]
+
+
+def random_chain(rng):
+    """Words and margins of two documents, and matches with replaced, inserted, repeated and wide other words between them."""
+    a, b, x, y = [], [], [], []
+    for n in range(int(rng.integers(1, 7))):
+        if n:
+            kind, size = int(rng.integers(0, 5)), int(rng.integers(1, 30))
+            gap = rng.integers(0, 1 << 30, size).tolist()
+            other = {0: gap, 1: [w + (j == size // 2) for j, w in enumerate(gap)], 2: gap[: size // 2], 3: [], 4: gap[::-1]}[kind]
+            a += gap
+            b += other
+            if rng.random() < 0.15:
+                a += rng.integers(0, 1 << 30, int(rng.integers(40, 120))).tolist()
+                b += rng.integers(0, 1 << 30, int(rng.integers(0, 120))).tolist()
+        same = rng.integers(0, 1 << 30, int(rng.integers(5, 40))).tolist()
+        at = sorted({0, *rng.integers(0, len(same) - 4, 3).tolist()})
+        x += [len(a) + j for j in at]
+        y += [len(b) + j for j in at]
+        a += same
+        b += same
+    if rng.random() < 0.3:  # a match on another diagonal that overlaps the last one
+        x.append(x[-1] + 2)
+        y.append(y[-1] + 1 + int(rng.integers(0, 80)))
+        tail = rng.integers(0, 1 << 30, 100).tolist()
+        a, b = a + tail, b + tail
+    around = [rng.integers(0, 3, int(rng.integers(0, 60))).tolist() for _ in range(2)]
+    front = [[w if rng.random() < 0.8 else -1 for w in around[0]] for _ in range(2)]
+    back = [[w if rng.random() < 0.8 else -1 for w in around[1]] for _ in range(2)]
+    return front[0] + a + back[0], front[1] + b + back[1], [p + len(front[0]) for p in x], [p + len(front[1]) for p in y]
+
+
+def test_many_chains_are_judged_like_each(monkeypatch):
+    """Most chains are judged together, with the passages that each has on its own."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(400):
+        a, b, x, y = random_chain(rng)
+        low = rng.integers(0, 2, 2) * 7
+        rows.append({"key": i, "head": -i, "x": [p + int(low[0]) for p in x], "y": [p + int(low[1]) for p in y], "low_x": int(low[0]), "low_y": int(low[1]), "more": bool(rng.random() < 0.5), "a": a, "b": b})
+    expected, chains, parted = set(), 0, 0
+    for r in rows:
+        a, b, x, y = (np.array(r[c]) for c in ("a", "b", "x", "y"))
+        x, y = x - r["low_x"], y - r["low_y"]
+        front, back = P.extend(a[: x[0]][::-1], b[: y[0]][::-1]), P.extend(a[x[-1] + 5 :], b[y[-1] + 5 :])
+        if (r["low_x"] and r["low_y"] and front[2]) or (r["more"] and back[2]):
+            expected.add((r["key"], -r["key"], r["x"][0], r["y"][0], None, True))
+            continue
+        found = P.align(a, b, x, y)
+        expected |= {(r["key"], -r["key"], x0 + r["low_x"], y0 + r["low_y"], (x1 + r["low_x"], y1 + r["low_y"], equal), False) for x0, x1, y0, y1, equal in found}
+        whole = [(x[0] - front[0], x[-1] + 5 + back[0])] == [f[:2] for f in found]
+        chains, parted = chains + whole, parted + (len(found) > 1)
+    integers, numbers = pa.list_(pa.int32()), pa.int32()
+    schema = pa.schema([("key", pa.int64()), ("head", pa.int64()), ("x", integers), ("y", integers), ("low_x", numbers), ("low_y", numbers), ("more", pa.bool_()), ("a", integers), ("b", integers)])
+    alone = []
+    monkeypatch.setattr(P, "align", lambda *args, own=P.align: alone.append(0) or own(*args))
+    for part in (pa.RecordBatch.from_pylist(rows, schema), pa.RecordBatch.from_pylist(rows[:1] + rows, schema).slice(1)):
+        alone.clear()
+        out = P.aligned_all(part).to_pylist()
+        got = [(r["key"], r["head"], r["x0"], r["y0"], None if r["left"] else (r["x1"], r["y1"], r["equal"]), r["left"]) for r in out]
+        assert len(set(got)) == len(got) and set(got) == expected
+        assert chains > 60 and parted > 5 and len(alone) < 400 - chains - sum(e[5] for e in expected)
+    assert P.aligned_all(pa.RecordBatch.from_pylist([r | {"a": [0] * 12, "b": [0] * 12, "x": [0], "y": [0], "low_x": 0, "low_y": 0, "more": False} for r in rows[:3]], schema)) is None
+
+
+def test_winnowed_places_against_brute_force():
+    rng = np.random.default_rng(3)
+    for window in range(1, 20):
+        grams, valid = rng.integers(0, 6, 60).astype(np.uint64), rng.random(60) < 0.97
+        expected = {i + max(j for j in range(window) if grams[i + j] == grams[i : i + window].min()) for i in range(61 - window) if valid[i : i + window].all()}
+        assert winnow(grams, valid, window).tolist() == sorted(expected)
+    assert not len(winnow(grams[:3], valid[:3], 4))
