@@ -85,7 +85,7 @@ def seeds(rows: DataFrame, k: int, window: int) -> DataFrame:
             grams, valid = words.grams(hashes, k)
             at = winnow(grams, valid, window)
             text, h = words.text[at], grams[at].view(np.int64)
-            order = np.lexsort((at, h, text))
+            order = np.argsort(h, kind="stable")  # places of one h stay in order, so by text
             first = np.ones(len(at), bool)
             same = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
             first[order[1:][same]] = False
@@ -195,7 +195,7 @@ def _extended(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray,
     while len(todo):  # most end within a few words, only the others are seen at full width
         width = min(width, int(n[todo].max()))
         seen, rest = np.arange(width), []
-        for some in np.array_split(todo, len(todo) * width // (1 << 20) + 1):
+        for some in np.array_split(todo, len(todo) * width // (1 << 18) + 1):
             inside = seen < n[some, None]
             place = np.where(inside, step * seen, 0)
             same = inside & (a[at_a[some, None] + place] == b[at_b[some, None] + place])

@@ -96,4 +96,5 @@ def winnow(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
         place = np.where(better, place[by:], place[:-by])
         whole = whole[by:] & whole[:-by]
         span += by
-    return np.unique(place[whole])
+    place = place[whole]  # never falls from one window to the next
+    return place[np.diff(place, prepend=-1) > 0]
