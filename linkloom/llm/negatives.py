@@ -8,10 +8,12 @@ lookups by these bytes, shifted and added plane by plane; the plane of the sign
 counts negatively.  Scores are full and exact.
 
 Anchors are a stated query set that meets all rows in blocks: candidates are
-packed into chunks that are dealt into parts, every block of anchors is sent to
-every part, and both are joined by the part.  A task holds one chunk and the
-tables of a block at a time.  Only the best rows of a chunk leave it, so what is
-shuffled afterwards is a few rows per anchor and chunk.
+packed into chunks, and the written blocks and chunks meet as a cartesian
+product, whose tasks read some blocks and some chunks each.  Blocks are neither
+copied for each part nor broadcast, so nothing that grows with the rows passes
+through the driver.  A task holds its chunks and the tables of one block at a
+time.  Only the best rows of a chunk leave it, and of these only the best of a
+task are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import by_merge
 from .common import discard, partitions_of, staged, table
 
 SCALE = 256
@@ -33,7 +36,7 @@ LOW, HIGH = 80, 100
 GROUP = 8
 CHUNK = 1024
 BLOCK = 512
-CHUNKS = "part int, ids binary, rows binary, labels binary, planes binary"
+CHUNKS = "ids binary, rows binary, labels binary, planes binary"
 BLOCKS = "block bigint, ids binary, rows binary, labels binary, vectors binary, bounds binary"
 FOUND = "anchor_row bigint, anchor_id bigint, bound int, id bigint, row bigint, score bigint"
 NOTHING = np.iinfo(np.int64).min
@@ -125,13 +128,13 @@ def chunks(rows: DataFrame, shape: Shape, parts: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
                 some = batch.slice(start, CHUNK)
-                part, ids, row, labels = (some.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                ids, row, labels = (some.column(i).to_numpy(zero_copy_only=False) for i in range(3))
                 order = np.lexsort((row, ids))
-                planes = bit_planes(_matrix(some.column(4), shape.width)[order], shape.bits)
+                planes = bit_planes(_matrix(some.column(3), shape.width)[order], shape.bits)
                 fields = [ids[order].astype("<i8"), row[order].astype("<i8"), labels[order].astype("<i8"), planes]
-                yield pa.RecordBatch.from_arrays([pa.array([part[0]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in fields]], ["part", "ids", "rows", "labels", "planes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in fields], ["ids", "rows", "labels", "planes"])
 
-    dealt = rows.repartition(parts).select(F.spark_partition_id().alias("part"), "id", "row", "label", "vector")
+    dealt = rows.select("id", "row", "label", "vector").repartition(parts)
     return staged(dealt.mapInArrow(pack, CHUNKS), "chunks")
 
 
@@ -153,8 +156,11 @@ def blocks(anchors: DataFrame, shape: Shape, n: int) -> DataFrame:
     return staged(dealt.mapInArrow(pack, BLOCKS), "blocks")
 
 
-def matches(pieces: DataFrame, queries: DataFrame, shape: Shape, parts: int, negatives: bool) -> DataFrame:
-    """FOUND: of each chunk and anchor, the best rows of the same label, or those of other labels within each bound."""
+def matches(pieces: DataFrame, queries: DataFrame, shape: Shape, negatives: bool) -> DataFrame:
+    """FOUND: of each chunk and anchor, the best rows of the same label, or those of other labels within each bound.
+
+    The product goes through all chunks of a task for each of its blocks, so tables are made once per block and task.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -185,8 +191,8 @@ def matches(pieces: DataFrame, queries: DataFrame, shape: Shape, parts: int, neg
                         columns = [a_rows[who], a_ids[who], np.full(len(who), k, np.int32), ids[what], rows[what], got[who, what]]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor_row", "anchor_id", "bound", "id", "row", "score"])
 
-    everywhere = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.col("ids").alias("a_ids"), F.col("rows").alias("a_rows"), F.col("labels").alias("a_labels"), "vectors", "bounds")
-    return pieces.join(everywhere, "part").mapInArrow(score, FOUND)
+    asking = queries.select("block", F.col("ids").alias("a_ids"), F.col("rows").alias("a_rows"), F.col("labels").alias("a_labels"), "vectors", "bounds")
+    return asking.hint("shuffle_replicate_nl").crossJoin(pieces).mapInArrow(score, FOUND)
 
 
 def first(found: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -214,12 +220,12 @@ def hard_negatives(vectors: DataFrame, every: int = 100, id_col: str = "vec_id",
     anchors = rows.filter(F.col("id") % every == 0)
     n = anchors.count()
     plain = blocks(anchors.withColumn("bounds", F.array().cast("array<bigint>")), shape, n)
-    positives = staged(first(matches(pieces, plain, shape, parts, False), ["anchor_row"], POSITIVES), "positives")
+    positives = staged(first(matches(pieces, plain, shape, False), ["anchor_row"], POSITIVES), "positives")
     bounds = positives.groupBy(F.col("anchor_row").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("bounds"))
-    bounded = blocks(anchors.join(bounds, "row"), shape, n)
-    negatives = first(matches(pieces, bounded, shape, parts, True), ["anchor_row", "bound"], NEGATIVES)
+    bounded = blocks(anchors.join(by_merge(bounds), "row"), shape, n)
+    negatives = first(matches(pieces, bounded, shape, True), ["anchor_row", "bound"], NEGATIVES)
     chosen = positives.select("anchor_row", (F.col("rank") - 1).alias("bound"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = staged(negatives.join(chosen, ["anchor_row", "bound"]), "negatives")
+    out = staged(negatives.join(by_merge(chosen), ["anchor_row", "bound"]), "negatives")
     discard(rows, pieces, plain, bounded)
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

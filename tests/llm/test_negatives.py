@@ -55,6 +55,17 @@ def test_odd_rows(spark):
         N.hard_negatives(spark.createDataFrame([(1, [1e30], 1)], DDL))
 
 
+def test_anchors_are_not_broadcast(spark, monkeypatch):
+    """Blocks of anchors are read where they meet the chunks, not copied for each part and sent through the driver."""
+    plans, original = {}, N.staged
+    monkeypatch.setattr(N, "staged", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or original(df, label))
+    monkeypatch.setattr(N, "CHUNK", 32)
+    N.hard_negatives(spark.createDataFrame(make(3), DDL), every=20)
+    assert set(plans) == {"vectors", "chunks", "blocks", "positives", "negatives"}
+    assert "CartesianProduct" in plans["positives"] and "CartesianProduct" in plans["negatives"]
+    assert not [label for label, plan in plans.items() if "Broadcast" in plan or "Generate" in plan]
+
+
 @pytest.mark.parametrize("width", [1, 7, 8, 64, 65])
 def test_tables_give_inner_products(width):
     rng = np.random.default_rng(width)
